@@ -27,7 +27,7 @@ def workspace(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def materialise(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage with data that
     survive the loss of any executor and that later plans can prune by column."""
     spark = df.sparkSession
@@ -37,6 +37,16 @@ def materialise(df: DataFrame, name: str, columns: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share_file(spark: SparkSession, path: str, name: str) -> str:
+    """Copy a file of the driver into the shared folder; its address there."""
+    target = f"{workspace(spark)}/histomill/{name}"
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    files = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{path}"), to)
+    _WRITTEN.append((spark, target))
+    return target
+
+
 def clear_workspace() -> None:
     """Delete every table written by :func:`materialise` in this process."""
     while _WRITTEN:

@@ -195,6 +195,6 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, length: int = WIND
 def clean_only(documents: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, in which no benchmark window occurs."""
     _, found = hits(documents, benchmark, length)
-    bad = found.where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"))
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (digest == F.col("_g")), "left_anti")
+    digest = F.xxhash64(F.coalesce(F.col("t.text"), F.lit("")))
+    same = F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (digest == F.col("f.digest"))
+    return documents.alias("t").join(found.where("n_hit > 0").alias("f"), same, "left_anti")
