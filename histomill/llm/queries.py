@@ -135,7 +135,7 @@ m AS (
   UNION ALL
   SELECT p.doc_id, p.i, g.n, g.item_id
   FROM p JOIN g ON g.n < 10 AND p.w[p.i + 1] = g.terms[1] AND p.w[p.i + 1 : p.i + g.n] = g.terms),
-h AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM m) GROUP BY doc_id),
+h AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM m) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit,
