@@ -139,27 +139,22 @@ def describe(documents: DataFrame) -> DataFrame:
 
 
 def estimate(patterns: dict[str, int], iterations: int = ITERATIONS) -> tuple[dict[str, float], np.ndarray]:
-    """``(posterior of good by pattern, P(vote | class) as class x labeller x vote)`` by
-    expectation-maximisation, started from the majority of votes."""
+    """``(posterior of good by pattern, P(vote is good | class) as class x labeller)`` by
+    expectation-maximisation, started from the majority of votes. A labeller that does not vote
+    says nothing about the class, so a pattern without votes has the prior."""
     names = sorted(patterns)
     if not names:
-        return {}, np.zeros((2, len(LABELLERS), 3))
+        return {}, np.zeros((2, len(LABELLERS)))
     votes = np.array([["-0+".index(v) for v in p] for p in names])
+    bad, fine = (votes == 0).astype(float), (votes == 2).astype(float)
     count = np.array([patterns[p] for p in names], float)
-    balance = (votes - 1).sum(axis=1)
-    good = np.where((votes == 0).any(axis=1), 0.2, np.where(balance > 0, 0.95, 0.8))
-    one_hot = np.eye(3)[votes]  # pattern x labeller x vote
+    good = np.where(bad.any(axis=1), 0.2, 0.9)
     for _ in range(iterations):
         prior = np.clip((count * good).sum() / count.sum(), 0.01, 0.99)
-        given = np.stack([
-            (np.einsum("p,plv->lv", count * w, one_hot) + 1) / ((count * w).sum() + 3) for w in (1 - good, good)
-        ])
-        logs = np.einsum("plv,clv->pc", one_hot, np.log(given)) + np.log([1 - prior, prior])
+        given = np.stack([((count * w) @ fine + 1) / ((count * w) @ (fine + bad) + 2) for w in (1 - good, good)])
+        logs = fine @ np.log(given).T + bad @ np.log(1 - given).T + np.log([1 - prior, prior])
         good = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
-    # a class is named by what its labellers vote, not by where the iteration started
-    if (np.einsum("plv,p->lv", one_hot, count * good)[:, 0].sum() / max(1, (count * good).sum())) > (
-        np.einsum("plv,p->lv", one_hot, count * (1 - good))[:, 0].sum() / max(1, (count * (1 - good)).sum())
-    ):
+    if given[1].mean() < given[0].mean():  # the good class is the one for which labellers vote
         good, given = 1 - good, given[::-1]
     return dict(zip(names, good.tolist(), strict=True)), given
 
