@@ -1,4 +1,785 @@
-"""Registered queries of the analytics operators and their SQL."""
+"""Registered queries of the analytics operators, over whole tables, and their SQL.
+
+Columns that SQL cannot give (tails of distributions, fits) are left to queries without SQL,
+which the tests compare with independent implementations.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from histomill.operators import annotate, cluster, difference, figures, filters, neighbours, reduce, samples, spatial, transform
+from histomill.plans.views import EVENTS_SQL, PIXELS_SQL, event_samples, pixel_cohort, scattered_points, table
+from histomill.sources import pathways
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c: str | Column, name: str | None = None) -> Column:
+    """Six places, and no negative zero."""
+    column = F.col(c) if isinstance(c, str) else c
+    return (F.round(column, 6) + 0.0).alias(name or c)
+
+
+def values_of(cohort) -> DataFrame:
+    return cohort.named(cohort.long("pixel_id")).select("pixel_id", "metabolite", r6("value"))
+
+
+# --- normalisation ---------------------------------------------------------------------------
+
+
+@query(f"""WITH {PIXELS_SQL},
+t AS (SELECT pixel_id, CASE WHEN sum(value) = 0 THEN 1e0 ELSE sum(value) END AS s FROM lg GROUP BY pixel_id),
+g AS (SELECT median(s) AS target FROM t)
+SELECT pixel_id, metabolite, round(value * target / s, 6) + 0e0 AS value FROM lg JOIN t USING (pixel_id), g""")
+def tic_normalize(spark, sf_dir):
+    return values_of(transform.tic_normalize(pixel_cohort(spark, sf_dir)))
+
+
+@query(f"""WITH {PIXELS_SQL},
+t AS (SELECT pixel_id, coalesce(median(value) FILTER (WHERE value > 0), 1e0) AS s FROM lg GROUP BY pixel_id),
+g AS (SELECT median(s) AS target FROM t)
+SELECT pixel_id, metabolite, round(value * target / s, 6) + 0e0 AS value FROM lg JOIN t USING (pixel_id), g""")
+def median_normalize(spark, sf_dir):
+    return values_of(transform.median_normalize(pixel_cohort(spark, sf_dir)))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT pixel_id, metabolite, round(ln(1e0 + value), 6) + 0e0 AS value FROM lg")
+def log1p_transform(spark, sf_dir):
+    return values_of(transform.log1p_transform(pixel_cohort(spark, sf_dir)))
+
+
+@query(f"""WITH {PIXELS_SQL},
+m AS (SELECT feature_idx, avg(value) AS m, stddev_samp(value) AS s FROM lg GROUP BY feature_idx)
+SELECT pixel_id, metabolite,
+       round(greatest(-2e0, least(2e0, (value - m) / CASE WHEN s > 0 THEN s ELSE 1e0 END)), 6) + 0e0 AS value
+FROM lg JOIN m USING (feature_idx)""")
+def scale(spark, sf_dir):
+    return values_of(transform.scale(pixel_cohort(spark, sf_dir), 2))
+
+
+@query(f"""WITH {PIXELS_SQL}, s AS (SELECT pixel_id, sum(value) AS t FROM lg GROUP BY pixel_id)
+SELECT pixel_id, round(-sum(CASE WHEN value > 0 THEN value / t * ln(value / t) ELSE 0e0 END), 6) AS shannon,
+       round(1e0 - sum(value / t * value / t), 6) AS simpson
+FROM lg JOIN s USING (pixel_id) GROUP BY pixel_id""")
+def diversity_index(spark, sf_dir):
+    c = transform.diversity_index(transform.diversity_index(pixel_cohort(spark, sf_dir)), "simpson")
+    return c.pixels.select("pixel_id", r6("diversity_shannon", "shannon"), r6("diversity_simpson", "simpson"))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT pixel_id, round(avg(value), 6) AS set_score FROM lg WHERE feature_idx IN (1, 5, 9) GROUP BY pixel_id")
+def score_metabolite_set(spark, sf_dir):
+    return transform.score_metabolite_set(pixel_cohort(spark, sf_dir), ["m001", "m005", "m009"]).pixels.select("pixel_id", r6("set_score"))
+
+
+@query()
+def unmix_pixels(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    spectra = {f"s{k}": {n: 1.0 + (i * (k + 3)) % 7 for i, n in enumerate(c.names)} for k in range(3)}
+    return transform.unmix_pixels(c, spectra).pixels.select("pixel_id", F.transform("unmixed", lambda v: F.round(v, 6)).alias("unmixed"))
+
+
+# --- filters, labels, sets -------------------------------------------------------------------
+
+
+@query(f"""WITH {PIXELS_SQL}
+SELECT section, metabolite, round(coalesce(avg(value) FILTER (WHERE is_tissue), 0e0), 6) AS tissue,
+       round(coalesce(avg(value) FILTER (WHERE is_background), 0e0), 6) AS background
+FROM lg GROUP BY section, metabolite""")
+def background_means(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    return c.named(filters.background_ratios(c)).select("section", "metabolite", r6("tissue"), r6("background"))
+
+
+@query(f"""WITH {PIXELS_SQL},
+r AS (SELECT metabolite, avg(value) FILTER (WHERE is_tissue) / (avg(value) FILTER (WHERE is_background) + 1e-9) AS ratio FROM lg GROUP BY metabolite)
+SELECT pixel_id, metabolite, round(value, 6) + 0e0 AS value FROM lg JOIN r USING (metabolite) WHERE ratio >= 1e0 AND is_tissue""")
+def filter_background(spark, sf_dir):
+    kept, _ = filters.filter_background(pixel_cohort(spark, sf_dir), 1.0)
+    return values_of(kept["all"])
+
+
+@query(f"""WITH {PIXELS_SQL}
+SELECT pixel_id, metabolite, round(value, 6) + 0e0 AS value FROM lg WHERE feature_idx % 4 <> 3 AND (feature_idx % 10) / 1e1 >= 0.3""")
+def filter_by_score(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    c = c.describe_features("score", [None if i % 4 == 3 else (i % 10) / 10 for i in range(64)])
+    return values_of(filters.filter_by_score(c, 0.3))
+
+
+def _part_names(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_name").alias("metabolite")).distinct(), p.where("p_size < 10").select(F.upper("p_name").alias("name"))
+
+
+@query("SELECT DISTINCT p_name AS metabolite, false AS endogenous FROM part WHERE lower(trim(p_name)) IN (SELECT lower(trim(p_name)) FROM part WHERE p_size < 10)")
+def drug_matches(spark, sf_dir):
+    return filters.drug_matches(*_part_names(spark, sf_dir))
+
+
+@query("SELECT DISTINCT p_name AS metabolite FROM part WHERE lower(trim(p_name)) NOT IN (SELECT lower(trim(p_name)) FROM part WHERE p_size < 10 AND p_name IS NOT NULL)")
+def without_drugs(spark, sf_dir):
+    return filters.without_drugs(*_part_names(spark, sf_dir))
+
+
+@query("""SELECT DISTINCT lower(trim(n)) AS name FROM (SELECT p_name AS n FROM part WHERE p_size < 10 UNION ALL SELECT p_type FROM part) WHERE trim(n) <> ''""")
+def drug_vocabulary(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return pathways.vocabulary(p.where("p_size < 10").select(F.col("p_name").alias("name")), p.select(F.col("p_type").alias("synonym")))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT pixel_id, cluster FROM px WHERE cluster IN ('1', '3')")
+def subset_obs(spark, sf_dir):
+    return filters.subset_obs(pixel_cohort(spark, sf_dir), "cluster", ["1", "3"]).pixels.select("pixel_id", "cluster")
+
+
+@query(f"WITH {PIXELS_SQL} SELECT cluster AS value, count(*) AS n_pixels FROM px GROUP BY cluster")
+def split_by_obs(spark, sf_dir):
+    parts = [c.pixels.agg(F.lit(v).alias("value"), F.count(F.lit(1)).alias("n_pixels")) for v, c in filters.split_by_obs(pixel_cohort(spark, sf_dir), "cluster").items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"WITH {PIXELS_SQL} SELECT pixel_id, CASE cluster WHEN '0' THEN 'core' WHEN '1' THEN 'rim' ELSE cluster END AS cluster, cluster AS cluster_original FROM px")
+def rename_clusters(spark, sf_dir):
+    return filters.rename_clusters(pixel_cohort(spark, sf_dir), {"0": "core", "1": "rim"}).pixels.select("pixel_id", "cluster", "cluster_original")
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT pixel_id, x > 1.5 AND x < 6.5 AND y > 0.5 AND y < 3.5 AS is_tissue, x > 7.5 AND x < 9.5 AND y > -0.5 AND y < 4.5 AS is_background FROM px""")
+def label_rois(spark, sf_dir):
+    box = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
+    c = filters.label_rois(pixel_cohort(spark, sf_dir), [box(1.5, 0.5, 6.5, 3.5)], [box(7.5, -0.5, 9.5, 4.5)])
+    return c.pixels.select("pixel_id", "is_tissue", "is_background")
+
+
+@query(f"""WITH {PIXELS_SQL}
+SELECT sample, metabolite, round(sum(v), 6) AS total FROM (
+  SELECT 'a' AS sample, metabolite, CASE WHEN feature_idx < 40 THEN value ELSE 0e0 END AS v FROM lg WHERE response = 'R'
+  UNION ALL SELECT 'b', metabolite, CASE WHEN feature_idx >= 30 THEN value ELSE 0e0 END FROM lg WHERE response = 'NR')
+GROUP BY sample, metabolite""")
+def merge_samples_outer(spark, sf_dir):
+    return _merged(spark, sf_dir, "outer")
+
+
+@query(f"""WITH {PIXELS_SQL}
+SELECT CASE WHEN response = 'R' THEN 'a' ELSE 'b' END AS sample, metabolite, round(sum(value), 6) AS total
+FROM lg WHERE feature_idx BETWEEN 30 AND 39 GROUP BY 1, 2""")
+def merge_samples_inner(spark, sf_dir):
+    return _merged(spark, sf_dir, "inner")
+
+
+def _merged(spark, sf_dir, join):
+    c = pixel_cohort(spark, sf_dir)
+    a = c.with_pixels(c.pixels.where("response = 'R'")).select_features(range(40))
+    b = c.with_pixels(c.pixels.where("response = 'NR'")).select_features(range(30, 64))
+    m = filters.merge_samples([a, b], ["a", "b"], "sample", join)
+    return m.named(m.long("sample").groupBy("sample", "feature_idx").agg(F.sum("value").alias("total"))).select("sample", "metabolite", r6("total"))
+
+
+# --- aggregations ----------------------------------------------------------------------------
+
+
+def _bulk(spark, sf_dir, method):
+    return samples.pseudobulk(pixel_cohort(spark, sf_dir), "section", method).values.select("sample", "metabolite", r6("value"))
+
+
+@query(f"WITH {PIXELS_SQL} SELECT section AS sample, metabolite, round(avg(value), 6) AS value FROM lg GROUP BY 1, 2 HAVING count(*) >= 10")
+def pseudobulk_mean(spark, sf_dir):
+    return _bulk(spark, sf_dir, "mean")
+
+
+@query(f"WITH {PIXELS_SQL} SELECT section AS sample, metabolite, round(median(value), 6) AS value FROM lg GROUP BY 1, 2 HAVING count(*) >= 10")
+def pseudobulk_median(spark, sf_dir):
+    return _bulk(spark, sf_dir, "median")
+
+
+@query(f"WITH {PIXELS_SQL} SELECT section AS sample, metabolite, round(sum(value), 6) AS value FROM lg GROUP BY 1, 2 HAVING count(*) >= 10")
+def pseudobulk_sum(spark, sf_dir):
+    return _bulk(spark, sf_dir, "sum")
+
+
+@query(f"WITH {PIXELS_SQL} SELECT section AS sample, count(*) AS n_pixels, any_value(response) AS response, any_value(patient) AS patient FROM px GROUP BY 1 HAVING count(*) >= 10")
+def pseudobulk_samples(spark, sf_dir):
+    return samples.pseudobulk(pixel_cohort(spark, sf_dir), "section").samples.select("sample", "n_pixels", "response", "patient")
+
+
+_LIPIDS = ["PC(34:1)", "PE(36:2)", "SM(d18:1/16:0)", "Cer(d18:1)", "TG(52:2)", "FA(18:1)", "CE(18:2)", "Taurine"]
+
+
+def _lipid_cohort(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    return type(c)(c.pixels, tuple(f"{_LIPIDS[i % 8]}_{i}" for i in range(64)))
+
+
+_LIPID_SQL = """lp AS (SELECT lg.*, CASE feature_idx % 8 WHEN 0 THEN 'Phosphatidylcholine' WHEN 1 THEN 'Phosphatidylethanolamine' WHEN 2 THEN 'Sphingomyelin'
+  WHEN 3 THEN 'Ceramide' WHEN 4 THEN 'Triglyceride' WHEN 5 THEN 'Fatty acid' WHEN 6 THEN 'Cholesterol ester' ELSE 'Other' END AS lipid_class FROM lg)"""
+
+
+@query(f"WITH {PIXELS_SQL}, {_LIPID_SQL} SELECT lipid_class, count(DISTINCT feature_idx) AS n_metabolites, round(avg(value), 6) AS mean_intensity FROM lp GROUP BY 1")
+def lipid_class_summary(spark, sf_dir):
+    return samples.lipid_class_summary(_lipid_cohort(spark, sf_dir)).select("lipid_class", "n_metabolites", r6("mean_intensity"))
+
+
+@query(f"""WITH {PIXELS_SQL}, {_LIPID_SQL} SELECT lipid_class, count(DISTINCT feature_idx) AS n_metabolites, round(avg(value) FILTER (WHERE response = 'NR'), 6) AS "NR",
+round(avg(value) FILTER (WHERE response = 'R'), 6) AS "R" FROM lp GROUP BY 1""")
+def lipid_class_by_group(spark, sf_dir):
+    return samples.lipid_class_summary(_lipid_cohort(spark, sf_dir), "response").select("lipid_class", "n_metabolites", r6("NR"), r6("R"))
+
+
+@query(f"""WITH {PIXELS_SQL}, c AS (SELECT section, cluster, count(*) AS n FROM px GROUP BY 1, 2), p AS (SELECT section, n / sum(n) OVER (PARTITION BY section) AS p FROM c)
+SELECT section, round(-sum(p * ln(p)), 6) AS diversity, count(*) AS n_clusters FROM p GROUP BY section""")
+def cluster_diversity(spark, sf_dir):
+    return samples.cluster_diversity(pixel_cohort(spark, sf_dir)).select("section", r6("diversity"), "n_clusters")
+
+
+# --- sample-level and group tests ------------------------------------------------------------
+
+_RANKS = """rk AS (SELECT {k}, grp, value, rank() OVER (PARTITION BY {k} ORDER BY value) + (count(*) OVER (PARTITION BY {k}, value) - 1) / 2e0 AS r,
+  count(*) OVER (PARTITION BY {k}, value) AS t FROM {src}),
+u AS (SELECT {k}, count(*) FILTER (WHERE grp = 1) AS n1, count(*) FILTER (WHERE grp = 2) AS n2, sum(r) FILTER (WHERE grp = 1) AS r1,
+  sum(CAST(t AS DOUBLE) * t - 1e0) AS ties FROM rk GROUP BY {k}),
+w AS (SELECT {k}, n1, n2, r1 - n1 * (n1 + 1) / 2e0 AS u1, n1 * n2 / 12e0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1e0))) AS v FROM u)"""
+
+
+@query(f"""WITH {EVENTS_SQL}, {_RANKS.format(k="metabolite", src="ev")},
+md AS (SELECT metabolite, median(value) FILTER (WHERE grp = 1) AS m1, median(value) FILTER (WHERE grp = 2) AS m2 FROM ev GROUP BY metabolite)
+SELECT metabolite, round(2e0 * u1 / (n1 * n2) - 1e0, 6) + 0e0 AS delta,
+  CASE WHEN abs(2e0 * u1 / (n1 * n2) - 1e0) < 0.147 THEN 'negligible' WHEN abs(2e0 * u1 / (n1 * n2) - 1e0) < 0.33 THEN 'small'
+       WHEN abs(2e0 * u1 / (n1 * n2) - 1e0) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude,
+  round(m1, 6) AS median_group1, round(m2, 6) AS median_group2, round(log2((m1 + 1e-9) / (m2 + 1e-9)), 6) + 0e0 AS log2fc,
+  n1 AS n_group1, n2 AS n_group2, round(u1, 6) AS u1, round((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2e0 - 0.5) / sqrt(v), 6) + 0e0 AS z
+FROM w JOIN md USING (metabolite)""")
+def differential_abundance(spark, sf_dir):
+    out = difference.differential_abundance(event_samples(spark, sf_dir), "grp", "even", "odd")
+    return out.select("metabolite", r6("delta"), "magnitude", r6("median_group1"), r6("median_group2"), r6("log2fc"), "n_group1", "n_group2", r6("u1"), r6("z"))
+
+
+@query()
+def differential_abundance_pvalues(spark, sf_dir):
+    bulk = samples.pseudobulk(pixel_cohort(spark, sf_dir), "section")
+    out = difference.differential_abundance(bulk, "response", "R", "NR", bootstrap=200)
+    return out.select("metabolite", r6("delta"), r6("pval"), r6("pval_adj"), r6("delta_ci_low"), r6("delta_ci_high"), "ci_excludes_zero")
+
+
+@query(f"""WITH {EVENTS_SQL}
+SELECT a.metabolite, round(sum(CASE WHEN a.value > b.value THEN 1e0 WHEN a.value < b.value THEN -1e0 ELSE 0e0 END) / count(*), 6) + 0e0 AS delta
+FROM ev a JOIN ev b ON a.metabolite = b.metabolite AND a.grp = 1 AND b.grp = 2 GROUP BY 1""")
+def cliffs_delta(spark, sf_dir):
+    e = event_samples(spark, sf_dir)
+    long = e.values.join(e.samples, "sample").select("metabolite", "value", F.when(F.col("grp") == "even", 1).otherwise(2).alias("grp"))
+    return difference.cliffs_delta(long).select("metabolite", r6("delta"))
+
+
+@query("""WITH mid AS (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) / 2e0 AS m FROM events WHERE value IS NOT NULL),
+ev AS (SELECT user_id, event_type AS metabolite, epoch_us(ts) < (SELECT m FROM mid) AS early, avg(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+d AS (SELECT a.metabolite, b.value - a.value AS d FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.metabolite = b.metabolite AND a.early AND NOT b.early),
+rk AS (SELECT metabolite, d, rank() OVER (PARTITION BY metabolite ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metabolite, abs(d)) - 1) / 2e0 AS r FROM d WHERE d <> 0),
+w AS (SELECT metabolite, coalesce(sum(r) FILTER (WHERE d > 0), 0e0) AS w_plus FROM rk GROUP BY 1),
+s AS (SELECT metabolite, count(*) AS n_pairs, count(*) FILTER (WHERE d > 0) AS n_up, count(*) FILTER (WHERE d < 0) AS n_down, median(d) AS mc FROM d GROUP BY 1)
+SELECT metabolite, round((n_up - n_down) / CAST(n_pairs AS DOUBLE), 6) + 0e0 AS delta, round(mc, 6) + 0e0 AS median_change, n_pairs, n_up, n_down, round(w_plus, 6) AS w_plus
+FROM s JOIN w USING (metabolite)""")
+def paired_differential_abundance(spark, sf_dir):
+    out = difference.paired_differential_abundance(event_samples(spark, sf_dir, True), "user", "time", "t0", "t1")
+    return out.select("metabolite", r6("delta"), r6("median_change"), "n_pairs", "n_up", "n_down", r6("w_plus"))
+
+
+@query()
+def paired_pvalues(spark, sf_dir):
+    out = difference.paired_differential_abundance(event_samples(spark, sf_dir, True), "user", "time", "t0", "t1")
+    return out.select("metabolite", r6("pval"), r6("pval_adj"))
+
+
+_PIXEL_GROUPS = "pg AS (SELECT metabolite, value, CASE response WHEN 'R' THEN 1 ELSE 2 END AS grp FROM lg)"
+
+
+@query(f"""WITH {PIXELS_SQL}, {_PIXEL_GROUPS}, {_RANKS.format(k="metabolite", src="pg")},
+m AS (SELECT metabolite, avg(value) FILTER (WHERE grp = 1) AS m1, avg(value) FILTER (WHERE grp = 2) AS m2, var_pop(value) FILTER (WHERE grp = 1) AS v1,
+  var_pop(value) FILTER (WHERE grp = 2) AS v2 FROM pg GROUP BY 1)
+SELECT metabolite, round(m1, 6) AS mean_group1, round(m2, 6) AS mean_group2, round(log2((m2 + 1e-9) / (m1 + 1e-9)), 6) + 0e0 AS log2fc,
+  round((m2 - m1) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) + 0e0 AS cohens_d, round(u1, 6) AS statistic
+FROM m JOIN w USING (metabolite)""")
+def compare_groups(spark, sf_dir):
+    out = difference.compare_groups(pixel_cohort(spark, sf_dir), "response", "R", "NR", acknowledge_pixel_level=True)
+    return out.select("metabolite", r6("mean_group1"), r6("mean_group2"), r6("log2fc"), r6("cohens_d"), r6("statistic"))
+
+
+@query(f"""WITH {PIXELS_SQL}, {_PIXEL_GROUPS},
+m AS (SELECT metabolite, avg(value) FILTER (WHERE grp = 1) AS m1, avg(value) FILTER (WHERE grp = 2) AS m2,
+  var_samp(value) FILTER (WHERE grp = 1) / count(*) FILTER (WHERE grp = 1) AS a, var_samp(value) FILTER (WHERE grp = 2) / count(*) FILTER (WHERE grp = 2) AS b FROM pg GROUP BY 1)
+SELECT metabolite, round((m1 - m2) / sqrt(a + b), 6) + 0e0 AS statistic FROM m""")
+def compare_groups_welch(spark, sf_dir):
+    out = difference.compare_groups(pixel_cohort(spark, sf_dir), "response", "R", "NR", "ttest", True)
+    return out.select("metabolite", r6("statistic"))
+
+
+@query(f"""WITH {PIXELS_SQL},
+rk AS (SELECT metabolite, cluster, value, rank() OVER (PARTITION BY metabolite ORDER BY value) + (count(*) OVER (PARTITION BY metabolite, value) - 1) / 2e0 AS r,
+  count(*) OVER (PARTITION BY metabolite, value) AS t FROM lg),
+g AS (SELECT metabolite, cluster, count(*) AS n, sum(r) AS rs, avg(value) AS m, var_pop(value) * count(*) AS ss FROM rk GROUP BY 1, 2),
+a AS (SELECT metabolite, avg(value) AS m, sum(CAST(t AS DOUBLE) * t - 1e0) AS ties, count(*) AS n FROM rk GROUP BY 1),
+k AS (SELECT metabolite, sum(g.n * (g.m - a.m) * (g.m - a.m)) AS ssb, sum(ss) AS ssw, sum(rs * rs / g.n) AS q FROM g JOIN a USING (metabolite) GROUP BY 1)
+SELECT metabolite, round((12e0 / (n * (n + 1e0)) * q - 3e0 * (n + 1)) / (1e0 - ties / (CAST(n AS DOUBLE) * n * n - n)), 5) AS statistic, round(ssb / (ssb + ssw + 1e-12), 6) AS eta_squared
+FROM k JOIN a USING (metabolite)""")
+def kruskal(spark, sf_dir):
+    out = difference.multi_group_test(pixel_cohort(spark, sf_dir), "cluster", acknowledge_pixel_level=True)
+    return out.select("metabolite", F.round("statistic", 5).alias("statistic"), r6("eta_squared"))
+
+
+@query(f"""WITH {PIXELS_SQL}, g AS (SELECT metabolite, cluster, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss FROM lg GROUP BY 1, 2),
+a AS (SELECT metabolite, avg(value) AS m FROM lg GROUP BY 1),
+k AS (SELECT metabolite, sum(g.n * (g.m - a.m) * (g.m - a.m)) AS ssb, sum(ss) AS ssw, sum(g.n) AS n, count(*) AS k FROM g JOIN a USING (metabolite) GROUP BY 1)
+SELECT metabolite, round((ssb / (k - 1)) / (ssw / (n - k)), 5) AS statistic, round(ssb / (ssb + ssw + 1e-12), 6) AS eta_squared FROM k""")
+def anova(spark, sf_dir):
+    out = difference.multi_group_test(pixel_cohort(spark, sf_dir), "cluster", "anova", True)
+    return out.select("metabolite", F.round("statistic", 5).alias("statistic"), r6("eta_squared"))
+
+
+@query()
+def group_test_pvalues(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    named = lambda t, n: t.select(F.lit(n).alias("test"), "metabolite", r6("pval"), r6("pval_adj"))
+    return (
+        named(difference.multi_group_test(c, "cluster", acknowledge_pixel_level=True), "kruskal")
+        .unionByName(named(difference.multi_group_test(c, "cluster", "anova", True), "anova"))
+        .unionByName(named(difference.compare_groups(c, "response", "R", "NR", acknowledge_pixel_level=True), "mannwhitney"))
+        .unionByName(named(difference.compare_groups(c, "response", "R", "NR", "ttest", True), "welch"))
+    )
+
+
+@query(f"""WITH {PIXELS_SQL},
+rk AS (SELECT metabolite, cluster, value, rank() OVER (PARTITION BY metabolite ORDER BY value) + (count(*) OVER (PARTITION BY metabolite, value) - 1) / 2e0 AS r FROM lg),
+g AS (SELECT metabolite, cluster, count(*) AS n1, sum(r) AS rs FROM rk GROUP BY 1, 2),
+s AS (SELECT metabolite, cluster, rs, n1, sum(n1) OVER (PARTITION BY metabolite) - n1 AS n2 FROM g),
+z AS (SELECT metabolite, cluster, (rs - n1 * (n1 + n2 + 1) / 2e0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12e0) AS score FROM s)
+SELECT cluster, metabolite, round(score, 6) + 0e0 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, metabolite) AS rank FROM z) WHERE rank <= 20""")
+def find_markers(spark, sf_dir):
+    return difference.find_markers(pixel_cohort(spark, sf_dir)).select("cluster", "metabolite", r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def find_markers_logreg(spark, sf_dir):
+    return difference.find_markers(pixel_cohort(spark, sf_dir), method="logreg").select("cluster", "metabolite", r6("score"), "rank")
+
+
+# --- enrichment ------------------------------------------------------------------------------
+
+
+def _effects(spark, sf_dir, column="p_retailprice"):
+    """Parts as compounds: an effect in [-1, 1] from the price, a set from the type's last word."""
+    p = table(spark, sf_dir, "part").select(
+        F.concat_ws("#", "p_name", F.col("p_partkey").cast("string")).alias("metabolite"),
+        ((F.col("p_partkey") * 7919 % 2001 - 1000) / 1000.0).alias("delta"),
+        F.element_at(F.split("p_type", " "), -1).alias("kind"),
+        F.col("p_brand").alias("brand"),
+        F.col("p_partkey").alias("key"),
+    )
+    return p
+
+
+_EFFECTS_SQL = """fx AS (SELECT p_name || '#' || CAST(p_partkey AS VARCHAR) AS metabolite, (p_partkey * 7919 % 2001 - 1000) / 1000e0 AS delta,
+  list_last(string_split(p_type, ' ')) AS kind, p_brand AS brand, p_partkey AS key FROM part)"""
+
+
+@query(f"""WITH {_EFFECTS_SQL}, pw AS (SELECT a.kind, a.metabolite, a.delta AS value, a.kind = b.k AS inside, b.k FROM fx a, (SELECT DISTINCT kind AS k FROM fx) b),
+rk AS (SELECT k, inside, value, rank() OVER (PARTITION BY k ORDER BY value) + (count(*) OVER (PARTITION BY k, value) - 1) / 2e0 AS r FROM pw)
+SELECT k AS chemical_class, count(*) FILTER (WHERE inside) AS n_compounds, round(median(value) FILTER (WHERE inside), 6) + 0e0 AS median_delta,
+  round(avg(abs(value)) FILTER (WHERE inside), 6) AS mean_abs_delta, count(*) FILTER (WHERE inside AND value > 0) AS n_up, count(*) FILTER (WHERE inside AND value < 0) AS n_down
+FROM rk GROUP BY k HAVING count(*) FILTER (WHERE inside) >= 3""")
+def class_enrichment(spark, sf_dir):
+    fx = _effects(spark, sf_dir)
+    out = annotate.class_enrichment(fx.select("metabolite", "delta"), fx.select("metabolite", F.col("kind").alias("chemical_class")))
+    return out.select("chemical_class", "n_compounds", r6("median_delta"), r6("mean_abs_delta"), "n_up", "n_down")
+
+
+@query(f"""WITH {_EFFECTS_SQL}, d AS (SELECT 'any' AS direction UNION ALL SELECT 'up' UNION ALL SELECT 'down'),
+m AS (SELECT fx.*, direction, abs(delta) >= 0.474 AND CASE direction WHEN 'up' THEN delta > 0 WHEN 'down' THEN delta < 0 ELSE true END AS hit FROM fx, d),
+t AS (SELECT direction, count(*) AS n, count(*) FILTER (WHERE hit) AS s FROM m GROUP BY 1),
+g AS (SELECT brand AS pathway, direction, count(*) AS i, count(*) FILTER (WHERE hit) AS h FROM m GROUP BY 1, 2)
+SELECT pathway, direction, i AS n_in_set, h AS n_hits, s AS n_shifted, n AS n_background,
+  CASE WHEN (i - h) * (s - h) = 0 THEN CAST('Infinity' AS DOUBLE) ELSE round(h * (n - i - (s - h)) / CAST((i - h) * (s - h) AS DOUBLE), 6) END AS odds_ratio
+FROM g JOIN t USING (direction) WHERE i >= 3 AND h > 0""")
+def pathway_ora(spark, sf_dir):
+    fx = _effects(spark, sf_dir)
+    out = annotate.pathway_ora(fx.select("metabolite", "delta"), fx.select(F.col("brand").alias("set_name"), F.col("metabolite").alias("member")))
+    return out.select("pathway", "direction", "n_in_set", "n_hits", "n_shifted", "n_background", F.round("odds_ratio", 6).alias("odds_ratio"))
+
+
+@query(f"""WITH {_EFFECTS_SQL}, r AS (SELECT metabolite, delta, brand, row_number() OVER (ORDER BY delta DESC, metabolite) AS r, count(*) OVER () AS n FROM fx),
+b AS (SELECT DISTINCT brand AS b FROM fx), z AS (SELECT brand, count(*) AS k, sum(abs(delta)) AS s FROM fx GROUP BY 1 HAVING count(*) >= 3),
+w AS (SELECT z.brand, r.r, sum(CASE WHEN r.brand = z.brand THEN abs(r.delta) / (z.s + 1e-12) ELSE -1e0 / greatest(n - k, 1) END) OVER (PARTITION BY z.brand ORDER BY r.r) AS c, k FROM z, r)
+SELECT brand AS pathway, any_value(k) AS n_found, round(arg_max(c, abs(c)), 5) AS es FROM w GROUP BY brand""")
+def enrichment_scores(spark, sf_dir):
+    fx = _effects(spark, sf_dir)
+    out = annotate.enrichment_scores(fx, fx.select(F.col("brand").alias("set_name"), F.col("metabolite").alias("member")))
+    return out.select("pathway", "n_found", F.round("es", 5).alias("es"))
+
+
+@query()
+def metabolite_set_enrichment(spark, sf_dir):
+    fx = _effects(spark, sf_dir)
+    out = annotate.metabolite_set_enrichment(fx, fx.select(F.col("brand").alias("set_name"), F.col("metabolite").alias("member")), n_permutations=100)
+    return out.select("pathway", "n_found", r6("es"), r6("nes"), r6("pval"), r6("pval_adj"), "leading_edge")
+
+
+@query()
+def classify_names(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("metabolite")).distinct()
+    known = spark.createDataFrame([(n, c) for c, group in annotate.NAMES.items() for n in group.split(", ")], "metabolite string, want string")
+    return annotate.classify_names(names.unionByName(known.select("metabolite")))
+
+
+def _two_results(spark, sf_dir):
+    fx = _effects(spark, sf_dir)
+    a = fx.select("metabolite", "delta", F.lit(0.01).alias("pval_adj"))
+    b = fx.where("key % 3 > 0").select("metabolite", ((F.col("key") * 6151 % 2001 - 1000) / 1000.0).alias("delta"), F.lit(0.01).alias("pval_adj"))
+    return a, b
+
+
+_TWO_SQL = f"{_EFFECTS_SQL}, b AS (SELECT metabolite, delta AS ea, (key * 6151 % 2001 - 1000) / 1000e0 AS eb FROM fx WHERE key % 3 > 0)"
+
+
+@query(f"""WITH {_TWO_SQL} SELECT metabolite, round(ea, 6) AS delta_abundance, round(eb, 6) AS delta_organization,
+CASE WHEN abs(ea) >= 0.474 AND abs(eb) >= 0.474 THEN 'both' WHEN abs(eb) >= 0.474 THEN 'organization only' WHEN abs(ea) >= 0.474 THEN 'abundance only' ELSE 'neither' END AS classification FROM b""")
+def compare_abundance_and_organization(spark, sf_dir):
+    out = difference.compare_abundance_and_organization(*_two_results(spark, sf_dir), fdr_threshold=0.05)
+    return out.select("metabolite", r6("delta_abundance"), r6("delta_organization"), "classification")
+
+
+@query(f"""WITH {_TWO_SQL} SELECT metabolite, round(ea, 6) AS delta_a, round(eb, 6) AS delta_b,
+rank() OVER (ORDER BY -abs(ea)) + (count(*) OVER (PARTITION BY abs(ea)) - 1) / 2e0 AS rank_a, rank() OVER (ORDER BY -abs(eb)) + (count(*) OVER (PARTITION BY abs(eb)) - 1) / 2e0 AS rank_b,
+CASE WHEN abs(ea) < 0.3 OR abs(eb) < 0.3 THEN 'weak' WHEN sign(ea) = sign(eb) THEN 'concordant' ELSE 'discordant' END AS agreement FROM b""")
+def compare_signatures(spark, sf_dir):
+    return difference.compare_signatures(*_two_results(spark, sf_dir))[1].select("metabolite", r6("delta_a"), r6("delta_b"), "rank_a", "rank_b", "agreement")
+
+
+@query(f"""WITH {_TWO_SQL}, r AS (SELECT rank() OVER (ORDER BY ea) + (count(*) OVER (PARTITION BY ea) - 1) / 2e0 AS ra, rank() OVER (ORDER BY eb) + (count(*) OVER (PARTITION BY eb) - 1) / 2e0 AS rb FROM b)
+SELECT round(corr(ra, rb), 6) AS rho, count(*) AS n, CASE WHEN abs(corr(ra, rb)) < 0.3 THEN 'unrelated' WHEN corr(ra, rb) > 0 THEN 'shared' ELSE 'inverted' END AS reading,
+CASE WHEN abs(corr(ra, rb)) < 0.3 THEN 'REORGANISES' WHEN corr(ra, rb) > 0 THEN 'PERSISTS' ELSE 'FLIPS' END AS verdict FROM r""")
+def signature_readings(spark, sf_dir):
+    a, b = _two_results(spark, sf_dir)
+    one, two = difference.cross_cohort_profile(a, b)[0], difference.track_flow(a, b)[0]
+    return spark.createDataFrame([(round(one["rho"], 6), one["n"], one["reading"], two["verdict"])], "rho double, n long, reading string, verdict string")
+
+
+# --- spatial statistics ----------------------------------------------------------------------
+
+_KNN = """nn AS (SELECT section, i, j, d2, r FROM (SELECT a.section, a.pixel_id AS i, b.pixel_id AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2,
+  row_number() OVER (PARTITION BY a.pixel_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.pixel_id) AS r
+  FROM px a JOIN px b ON a.section = b.section AND a.pixel_id <> b.pixel_id) WHERE r <= 6),
+ed AS (SELECT section, i, j, 1e0 / count(*) OVER (PARTITION BY section, i) AS w FROM nn)"""
+
+
+@query(f"WITH {PIXELS_SQL}, {_KNN} SELECT section, i, j, d2, r AS rank FROM nn")
+def knn_lattice(spark, sf_dir):
+    return neighbours.knn(neighbours.points(pixel_cohort(spark, sf_dir)), 6).select("section", "i", "j", "d2", F.col("r").cast("long").alias("rank"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, CAST(s_acctbal AS DOUBLE) AS x, CAST(s_suppkey * 7919 % 9973 AS DOUBLE) AS y FROM supplier),
+p AS (SELECT a.id AS i, b.id AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM s a JOIN s b ON a.id <> b.id)
+SELECT i, j, round(d2, 4) AS d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rank FROM p) WHERE rank <= 5""")
+def knn_scattered(spark, sf_dir):
+    return neighbours.knn(scattered_points(spark, sf_dir), 5).select("i", "j", F.round("d2", 4).alias("d2"), F.col("r").cast("long").alias("rank"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, CAST(s_acctbal AS DOUBLE) AS x, CAST(s_suppkey * 7919 % 9973 AS DOUBLE) AS y FROM supplier)
+SELECT a.id AS i, b.id AS j, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS d FROM s a JOIN s b ON a.id <> b.id
+WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 800e0 * 800e0""")
+def within_distance(spark, sf_dir):
+    return neighbours.within_distance(scattered_points(spark, sf_dir), 800.0).select("i", "j", r6("d"))
+
+
+@query(f"WITH {PIXELS_SQL}, {_KNN} SELECT section, i, j FROM nn UNION SELECT section, j, i FROM nn")
+def spatial_neighbors(spark, sf_dir):
+    return neighbours.spatial_neighbors(pixel_cohort(spark, sf_dir)).select("section", "i", "j")
+
+
+_LAG = """la AS (SELECT a.section, a.pixel_id, a.metabolite, a.value, avg(b.value) AS lag FROM lg a JOIN ed ON ed.i = a.pixel_id JOIN lg b ON b.pixel_id = ed.j AND b.feature_idx = a.feature_idx GROUP BY 1, 2, 3, 4),
+iw AS (SELECT section, j AS pixel_id, sum(w) AS c FROM ed GROUP BY 1, 2),
+bk AS (SELECT a.section, a.i, a.j, a.w, b.w AS wr FROM ed a LEFT JOIN ed b ON a.i = b.j AND a.j = b.i)"""
+_MORAN = """
+m AS (SELECT {k}metabolite, avg(value) AS m FROM lg GROUP BY {g}),
+s1 AS (SELECT {k}sum(CASE WHEN wr IS NULL THEN 2e0 * w * w ELSE (w + wr) * (w + wr) END) / 2e0 AS s1 FROM bk {gs}),
+s2 AS (SELECT {k}sum((1e0 + coalesce(c, 0e0)) * (1e0 + coalesce(c, 0e0))) AS s2 FROM px LEFT JOIN iw USING (section, pixel_id) {gs}),
+q AS (SELECT {lk}la.metabolite, CAST(count(*) AS DOUBLE) AS n, sum((value - m) * (value - m)) AS d, sum((value - m) * (lag - m)) AS num, sum((value - m) * (value - m) * (1e0 + coalesce(c, 0e0))) AS q
+  FROM la JOIN m USING ({g}) LEFT JOIN iw USING (section, pixel_id) GROUP BY {g}),
+st AS (SELECT q.*, s1, s2, num / d AS i, (n - 1) / (2e0 * n) * (q - 2e0 * num) / d AS c, -1e0 / (n - 1) AS e FROM q {js})"""
+
+
+@query(f"""WITH {PIXELS_SQL}, {_KNN}, {_LAG}, {_MORAN.format(k="", lk="", g="metabolite", gs="", js=", s1, s2")}
+SELECT metabolite, round(i, 6) + 0e0 AS morans_i, round((i - e) / sqrt(greatest((n * n * s1 - n * s2 + 3e0 * n * n) / ((n * n - 1) * n * n) - e * e, 1e-12)), 5) + 0e0 AS z_score,
+round(c, 6) AS geary_c, round((1e0 - c) / sqrt(greatest(((2e0 * s1 + s2) * (n - 1) - 4e0 * n * n) / (2e0 * (n + 1) * n * n), 1e-12)), 5) + 0e0 AS geary_z_score FROM st""")
+def spatial_autocorrelation(spark, sf_dir):
+    out = spatial.spatial_autocorrelation(pixel_cohort(spark, sf_dir))
+    z5 = lambda c: (F.round(c, 5) + 0.0).alias(c)
+    return out.select("metabolite", r6("morans_i"), z5("z_score"), r6("geary_c"), z5("geary_z_score"))
+
+
+@query()
+def spatial_de(spark, sf_dir):
+    return spatial.spatial_de(pixel_cohort(spark, sf_dir), use_fdr=False).select("metabolite", r6("morans_i"), r6("pval"), r6("pval_adj"))
+
+
+@query(f"""WITH {PIXELS_SQL}, {_KNN}, {_LAG}, {_MORAN.format(k="section, ", lk="la.section, ", g="section, metabolite", gs="GROUP BY section", js="JOIN s1 USING (section) JOIN s2 USING (section)")},
+en AS (SELECT section, metabolite, sum(greatest(value, 0e0)) AS t, sum(CASE WHEN value > 0 THEN value * ln(value) ELSE 0e0 END) AS xl, count(*) AS n FROM lg GROUP BY 1, 2),
+gr AS (SELECT section, metabolite, value, row_number() OVER (PARTITION BY section, metabolite ORDER BY value) AS rk FROM lg),
+gi AS (SELECT section, metabolite, 2e0 * sum(rk * value) / (count(*) * sum(value)) - (count(*) + 1) / CAST(count(*) AS DOUBLE) AS g FROM gr GROUP BY 1, 2)
+SELECT section AS sample, 'morans_i' AS metric, metabolite, round(i, 6) + 0e0 AS value FROM st
+UNION ALL SELECT section, 'entropy', metabolite, round((ln(t) - xl / t) / ln(greatest(n, 2)), 6) FROM en
+UNION ALL SELECT section, 'gini', metabolite, round(g, 6) FROM gi""")
+def spatial_organization(spark, sf_dir):
+    return spatial.spatial_organization(pixel_cohort(spark, sf_dir)).values.select("sample", "metric", "metabolite", r6("value"))
+
+
+@query()
+def differential_spatial_organization(spark, sf_dir):
+    o = spatial.spatial_organization(pixel_cohort(spark, sf_dir), metrics=("morans_i",))
+    return difference.differential_spatial_organization(o, "response", "R", "NR").select("metabolite", r6("delta"), r6("log2fc_metric"), r6("pval"), r6("pval_adj"))
+
+
+_ONE = "lo AS (SELECT * FROM la WHERE metabolite = 'm007'), mo AS (SELECT avg(value) AS m, stddev_pop(value) AS s, count(*) AS n FROM lo)"
+
+
+@query(f"""WITH {PIXELS_SQL}, {_KNN}, {_LAG}, {_ONE}
+SELECT pixel_id, round(value, 6) AS value, round((value - m) / (s + 1e-12), 6) + 0e0 AS z_score, round((value - m) / (s + 1e-12) * (lag - m) / (s + 1e-12), 6) + 0e0 AS local_i FROM lo, mo""")
+def local_moran(spark, sf_dir):
+    return spatial.local_moran(pixel_cohort(spark, sf_dir), "m007").select("pixel_id", r6("value"), r6("z_score"), r6("local_i"))
+
+
+@query(f"""WITH {PIXELS_SQL}, {_KNN}, {_LAG}, {_ONE}
+SELECT pixel_id, round(((6e0 * lag + value) / 7e0 - m) / (s * sqrt(greatest((n / 7e0 - 1e0) / (n - 1), 1e-12))), 6) + 0e0 AS gi_star FROM lo, mo""")
+def getis_ord_gi(spark, sf_dir):
+    return spatial.getis_ord_gi(pixel_cohort(spark, sf_dir), "m007").select("pixel_id", r6("gi_star"))
+
+
+@query()
+def local_types(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    a = spatial.local_moran(c, "m007").select("pixel_id", r6("pval"), "lisa_type")
+    return a.join(spatial.getis_ord_gi(c, "m007").select("pixel_id", r6("pval", "gi_pval"), "hotspot_type"), "pixel_id")
+
+
+@query()
+def hotspot_fraction(spark, sf_dir):
+    return spatial.spatial_organization(pixel_cohort(spark, sf_dir), metrics=("hotspot_fraction",)).values.select("sample", "metabolite", r6("value"))
+
+
+@query(f"""WITH {PIXELS_SQL}, {_KNN}, un AS (SELECT i, j FROM nn UNION SELECT j, i FROM nn)
+SELECT least(a.cluster, b.cluster) AS cluster_a, greatest(a.cluster, b.cluster) AS cluster_b, count(*) AS observed FROM un JOIN px a ON a.pixel_id = i JOIN px b ON b.pixel_id = j WHERE i < j GROUP BY 1, 2""")
+def neighborhood_counts(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    return spatial.neighborhood_counts(c, neighbours.spatial_neighbors(c))
+
+
+@query()
+def neighborhood_enrichment(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    out = spatial.neighborhood_enrichment(c, neighbours.spatial_neighbors(c), n_permutations=200)
+    return out.select("cluster_a", "cluster_b", "observed", r6("expected"), r6("zscore"), r6("pval"))
+
+
+@query(f"""WITH {PIXELS_SQL},
+p AS (SELECT a.cluster AS ca, b.cluster AS cb, least(floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.5), 9) AS bin FROM px a JOIN px b ON a.section = b.section AND a.pixel_id <> b.pixel_id
+  WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 25),
+t AS (SELECT ca, bin, count(*) AS n FROM p GROUP BY 1, 2), f AS (SELECT cluster AS cb, count(*) / CAST((SELECT count(*) FROM px) AS DOUBLE) AS f FROM px GROUP BY 1),
+c AS (SELECT ca, cb, bin, count(*) AS n FROM p GROUP BY 1, 2, 3)
+SELECT t.ca AS cluster_a, f.cb AS cluster_b, CAST(t.bin AS INTEGER) AS bin, (t.bin + 0.5) * 0.5 AS distance, round(coalesce(c.n, 0) / CAST(t.n AS DOUBLE) / f, 6) AS ratio
+FROM t CROSS JOIN f LEFT JOIN c ON c.ca = t.ca AND c.cb = f.cb AND c.bin = t.bin""")
+def co_occurrence(spark, sf_dir):
+    return spatial.co_occurrence(pixel_cohort(spark, sf_dir), n_bins=10, max_dist=5.0).select("cluster_a", "cluster_b", "bin", r6("distance"), r6("ratio"))
+
+
+@query(f"""WITH {PIXELS_SQL},
+d AS (SELECT a.pixel_id, floor(sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) / 0.8) AS bin FROM px a JOIN px b ON a.section = b.section AND b.cluster = '3' GROUP BY 1
+  HAVING sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) < 4)
+SELECT CAST(bin AS INTEGER) AS bin, round((bin + 0.5) * 0.8, 6) AS distance, metabolite, round(avg(value), 6) AS mean_value, count(*) AS n_pixels FROM lg JOIN d USING (pixel_id) GROUP BY bin, metabolite""")
+def spatial_gradient(spark, sf_dir):
+    return _gradient(spark, sf_dir).select("bin", r6("distance"), "metabolite", r6("mean_value"), "n_pixels")
+
+
+def _gradient(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    # the nearest other target would be found for a target itself, so targets are at distance 0
+    return spatial.spatial_gradient(c, "cluster", "3", 5, 4.0)
+
+
+@query(f"""WITH {PIXELS_SQL}, p AS (SELECT a.metabolite AS source, b.metabolite AS target, corr(a.value, b.value) AS w FROM lg a JOIN lg b ON a.pixel_id = b.pixel_id AND a.feature_idx < b.feature_idx GROUP BY 1, 2)
+SELECT source, target, round(w, 6) AS weight FROM p WHERE w >= 0.05""")
+def colocalization_pearson(spark, sf_dir):
+    return _colocalized(spark, sf_dir, "pearson", 0.05)
+
+
+@query(f"""WITH {PIXELS_SQL}, p AS (SELECT a.metabolite AS source, b.metabolite AS target, sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value)) AS w
+  FROM lg a JOIN lg b ON a.pixel_id = b.pixel_id AND a.feature_idx < b.feature_idx GROUP BY 1, 2)
+SELECT source, target, round(w, 6) AS weight FROM p WHERE w >= 0.9""")
+def colocalization_cosine(spark, sf_dir):
+    return _colocalized(spark, sf_dir, "cosine", 0.9)
+
+
+@query()
+def colocalization_median(spark, sf_dir):
+    return _colocalized(spark, sf_dir, "cosine_median", 0.4)
+
+
+def _colocalized(spark, sf_dir, metric, threshold):
+    c = pixel_cohort(spark, sf_dir)
+    c = c.describe_features("morans_i", [1 - i / 64 for i in range(64)])
+    return spatial.metabolite_colocalization(c, 64, threshold, metric=metric).select("source", "target", r6("weight"))
+
+
+# --- embeddings and clusterings --------------------------------------------------------------
+
+
+@query()
+def run_pca(spark, sf_dir):
+    c = reduce.run_pca(pixel_cohort(spark, sf_dir), 10)
+    return c.pixels.select("pixel_id", F.transform("pca", lambda v: F.round(v, 5) + 0.0).alias("pca"))
+
+
+@query(f"""WITH {PIXELS_SQL}, p AS (SELECT a.pixel_id AS i, b.pixel_id AS j, sum((a.value - b.value) * (a.value - b.value)) AS d2 FROM lg a JOIN lg b ON a.feature_idx = b.feature_idx AND a.pixel_id <> b.pixel_id GROUP BY 1, 2)
+SELECT i, j, round(sqrt(d2), 5) AS d, rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rank FROM p) WHERE rank <= 3""")
+def knn_values(spark, sf_dir):
+    rows = pixel_cohort(spark, sf_dir).pixels.select(F.col("pixel_id").alias("id"), "values")
+    return reduce.knn_graph(rows, "values", 3).select("i", "j", F.round("d", 5).alias("d"), F.col("r").cast("long").alias("rank"))
+
+
+@query()
+def run_neighbors(spark, sf_dir):
+    return reduce.run_neighbors(reduce.run_pca(pixel_cohort(spark, sf_dir), 10), 10, 10).select("i", "j", r6("d"), "r")
+
+
+@query()
+def cluster_graph(spark, sf_dir):
+    c = reduce.run_pca(pixel_cohort(spark, sf_dir), 10)
+    return cluster.cluster(c, reduce.run_neighbors(c, 10, 10), [0.5, 1.0], "community").pixels.select("pixel_id", "community_0_5", "community_1", "community")
+
+
+@query()
+def spatial_domains_kmeans(spark, sf_dir):
+    return reduce.spatial_domains_kmeans(reduce.run_pca(pixel_cohort(spark, sf_dir), 10), 4, n_init=2).pixels.select("pixel_id", "domain")
+
+
+@query()
+def cluster_nmf(spark, sf_dir):
+    return reduce.cluster_nmf(pixel_cohort(spark, sf_dir), 4)[1]
+
+
+@query()
+def correct_batches(spark, sf_dir):
+    return values_of(reduce.correct_batches(pixel_cohort(spark, sf_dir), "response"))
+
+
+@query()
+def run_harmony(spark, sf_dir):
+    c = reduce.run_harmony(reduce.run_pca(pixel_cohort(spark, sf_dir), 10), "response", rounds=2)
+    return c.pixels.select("pixel_id", F.transform("pca_harmony", lambda v: F.round(v, 5)).alias("pca_harmony"))
+
+
+@query(f"""WITH {PIXELS_SQL}, p AS (SELECT a.pixel_id AS i, b.pixel_id AS j, sum((a.value - b.value) * (a.value - b.value)) AS d2 FROM lg a JOIN lg b ON a.feature_idx = b.feature_idx AND a.pixel_id <> b.pixel_id GROUP BY 1, 2),
+k AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS r FROM p) WHERE r <= 15),
+c AS (SELECT i, response, count(*) AS c FROM k JOIN px ON pixel_id = j GROUP BY 1, 2), s AS (SELECT i, sum(c) * sum(c) / CAST(sum(c * c) AS DOUBLE) AS s FROM c GROUP BY 1)
+SELECT round(avg(s), 6) AS score FROM s""")
+def batch_mixing_score(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    return reduce.batch_mixing_score(c, "response", "values", 15)[1].agg(r6(F.avg("score"), "score"))
+
+
+@query(f"""WITH {PIXELS_SQL}, p AS (SELECT a.pixel_id AS i, b.pixel_id AS j, a.cluster AS own, b.cluster AS c, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS d FROM lg a JOIN lg b ON a.feature_idx = b.feature_idx AND a.pixel_id <> b.pixel_id GROUP BY 1, 2, 3, 4),
+m AS (SELECT i, own, c, avg(d) AS d FROM p GROUP BY 1, 2, 3), s AS (SELECT i, max(d) FILTER (WHERE own = c) AS a, min(d) FILTER (WHERE own <> c) AS b FROM m GROUP BY 1)
+SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0e0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n_pixels FROM s""")
+def cluster_validation(spark, sf_dir):
+    out = reduce.cluster_validation(pixel_cohort(spark, sf_dir), use_rep="values", sample_size=1_000_000)
+    return out.select(r6("silhouette"), "n_pixels")
+
+
+@query(f"""WITH {PIXELS_SQL}, c AS (SELECT cluster, patient, count(*) AS n FROM px GROUP BY 1, 2),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2e0) FROM c) AS ij, (SELECT sum(t * (t - 1) / 2e0) FROM (SELECT sum(n) AS t FROM c GROUP BY cluster)) AS a,
+  (SELECT sum(t * (t - 1) / 2e0) FROM (SELECT sum(n) AS t FROM c GROUP BY patient)) AS b, (SELECT sum(n) * (sum(n) - 1) / 2e0 FROM c) AS t)
+SELECT round((ij - a * b / t) / ((a + b) / 2e0 - a * b / t), 6) + 0e0 AS ari FROM s""")
+def compare_clusterings(spark, sf_dir):
+    return cluster.compare_clusterings(pixel_cohort(spark, sf_dir), "cluster", "patient").select(r6("ari"))
+
+
+@query(f"""WITH {PIXELS_SQL}, {_KNN}, un AS (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM nn),
+c AS (SELECT least(a.cluster, b.cluster) AS ca, greatest(a.cluster, b.cluster) AS cb, count(*) AS n FROM un JOIN px a ON a.pixel_id = i JOIN px b ON b.pixel_id = j GROUP BY 1, 2),
+g AS (SELECT c, sum(n) AS d FROM (SELECT ca AS c, n FROM c UNION ALL SELECT cb, n FROM c) GROUP BY 1), t AS (SELECT sum(d) AS t FROM g)
+SELECT ca AS cluster_a, cb AS cluster_b, n AS edges, round(x.d * y.d / CAST(t AS DOUBLE), 6) AS expected, round(least(1e0, n / (x.d * y.d / CAST(t AS DOUBLE))), 6) AS connectivity
+FROM c JOIN g x ON x.c = ca JOIN g y ON y.c = cb, t WHERE ca <> cb""")
+def run_paga(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    key = lambda n: F.concat_ws("/", "section", F.col(n).cast("string")).alias(n)
+    edges = neighbours.spatial_neighbors(c).select(key("i"), key("j"))
+    return cluster.run_paga(c, edges).select("cluster_a", "cluster_b", "edges", r6("expected"), r6("connectivity"))
+
+
+# --- tables behind figures -------------------------------------------------------------------
+
+
+@query(f"""WITH {PIXELS_SQL}, c AS (SELECT response AS "group", cluster, count(*) AS n FROM px GROUP BY 1, 2)
+SELECT "group", cluster, n, round(100e0 * n / sum(n) OVER (PARTITION BY "group"), 6) AS percent FROM c""")
+def figure_composition(spark, sf_dir):
+    return figures.composition(pixel_cohort(spark, sf_dir), "response").select("group", "cluster", "n", r6("percent"))
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT cluster AS "group", metabolite, round(avg(value), 6) AS mean, round(avg(CASE WHEN value > 0 THEN 1e0 ELSE 0e0 END), 6) AS fraction_positive
+FROM lg WHERE metabolite IN ('m001', 'm002') GROUP BY 1, 2""")
+def figure_group_means(spark, sf_dir):
+    return figures.group_means(pixel_cohort(spark, sf_dir), "cluster", ["m001", "m002"]).select("group", "metabolite", r6("mean"), r6("fraction_positive"))
+
+
+@query(f"""WITH {PIXELS_SQL}, r AS (SELECT metabolite, avg(value) FILTER (WHERE is_tissue) / (avg(value) FILTER (WHERE is_background) + 1e-9) AS ratio FROM lg GROUP BY 1),
+t AS (SELECT i * 10e0 / 119 AS threshold FROM range(120) AS g(i)) SELECT round(threshold, 6) AS threshold, count(*) FILTER (WHERE ratio >= threshold) AS n_kept FROM t, r GROUP BY 1""")
+def figure_retention(spark, sf_dir):
+    return figures.qc_retention(pixel_cohort(spark, sf_dir)).select(r6("threshold"), "n_kept")
+
+
+@query(f"""WITH {PIXELS_SQL}, v AS (SELECT section, x, y, value FROM lg WHERE metabolite = 'm003')
+SELECT section, x, y, round(value, 6) AS value, round((SELECT quantile_cont(value, 0.01) FROM v), 6) AS vmin, round((SELECT quantile_cont(value, 0.99) FROM v), 6) AS vmax FROM v""")
+def figure_spatial_map(spark, sf_dir):
+    return figures.spatial_map(pixel_cohort(spark, sf_dir), "m003").select("section", "x", "y", r6("value"), r6("vmin"), r6("vmax"))
+
+
+@query(f"WITH {_TWO_SQL} SELECT round(ea, 1) + 0e0 AS x, round(eb, 1) + 0e0 AS y, count(*) AS n FROM b GROUP BY 1, 2")
+def figure_stacked_points(spark, sf_dir):
+    two = difference.compare_abundance_and_organization(*_two_results(spark, sf_dir))
+    return figures.stacked_points(two, "delta_abundance", "delta_organization", 1)
+
+
+# --- identifiers and pathways ----------------------------------------------------------------
+
+_MAPPING = "mp AS (SELECT DISTINCT p_name AS q, CASE WHEN length(p_name) % 3 = 0 THEN 'C' || CAST(length(p_name) AS VARCHAR) END AS kegg FROM part)"
+
+
+@query(f"WITH {_MAPPING} SELECT q AS query, kegg, kegg IS NOT NULL AS matched FROM mp")
+def map_compound_ids(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("metabolite")).distinct()
+    size = F.length("metabolite")
+    mapping = names.select(F.col("metabolite").alias("query"), F.when(size % 3 == 0, F.concat(F.lit("C"), size.cast("string"))).otherwise("NA").alias("kegg"))
+    return pathways.map_compound_ids(names, mapping).select("query", "kegg", "matched")
+
+
+@query("""SELECT DISTINCT 'path ' || p_brand AS set_name, 'C' || CAST(p_size AS VARCHAR) AS member FROM part WHERE p_size % 2 = 0""")
+def pathway_sets(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    links = p.select(F.concat(F.lit("cpd:C"), F.col("p_size").cast("string")).alias("compound"), F.concat(F.lit("path:map"), "p_brand").alias("pathway"))
+    names = p.select(F.concat(F.lit("map"), "p_brand").alias("pathway"), F.concat(F.lit("path "), "p_brand").alias("name")).distinct()
+    even = p.where("p_size % 2 = 0").select(F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("kegg")).distinct()
+    return pathways.pathway_sets(links, names, compounds=even)
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
