@@ -61,13 +61,13 @@ def highest_entropy(run: str, window: int = WINDOW) -> float:
     total = 0.0  # sum of n log2 n over the window's characters
     least = math.inf
     for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        total += cost[n + 1] - cost[n]
-        counts[c] = n + 1
         if i >= width:
             n = counts[out := run[i - width]]
             total += cost[n - 1] - cost[n]
             counts[out] = n - 1
+        n = counts.get(c, 0)
+        total += cost[n + 1] - cost[n]
+        counts[c] = n + 1
         if i >= width - 1:
             least = min(least, total)
     return math.log2(width) - least / width if run else 0.0
