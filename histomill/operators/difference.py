@@ -345,6 +345,11 @@ def differential_spatial_organization(organization: Samples, group_key: str, gro
     return differential_abundance(organization.metric(metric), group_key, group1, group2, min_samples).withColumnRenamed("log2fc", "log2fc_metric")
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation; null where a side is constant."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def compare_signatures(a: DataFrame, b: DataFrame, effect_col: str = "delta", labels: Sequence[str] = ("a", "b"), min_shared: int = 10, n_boot: int = 0, random_state: int = 0) -> tuple[dict, DataFrame]:
     """Spearman's rho of two effect tables, its p, and the features side by side."""
     for t in (a, b):
@@ -355,7 +360,7 @@ def compare_signatures(a: DataFrame, b: DataFrame, effect_col: str = "delta", la
     both = a.select("metabolite", F.col(effect_col).cast("double").alias("ea")).join(b.select("metabolite", F.col(effect_col).cast("double").alias("eb")), "metabolite")
     both = both.where("ea IS NOT NULL AND eb IS NOT NULL")
     ranked = both.select("*", mid_rank("ea").alias("ra"), mid_rank("eb").alias("rb"))
-    rho, n, da, db = ranked.agg(F.corr("ra", "rb"), F.count(F.lit(1)), F.max("ea") - F.min("ea"), F.max("eb") - F.min("eb")).first()
+    rho, n, da, db = ranked.agg(correlation("ra", "rb"), F.count(F.lit(1)), F.max("ea") - F.min("ea"), F.max("eb") - F.min("eb")).first()
     if n < min_shared:
         raise InvalidParameterError(f"{n} metabolites are shared, fewer than {min_shared}.")
     if not da or not db:
@@ -372,8 +377,8 @@ def compare_signatures(a: DataFrame, b: DataFrame, effect_col: str = "delta", la
         drawn = both.withColumn("i", F.row_number().over(Window.orderBy("metabolite")) - 1)  # a row a feature
         picks = drawn.sparkSession.range(n_boot).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("j"))
         picks = picks.select("rep", F.pmod(F.xxhash64(F.lit(random_state), "rep", "j"), F.lit(n)).cast("int").alias("i")).join(F.broadcast(drawn), "i")
-        rhos = picks.select("rep", mid_rank("ea", "rep").alias("ra"), mid_rank("eb", "rep").alias("rb")).groupBy("rep").agg(F.corr("ra", "rb").alias("r"))
-        low, high = rhos.where("NOT isnan(r)").agg(F.percentile("r", [0.025, 0.975])).first()[0]
+        rhos = picks.select("rep", mid_rank("ea", "rep").alias("ra"), mid_rank("eb", "rep").alias("rb")).groupBy("rep").agg(correlation("ra", "rb").alias("r"))
+        low, high = rhos.where("r IS NOT NULL").agg(F.percentile("r", [0.025, 0.975])).first()[0]
         summary |= {"rho_ci_low": low, "rho_ci_high": high}
     return summary, table.orderBy("metabolite")
 
