@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from histomill.llm.common import clashless, materialise
 
 DIMENSIONS = 1024
-#: Most rows on which the scorer is trained; they are those of least hash.
+#: Most rows on which the scorer is trained, drawn by hash.
 TRAINING_ROWS = 20_000
 ITERATIONS = 100
 #: A document is rejected if its probability of being good is below this.
@@ -196,7 +196,12 @@ def fit(described: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
     """The model from stored rows of :func:`describe`."""
     patterns = {r.votes: r.n for r in described.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     posteriors, accuracies = estimate(patterns)
-    sample = described.select("at", "value", "votes").orderBy(F.xxhash64("doc_id"), "doc_id", "votes").limit(training_rows).collect()
+    # a share by hash first: otherwise every task would send the driver a whole sample
+    steps = 1 << 24
+    share = min(steps, -(-steps * 2 * training_rows // max(1, sum(patterns.values()))))
+    key = F.xxhash64("doc_id")
+    drawn = described.where(F.pmod(key, F.lit(steps)) < share).select("at", "value", "votes", key.alias("k"), "doc_id")
+    sample = drawn.orderBy("k", "doc_id", "votes").limit(training_rows).collect()
     weights, intercept = train([(r["at"], r["value"], posteriors[r.votes]) for r in sample])
     return Model(weights, intercept, posteriors, accuracies)
 
