@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,29 +13,41 @@ _OWN: list[str] = []
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the folder in ``spark.checkpoint.dir`` and read it back, so that the next
-    round of an iteration starts from data that outlive any executor. Where the setting is
-    missing (local tests) an own temporary folder serves."""
-    spark = df.sparkSession
+def workspace(spark: SparkSession) -> str:
+    """Folder that the driver and every executor can reach: ``spark.checkpoint.dir`` of the
+    session, or an own temporary folder where that is unset (local tests only)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="histomill-"))
-        base = _OWN[0]
-    path = f"{base.rstrip('/')}/histomill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if base:
+        return base.rstrip("/") + "/histomill"
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="histomill-"))
+    return f"file://{_OWN[0]}"
+
+
+def claim(spark: SparkSession, name: str) -> str:
+    """A path in the workspace that is deleted when the process ends."""
+    path = f"{workspace(spark)}/{name}"
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the workspace and read it back: cuts the lineage with data that outlive
+    any executor and that later plans can prune by column."""
+    path = claim(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
-def drop_stored() -> None:
-    """Delete what this process has stored."""
+def clear_workspace() -> None:
+    """Delete what this process has stored; a long session may call it between jobs."""
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001 - the session may be gone at exit
-            return
+            break
+    while _OWN:
+        shutil.rmtree(_OWN.pop(), ignore_errors=True)
