@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -18,12 +20,14 @@ def ship_package(spark: SparkSession) -> None:
     if name in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="histomill-"), "histomill_package.zip")
+    folder = tempfile.mkdtemp(prefix="histomill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "histomill_package.zip")
     with zipfile.ZipFile(path, "w") as out:
-        for folder, _, files in sorted(os.walk(root)):
+        for place, _, files in sorted(os.walk(root)):
             for f in sorted(files):
                 if f.endswith(".py"):
-                    full = os.path.join(folder, f)
+                    full = os.path.join(place, f)
                     out.write(full, os.path.join("histomill", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(name)

@@ -179,3 +179,16 @@ def test_figures(spark):
     bulk = samples.pseudobulk(c, "section")
     assert figures.organization_matrix(bulk.values, bulk.samples, "response", 3, result).count() == 12
     assert np.isclose(figures.composition(c, "response").agg(F.sum("percent")).first()[0], 200)
+
+
+def test_pathways_of_a_result(spark):
+    from histomill.operators import annotate
+
+    result = spark.createDataFrame([(f"n{i}", 0.9 if i < 4 else 0.0) for i in range(20)], "metabolite string, delta double")
+    ids = spark.createDataFrame([(f"n{i}", f"C{i}" if i < 18 else None) for i in range(20)], "query string, kegg string")
+    links = spark.createDataFrame([(f"c{i}", "map1" if i < 4 else "map2") for i in range(18)], "compound string, pathway string")
+    names = spark.createDataFrame([("map1", "first")], "pathway string, name string")
+    rows = annotate.annotate_pathways(result, ids, links, names).collect()
+    assert [(r.pathway, r.direction, r.n_hits) for r in rows] == [("first", "any", 4), ("first", "up", 4)] and rows[0].pval < 0.001
+    with pytest.raises(InvalidParameterError):
+        annotate.annotate_pathways(result, ids.where("kegg is null"), links, names)
