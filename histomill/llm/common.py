@@ -2,72 +2,44 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-_OWN: list[str] = []
+from histomill.storage import claim
+from histomill.storage import stored as materialise  # noqa: F401 - the operators' name for it
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def workspace(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach: ``spark.checkpoint.dir`` of the
-    session, or an own temporary folder where that is unset (local tests only)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="histomill-"))
-    return _OWN[0]
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage with data that
-    survive the loss of any executor and that later plans can prune by column."""
-    spark = df.sparkSession
-    path = f"{workspace(spark)}/histomill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def share_file(spark: SparkSession, path: str, name: str) -> str:
     """Copy a file of the driver into the shared folder; its address there."""
-    target = f"{workspace(spark)}/histomill/{name}"
+    target = claim(spark, name)
     to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
     files = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{path}"), to)
-    _WRITTEN.append((spark, target))
     return target
 
 
-def clear_workspace() -> None:
-    """Delete every table written by :func:`materialise` in this process."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit
-            return
-
-
-atexit.register(clear_workspace)
-
-
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast ``df`` only if a count proves that it has at most ``max_rows`` rows; otherwise
     leave the join to a shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_hot(big: DataFrame, unique: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join of ``big`` with a stored table that has each key once and the number of its
+    rows in ``big``. Keys with over 1/200 of all rows, of which there are fewer than 200, are
+    looked up by broadcast, so none of them meets in one task; the others shuffle."""
+    total = unique.agg(F.sum(rows)).first()[0] or 0
+    hot = [r[0] for r in unique.where(F.col(rows) > max(1000, total // 200)).select(key).collect()]
+    if not hot:
+        return big.join(unique, key)
+    is_hot = F.col(key).isin(hot)
+    rest = big.where(~is_hot).join(unique.where(~is_hot), key)
+    return big.where(is_hot).join(F.broadcast(unique.where(is_hot)), key).unionByName(rest)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. ``lower`` is used where it gives the same result,
     that is where the text has no cased character outside ASCII."""

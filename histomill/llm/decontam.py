@@ -195,6 +195,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, length: int = WIND
 def clean_only(documents: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, in which no benchmark window occurs."""
     _, found = hits(documents, benchmark, length)
+    leaks = materialise(found.where("n_hit > 0").select("doc_id", "digest"), "leaks")
     digest = F.xxhash64(F.coalesce(F.col("t.text"), F.lit("")))
     same = F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (digest == F.col("f.digest"))
-    return documents.alias("t").join(found.where("n_hit > 0").alias("f"), same, "left_anti")
+    return documents.alias("t").join(small_side(leaks, BROADCAST_ROWS).alias("f"), same, "left_anti")

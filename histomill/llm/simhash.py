@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histomill.llm.common import clashless, materialise
+from histomill.llm.common import clashless, join_hot, materialise, small_side
 from histomill.llm.graph import components
 
 SHINGLE = 3
@@ -37,6 +37,8 @@ SEED = 42
 BITS = 2
 PIVOTS = 16
 GROUP = 32
+#: Most keys of dropped documents that are broadcast (16 bytes each); beyond it they are joined.
+LOOKED_UP = 500_000
 _BLOCKS, _WIDTH = 4, 16
 
 
@@ -60,17 +62,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every row; ``fp`` is the fingerprint as a signed long."""
+    """``(doc_id, digest, fp)`` of every row: a digest of the text and its fingerprint, as longs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.array([fingerprint(t if isinstance(t, str) else None) for t in b["text"].array], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": b["digest"], "fp": fps.view(np.int64)})
 
     # ids pass through as text: pandas would turn longs beside nulls into floats
-    rows = clashless(documents, "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = clashless(documents, "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
+    return rows.mapInPandas(run, "doc_id string, digest long, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _signed(value: int) -> int:
@@ -119,27 +125,27 @@ def links(fps: DataFrame, pivots: int = PIVOTS, group: int = GROUP) -> DataFrame
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row: the smallest id that links reach."""
+    """``doc_id, digest, fp, component_id`` of every row: the smallest id that links reach."""
     rows = materialise(fingerprints(documents), "fingerprints")
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     labels = components(links(distinct.select("fp")))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = materialise(named.join(least, "label").select("fp", "n", "component_id"), "components")
-    # a fingerprint that over 1/200 of the rows share is hot; there are fewer than 200 of them
-    hot = [r.fp for r in named.where(F.col("n") > max(1000, rows.count() // 200)).select("fp").collect()]
-    is_hot = F.col("fp").isin(hot) if hot else F.lit(False)
-    warm = rows.where(is_hot).join(F.broadcast(named.where(is_hot).select("fp", "component_id")), "fp")
-    rest = rows.where(~is_hot).join(named.where(~is_hot).select("fp", "component_id"), "fp")
-    return warm.unionByName(rest).select("doc_id", "fp", "component_id")
+    return join_hot(rows, named, "fp", "n").select("doc_id", "digest", "fp", "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """The documents, with all their columns, less those that a smaller id of their component
     stands for. Rows without ``doc_id`` stay; of rows that repeat an id one stays."""
     found = near_duplicates(documents)
-    kept = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    stays = documents.alias("t").join(kept.alias("k"), F.col("t.doc_id") == F.col("k.doc_id"), "left_semi")
-    if not kept.where("n > 1").isEmpty():
-        stays = stays.dropDuplicates(["doc_id"])
-    return stays.unionByName(documents.where("doc_id IS NULL"))
+    # what goes is a small part of what stays, and a key of two longs: texts are shuffled only
+    # where even these are too many to be looked up
+    gone = materialise(found.where("doc_id <> component_id").select("doc_id", "digest").distinct(), "gone")
+    same = (F.col("t.doc_id") == F.col("g.doc_id")) & (digest(F.col("t.text")) == F.col("g.digest"))
+    stays = documents.alias("t").join(small_side(gone, LOOKED_UP).alias("g"), same, "left_anti")
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return stays
+    whole = stays.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return whole.unionByName(stays.where("doc_id IS NULL"))
