@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from histomill.llm.common import clashless, materialise
+from histomill.llm.common import clashless, join_hot, materialise
 
 SENTENCES = 2
 WORDS = 20
@@ -82,9 +82,9 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """``doc_id, text, n_sentences, n_removed, removed`` of every row: the text without repeated
     passages and the removed sentences' numbers as ``first-last`` ranges."""
     found = materialise(spans(documents), "spans")
-    repeated = found.groupBy("h").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    repeated = materialise(found.groupBy("h").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated")
     covered = (
-        found.join(repeated, "h")
+        join_hot(found, repeated, "h", "times")
         .select("doc", "digest", F.struct("place", "n", F.when(F.col("doc") == F.col("first_doc"), F.col("h")).alias("h")).alias("run"))
         .groupBy("doc", "digest")
         .agg(F.collect_set("run").alias("runs"))  # at most one a sentence of the document
