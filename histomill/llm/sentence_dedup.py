@@ -62,11 +62,18 @@ def runs(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Few documents at a time: their runs take many times the memory of their texts."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows]
+
+
 def spans(documents: DataFrame) -> DataFrame:
     """``(h, doc, digest, place, n)`` of every run; ``doc`` is the largest long for null ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _slices(batches):
             rows = [(h - (1 << 64) if h >> 63 else h, d, g, p, n) for t, d, g in zip(b["text"].array, b["doc"].array, b["digest"].array, strict=True) for h, p, n in runs(t)]
             yield pd.DataFrame(rows, columns=["h", "doc", "digest", "place", "n"])
 
@@ -95,7 +102,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     )
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for doc, text, place, n, h in zip(*(b[c].array for c in ("doc_id", "text", "place", "n", "h")), strict=True):
                 if not isinstance(text, str):
