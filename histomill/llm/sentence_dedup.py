@@ -1,9 +1,10 @@
 """Substring dedup over sliding spans of sentences.
 
 A text is cut into sentences (long ones at commas, then every ``LONGEST`` words), without
-losing a character. From every sentence the shortest run of at least ``SENTENCES`` sentences
-and ``WORDS`` words is hashed. Runs are joined globally on the hash: the first occurrence (by
-``doc_id``, then place) stays, and sentences under any other occurrence are removed.
+losing a character. The shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words from
+every sentence and up to every sentence is hashed; together they cover what all longer runs would.
+Runs are joined globally on the hash: the first occurrence (by ``doc_id``, then place) stays, and
+sentences under any other occurrence are removed.
 
 Defined results: null text stays null and has no sentences; texts shorter than a run are left
 alone; rows that repeat a ``doc_id`` count as one document and keep what its first occurrence
@@ -45,20 +46,29 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(text: str) -> list[tuple[int, int, int]]:
-    """``(hash, place, number of sentences)`` of every run."""
+    """``(hash, place, number of sentences)`` of the shortest run from every sentence and of the
+    shortest run up to every sentence. Of a longer run that is found elsewhere, every sentence
+    lies in one of these that is found there too."""
     words = [s.lower().split() for s in sentences(text)]
-    joined = [" ".join(w).encode() for w in words]
-    sizes = list(map(len, words))
-    out, end, held = [], 0, 0
-    for start in range(len(words)):
-        while end < len(words) and (held < WORDS or end - start < SENTENCES):
-            held += sizes[end]
+    full = [i for i, w in enumerate(words) if w]
+    joined = [" ".join(words[i]).encode() for i in full]
+    ends, end, held = [], 0, 0  # where the shortest run from each sentence ends
+    for start in range(len(full)):
+        while end < len(full) and (held < WORDS or end - start < SENTENCES):
+            held += len(words[full[end]])
             end += 1
         if held < WORDS or end - start < SENTENCES:
             break
-        if sizes[start]:
-            out.append((xxhash.xxh64_intdigest(b" ".join(filter(None, joined[start:end]))), start, end - start))
-        held -= sizes[start]
+        ends.append(end)
+        held -= len(words[full[start]])
+    out = []
+    for start, end in enumerate(ends):
+        run = xxhash.xxh64(b" ".join(joined[start:end]))
+        out.append((run.intdigest(), full[start], full[end - 1] - full[start] + 1))
+        # ends that the next sentence's run does not reach: the shortest runs up to them start here
+        for last in range(end, ends[start + 1] - 1 if start + 1 < len(ends) else len(full)):
+            run.update(b" " + joined[last])
+            out.append((run.intdigest(), full[start], full[last] - full[start] + 1))
     return out
 
 
@@ -94,7 +104,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
         join_hot(found, repeated, "h", "times")
         .select("doc", "digest", F.struct("place", "n", F.when(F.col("doc") == F.col("first_doc"), F.col("h")).alias("h")).alias("run"))
         .groupBy("doc", "digest")
-        .agg(F.collect_set("run").alias("runs"))  # at most one a sentence of the document
+        .agg(F.collect_set("run").alias("runs"))  # at most two a sentence of the document
     )
     texts = clashless(documents, "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text", *_key())
     joined = texts.join(covered, ["doc", "digest"], "left").select(

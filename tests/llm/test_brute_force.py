@@ -260,6 +260,35 @@ def test_repeated_passages_go_and_others_stay(documents, plain):
     assert all(line not in got[d].text for line, found in lines.items() for d in dict.fromkeys(found[1:]) if d != found[0])
 
 
+def test_repeated_passages_go_to_their_ends(spark):
+    r = random.Random(9)
+    pool = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) + ". " for n in [16, 5, 7, 1, 2, 3, 9, 12, 16, 4, 8, 6, 1, 11, 2, 16]]
+    made = lambda n: [" ".join(f"v{r.randrange(10**6)}" for _ in range(r.randint(1, 16))) + ". " for _ in range(n)]
+    docs = [pool, [*made(1), *pool[:3], *made(2)], [*made(2), *pool[:3]]]
+    for _ in range(60):
+        doc = []
+        for _ in range(r.randint(1, 4)):
+            at = r.randrange(len(pool))
+            doc += pool[at : at + r.randint(1, 7)] + made(r.randint(0, 2))
+        docs.append(doc)
+    docs.append(["\n", *docs[1]])
+    first, spans = {}, []
+    for d, doc in enumerate(docs):
+        assert sentence_dedup.sentences("".join(doc)) == doc
+        for p in range(len(doc)):
+            for e in range(p + 2, len(doc) + 1):  # every run
+                name = " ".join("".join(doc[p:e]).split())
+                if name.count(" ") >= 19 and doc[p].strip():
+                    first.setdefault(name, (d, p))
+                    spans.append((d, p, e, name))
+    gone = {(d, s) for d, p, e, name in spans if first[name] != (d, p) for s in range(p, e)}
+    table = spark.createDataFrame([(d, "".join(doc)) for d, doc in enumerate(docs)], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in sentence_dedup.deduplicate(table).collect()}
+    for d, doc in enumerate(docs):
+        assert got[d] == "".join(s for i, s in enumerate(doc) if (d, i) not in gone)
+    assert got[1] == "".join(docs[1][:1] + docs[1][4:]) and got[2] == "".join(docs[2][:2])
+
+
 @settings(max_examples=100, deadline=None)
 @given(text=st.text("ab ,.;!?\n", max_size=300))
 def test_sentences_lose_nothing(text):
