@@ -1,11 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each under the path of block tags that leads to it. Text length
-and punctuation are added up for every path and divided by the number of its nodes; both
-ratios are fused, smoothed along the page, and paths below a share of the page's spread are
-dropped, together with the paths through menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and comments. Where the page names its article, only paths through it
-are weighed. Headings and short nodes that share the selected paths' container stay.
+A page is cut into text nodes, each under the path of block tags that leads to it, without the
+paths through menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+comments. Text length outside links and punctuation are added up for every path and divided by
+the number of its nodes; both ratios are fused with the nodes' own, smoothed along the page, and
+nodes below a share of the page's spread are not selected. The innermost element with most of
+what is selected is the container; text in an article or main element weighs more. Headings and
+short nodes stay in the container, but neither lists of links nor parts without a node that
+measures up to the selected ones; outside it only nodes that measure up stay.
 
 Defined results: null or blank html gives empty text; markup that never ends is read up to its
 end; repeated rows are read each; other columns are ignored.
@@ -17,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,8 +53,15 @@ DROPPED_WORDS = re.compile(
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
-#: Share of the spread of the page's smoothed ratios that a path must reach.
+#: Share of the spread of the page's fused ratios that a node must reach.
 THRESHOLD = 0.5
+#: Weight of text in an article or main element, share of the selected weight that the container
+#: holds at least, and share of the selected nodes' mean weight that a part's best node reaches.
+BONUS, HELD, STRONG = 1.5, 0.7, 0.5
+#: Elements that are parts of a text rather than containers of it, and elements that hold texts.
+PARTS = frozenset("p li ul ol dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hr".split()) | HEADINGS
+HOLDERS = frozenset("html body main article section".split())
+_LINK = re.compile(r"<(/?)a(?=[\s>/])", re.I)
 
 
 def _dropped(tag: str, attributes: str) -> bool:
@@ -68,19 +78,38 @@ def _dropped(tag: str, attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
 
 
-def nodes(html: str) -> list[tuple[tuple[str, ...], str, bool]]:
-    """``(path, text, dropped)`` of the page's blocks of text, in page order."""
-    stack: list[tuple[str, bool]] = []  # blocks that are open, and whether they are dropped
-    out: list[tuple[tuple[str, ...], str, bool]] = []
+class Node(NamedTuple):
+    path: tuple[str, ...]
+    elements: tuple[int, ...]  # numbers of the path's elements
+    text: str
+    linked: int  # characters in links
+    links: int
+    dropped: bool
+
+
+def nodes(html: str) -> list[Node]:
+    """The page's blocks of text, in page order."""
+    stack: list[tuple[str, bool, int]] = []  # blocks that are open, whether they are dropped, their numbers
+    out: list[Node] = []
     held: list[str] = []
+    linked = links = opened = 0
+    in_link = False
     lost = 0  # open blocks that are dropped
 
+    def hold(text: str) -> None:
+        nonlocal linked
+        held.append(text)
+        if in_link:
+            linked += len(_SPACE.sub(" ", unescape(text)).strip())
+
     def flush() -> None:
+        nonlocal linked, links
         if held:
             text = _SPACE.sub(" ", unescape("".join(held))).strip()
             if text:
-                out.append((tuple(t for t, _ in stack), text, lost > 0))
+                out.append(Node(tuple(t for t, _, _ in stack), tuple(i for _, _, i in stack), text, min(linked, len(text)), max(links, linked > 0), lost > 0))
             held.clear()
+        linked = links = 0
 
     def pop_to(depth: int) -> None:
         nonlocal lost
@@ -91,14 +120,14 @@ def nodes(html: str) -> list[tuple[tuple[str, ...], str, bool]]:
     while at < n:
         m = _TOKEN.search(html, at)
         if not m:
-            held.append(html[at:])
+            hold(html[at:])
             break
         if m.start() > at:
-            held.append(html[at : m.start()])
+            hold(html[at : m.start()])
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                held.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                hold(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag, attributes = m[2].lower(), m[3]
         if tag in RAW and not m[1]:
@@ -107,7 +136,11 @@ def nodes(html: str) -> list[tuple[tuple[str, ...], str, bool]]:
             if tag not in ("script", "style", "svg", "math"):
                 flush()
             continue
-        if tag in INLINE and not (not m[1] and _dropped(tag, attributes)) and not any(t == tag for t, _ in stack):
+        if tag == "a":
+            end = None if m[1] or not re.search(r"(?:^|\s)href\s*=", attributes, re.I) else _LINK.search(html, at)
+            in_link = bool(end and end[1])  # a link that is never closed is none
+        if tag in INLINE and not (not m[1] and _dropped(tag, attributes)) and not any(t == tag for t, _, _ in stack):
+            links += tag == "a" and in_link
             continue
         flush()
         if tag in VOID:
@@ -119,49 +152,111 @@ def nodes(html: str) -> list[tuple[tuple[str, ...], str, bool]]:
             continue
         if tag not in INLINE:  # a block ends an open paragraph
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if depth is not None and not any(t in ("table", "object", "button") for t, _ in stack[depth:]):
+            if depth is not None and not any(t in ("table", "object", "button") for t, _, _ in stack[depth:]):
                 pop_to(depth)
         if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
             pop_to(len(stack) - 1)
         if not attributes.rstrip().endswith("/"):
             bad = _dropped(tag, attributes)
-            stack.append((tag, bad))
+            opened += 1
+            stack.append((tag, bad, opened))
             lost += bad
     flush()
     return out
 
 
-def select(found: list[tuple[tuple[str, ...], str, bool]], threshold: float = THRESHOLD) -> list[str]:
-    """Texts of the nodes that belong to the article."""
-    kept = [(p, t) for p, t, dropped in found if not dropped]
+def _weight(chars: float, marks: float, n: int = 1) -> float:
+    """Both ratios of ``n`` nodes in one."""
+    return math.sqrt((chars / n) * (1 + marks / n)) * math.log1p(chars)
+
+
+def _link_lists(found: list[Node]) -> set[int]:
+    """Places of the nodes that are rows of links or belong to lists of links."""
+    groups: dict[tuple[int, ...], list[int]] = {}
+    for x in found:
+        at = groups.setdefault(x.elements[-2:-1], [0, 0, 0])
+        at[0] += x.linked
+        at[1] += len(x.text)
+        at[2] += x.links > 0
+    mostly = lambda linked, chars: 2 * linked > chars
+    return {
+        i
+        for i, x in enumerate(found)
+        if mostly(x.linked, len(x.text)) and (x.links > 2 or mostly(*groups[x.elements[-2:-1]][:2]) and groups[x.elements[-2:-1]][2] > 1)
+    }
+
+
+def _container(found: list[Node], weights: dict[int, float]) -> tuple[tuple[int, ...], tuple[str, ...]]:
+    """Numbers and tags of the elements down to the innermost that holds most of the weight, or
+    to the article (or else main element) around it."""
+    sums: dict[int, float] = {}
+    for i, w in weights.items():
+        x = found[i]
+        depth = len(x.path) - (bool(x.path) and x.path[-1] not in HOLDERS)
+        for element in x.elements[: next((k for k in range(depth) if x.path[k] in PARTS), depth)]:
+            sums[element] = sums.get(element, 0.0) + w
+    total = sum(weights.values())
+    at = max((e for e, w in sums.items() if w >= HELD * total), default=0)  # over half: they are nested, inner ones later
+    x = next((x for x in found if at in x.elements), found[0])
+    depth = x.elements.index(at) + 1 if at else 0
     for name in ("article", "main"):
-        if any(name in p for p, _ in kept):
-            kept = [(p, t) for p, t in kept if name in p]
+        if name in x.path[:depth]:
+            depth -= x.path[:depth][::-1].index(name)
             break
+    return x.elements[:depth], x.path[:depth]
+
+
+def select(found: list[Node], threshold: float = THRESHOLD) -> list[str]:
+    """Texts of the nodes that belong to the article."""
+    kept = [x for x in found if not x.dropped]
+    listed = _link_lists(kept)
+    if len(listed) < len(kept):  # a page of nothing but links keeps them
+        kept = [x for i, x in enumerate(kept) if i not in listed]
     if not kept:
         return []
-    length: dict[tuple[str, ...], list[float]] = {}
-    for p, t in kept:
-        at = length.setdefault(p, [0, 0, 0])
-        at[0] += len(t)
-        at[1] += len(PUNCTUATION.findall(t))
+    marks = [len(PUNCTUATION.findall(x.text)) for x in kept]
+    chars = [len(x.text) - x.linked for x in kept]
+    bonus = [BONUS if "article" in x.path or "main" in x.path else 1.0 for x in kept]
+    own = [b * _weight(c, m) for b, c, m in zip(bonus, chars, marks, strict=True)]
+    sums: dict[tuple[str, ...], list[float]] = {}
+    for x, c, m, b in zip(kept, chars, marks, bonus, strict=True):
+        at = sums.setdefault(x.path, [0, 0, 0, b])
+        at[0] += c
+        at[1] += m
         at[2] += 1
-    ratio = {p: math.sqrt((chars / n) * (1 + marks / n)) * math.log1p(chars) for p, (chars, marks, n) in length.items()}
-    raw = [ratio[p] for p, _ in kept]
-    smooth = {p: [0.0, 0] for p in ratio}
-    for i, (p, _) in enumerate(kept):
-        near = [(abs(i - j), raw[j]) for j in range(max(0, i - 2), min(len(raw), i + 3))]
+    ratio = {p: b * _weight(c, m, n) for p, (c, m, n, b) in sums.items()}
+    fused = []
+    for i, x in enumerate(kept):
+        near = [(abs(i - j), own[j]) for j in range(max(0, i - 2), min(len(own), i + 3))]
         weights = [math.exp(-d * d / 2) for d, _ in near]
-        smooth[p][0] += sum(w * v for w, (_, v) in zip(weights, near, strict=True)) / sum(weights)
-        smooth[p][1] += 1
-    fused = {p: 0.5 * ratio[p] + 0.5 * total / n for p, (total, n) in smooth.items()}
-    mean = sum(fused.values()) / len(fused)
-    spread = math.sqrt(sum((v - mean) ** 2 for v in fused.values()) / len(fused))
-    best = max(fused, key=lambda p: (fused[p], p))
-    chosen = {p for p, v in fused.items() if v >= threshold * spread}
-    container = next((best[: i + 1] for i, t in enumerate(best) if t in ("article", "main")), best[:-1])
-    inside = lambda p: p[: len(container)] == container
-    return [t for p, t in kept if inside(p) or p in chosen and p[-1:] not in {(h,) for h in HEADINGS}]
+        fused.append(0.5 * ratio[x.path] + 0.5 * sum(w * v for w, (_, v) in zip(weights, near, strict=True)) / sum(weights))
+    of_path: dict[tuple[str, ...], list[float]] = {}
+    for x, v in zip(kept, fused, strict=True):
+        of_path.setdefault(x.path, []).append(v)
+    means = [sum(v) / len(v) for v in of_path.values()]
+    mean = sum(means) / len(means)
+    spread = math.sqrt(sum((v - mean) ** 2 for v in means) / len(means))
+    heading = [x.path[-1:] != () and x.path[-1] in HEADINGS for x in kept]
+    chosen = {i for i, v in enumerate(fused) if v >= threshold * spread and not heading[i]} or set(range(len(kept)))
+    container, tags = _container(kept, {i: own[i] for i in chosen})
+    depth = len(container)
+    inside = [x.elements[depth - 1 : depth] == container[-1:] if depth else True for x in kept]
+    within = [own[i] for i in chosen if inside[i]]
+    measure = STRONG * sum(within) / max(len(within), 1)
+    strong = {i for i in chosen if own[i] >= measure}
+    parts = {kept[i].elements[depth : depth + 1] for i in strong if inside[i]} - {()}
+
+    def stays(i: int) -> bool:
+        x = kept[i]
+        if not inside[i]:
+            return i in strong
+        if x.elements[depth : depth + 1] in parts:
+            return True
+        if len(x.path) > depth + 1 and x.path[depth] not in PARTS or x.path[depth : depth + 1] in (("article",), ("section",)):
+            return False  # in a part of its own that has no strong node
+        return i in chosen or heading[i] or tags[-1:] not in ((), ("html",), ("body",))
+
+    return [x.text for i, x in enumerate(kept) if stays(i)]
 
 
 def extract(html: str | None) -> str:

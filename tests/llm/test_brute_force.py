@@ -237,6 +237,40 @@ def test_what_is_no_article():
         assert isinstance(html_text.extract(odd * 3), str)
 
 
+STORY = [f"Paragraph {i} of the story, which is long enough, has several marks; it goes on, and on, until its very end, as stories do." for i in range(4)]
+
+
+def test_teaser_articles_are_not_the_text():
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    cards = "".join(f'<article class="card"><h3>Teaser {i}</h3><p>Short one.</p></article>' for i in range(4))
+    want = " ".join(["Title", *STORY])
+    for page in (
+        f"<body><div id=story><h1>Title</h1>{story}</div><div>{cards}</div></body>",
+        f"<body><div id=story><h1>Title</h1>{story}</div>{cards}</body>",
+        f"<body>{cards}<main><h1>Title</h1>{story}</main></body>",
+        f"<body><article><h1>Title</h1>{story}</article>{cards}</body>",
+        f"<body><article><h1>Title</h1>{story}<div>{cards}</div></article></body>",
+        f"<body><main><article><h1>Title</h1><div>{story}</div></article>{cards}</main></body>",
+    ):
+        assert html_text.extract(page) == want, page
+
+
+def test_articles_of_a_page_all_stay():
+    both = [f"<article><h2>Head {k}</h2><p>{STORY[k]}</p><p>{STORY[k + 1]}</p></article>" for k in (0, 2)]
+    assert html_text.extract(f"<body>{both[0]}{both[1]}</body>") == f"Head 0 {STORY[0]} {STORY[1]} Head 2 {STORY[2]} {STORY[3]}"
+    parts = f"<body><div><p>{STORY[0]}</p></div><div><p>{STORY[1]}</p><p>{STORY[2]}</p><p>{STORY[3]}</p></div></body>"
+    assert html_text.extract(parts) == " ".join(STORY)
+
+
+def test_lists_of_links_in_an_article_go():
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    links = "".join(f'<li><a href="/{i}">Another story number {i}</a></li>' for i in range(5))
+    row = "".join(f'<a href="/t{i}">tag {i}</a> ' for i in range(5))
+    points = "<ul><li>A point.</li><li>One <a href=x>more</a>, too.</li></ul>"
+    page = f"<article><h1><a href=/>Title</a></h1>{story}{points}<ul>{links}</ul><div>{row}</div><p>The end.</p></article>"
+    assert html_text.extract(page) == " ".join(["Title", *STORY, "A point. One more, too. The end."])
+
+
 # --- repeated passages
 
 
