@@ -7,6 +7,10 @@ window would start; the lists of a window's rarest terms are intersected on that
 the text at the places that all of them name is compared word by word. A window one of whose
 terms has no posting cannot match and is dropped first. DataFrame functions only.
 
+Proximity matches are places where ``share`` of a window's distinct words stand within ``length``
+words and ``slop`` more on either side, in any order. As many words of a window as may be missing,
+and one more, have their lists read: one of these is hit by every match, whichever words it lacks.
+
 Defined results: null or empty text has no words and is clean; an item without words has no
 window; an item shorter than a window is one window; repeated rows are judged each; a null
 ``doc_id`` or ``item_id`` is a value like any other (a null item id is written as ``null``);
@@ -30,6 +34,10 @@ ANCHORS = 3
 INTERSECTED = 2
 #: Most distinct benchmark terms or windows that are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Share of a window's distinct words that a proximity match holds.
+SHARE = 0.8
+#: Words on either side of a window's place in which proximity matches are sought, if they are.
+NEAR_SLOP = 3
 
 
 def fenced_words(text: Column) -> Column:
@@ -77,11 +85,33 @@ def anchored(grams: DataFrame, terms: int = ANCHORS) -> DataFrame:
     )
 
 
-def index(documents: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Stored postings ``(doc_id, digest, term_id, pos)`` of the anchors' terms, and one row a
-    document with the term id of the empty string whose position is its number of words."""
+def near_lists(grams: DataFrame, share: float = SHARE) -> DataFrame:
+    """``(term_id, wins, vocabulary, least)``: for each list that proximity matches are sought by,
+    the windows (id, words, fewest distinct words) it is read for, their words together and the
+    fewest of all. It is read for a window of which it holds one of the rarest words, of which
+    there is one more than may be missing."""
+    places = grams.select("window_id", F.explode(F.array_distinct("terms")).alias("t"))
+    held = places.groupBy("t").agg(F.count(F.lit(1)).alias("held"))
+    rank = F.struct("held", (-F.length("t")).alias("length"), folded(F.col("t")).alias("term_id"), "t")
+    need = F.ceil(F.size("r") * share).cast("int")
+    return (
+        places.join(held, "t")
+        .groupBy("window_id")
+        .agg(F.array_sort(F.collect_list(rank)).alias("r"))
+        .select(F.struct("window_id", F.col("r.t").alias("terms"), need.alias("need")).alias("win"), F.explode(F.array_distinct(F.slice(F.col("r.term_id"), F.lit(1), F.size("r") - need + 1))).alias("term_id"))
+        .groupBy("term_id")
+        .agg(F.collect_list("win").alias("wins"))
+        .select("term_id", "wins", F.array_distinct(F.flatten("wins.terms")).alias("vocabulary"), F.array_min("wins.need").alias("least"))
+    )
+
+
+def index(documents: DataFrame, anchors: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Stored postings ``(doc_id, digest, term_id, pos)`` of the anchors' terms and of ``more``
+    terms, and one row a document with the term id of the empty string whose position is its
+    number of words."""
     end = anchors.sparkSession.range(1).select(folded(F.lit("")).alias("term_id"))
-    vocabulary = anchors.select(F.explode("anchors.term_id").alias("term_id")).unionByName(end).distinct()
+    vocabulary = anchors.select(F.explode("anchors.term_id").alias("term_id")).unionByName(end)
+    vocabulary = (vocabulary if more is None else vocabulary.unionByName(more.select("term_id"))).distinct()
     words = clashless(documents, "doc_id", "text").select(
         "doc_id",
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"),
@@ -96,18 +126,16 @@ def index(documents: DataFrame, anchors: DataFrame) -> DataFrame:
     return materialise(postings, "postings")
 
 
-def candidates(postings: DataFrame, anchors: DataFrame, every: bool = True) -> DataFrame:
-    """``(doc_id, digest, window_id, start)``: places that a window's shortest lists all name, or,
-    with ``every`` false, that its shortest list does."""
-    lists_read = INTERSECTED if every else 1
+def candidates(postings: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``(doc_id, digest, window_id, start)``: places that a window's shortest lists all name."""
     counts = postings.groupBy("term_id").agg(F.count(F.lit(1)).alias("tf"))
     lists = anchors.select("window_id", F.explode("anchors").alias("a")).select("window_id", "a.off", "a.term_id")
     ranked = (
         lists.join(counts, "term_id", "left")
         .groupBy("window_id")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "off", "term_id"))).alias("r"))
-        .where((F.col("r")[0]["tf"] > 0) if every else F.lit(True))
-        .select("window_id", F.least(F.size("r"), F.lit(lists_read)).alias("k"), F.explode(F.slice("r", 1, lists_read)).alias("a"))
+        .where(F.col("r")[0]["tf"] > 0)
+        .select("window_id", F.least(F.size("r"), F.lit(INTERSECTED)).alias("k"), F.explode(F.slice("r", 1, INTERSECTED)).alias("a"))
         .select("window_id", "k", "a.off", "a.term_id")
     )
     ranked = materialise(ranked, "lists")
@@ -117,59 +145,91 @@ def candidates(postings: DataFrame, anchors: DataFrame, every: bool = True) -> D
         .where("start >= 0")
     )
     places = named.groupBy("doc_id", "digest", "window_id", "start").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
-    return places.where(F.col("n") >= F.col("k") if every else F.lit(True)).select("doc_id", "digest", "window_id", "start")
+    return places.where(F.col("n") >= F.col("k")).select("doc_id", "digest", "window_id", "start")
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+
+
+def _words_at(documents: DataFrame, places: DataFrame, lowered: bool = False) -> DataFrame:
+    """``(doc_id, digest, w, places)`` of the documents with places, ``w`` being fenced words; A-Z
+    lower-cased at once if most words are in some place."""
+    texts = clashless(documents, "doc_id", "text").select(
+        "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), "text"
+    )
+    wanted = small_side(places.select("doc_id", "digest"), BROADCAST_ROWS).alias("k")
+    texts = texts.alias("t").join(wanted, _same("t", "k"), "left_semi")
+    text = ascii_lower(F.col("t.text")) if lowered else F.col("t.text")
+    return texts.join(places.alias("p"), _same("t", "p")).select("t.doc_id", "t.digest", fenced_words(text).alias("w"), "p.places")
+
+
+def _lowered(words: Column | str) -> Column:
+    return F.transform(words, ascii_lower)
+
 
+def _items(items: str = "items") -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(items))))
 
-def hits(documents: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = 0, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+
+def near_items(documents: DataFrame, postings: DataFrame, grams: DataFrame, lists: DataFrame, length: int, slop: int) -> DataFrame:
+    """``(doc_id, digest, near_items)`` of the documents with proximity matches."""
+    span = length + 2 * slop
+    read = small_side(lists.select("term_id"), BROADCAST_ROWS)
+    places = materialise(
+        postings.join(read, "term_id").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("term_id", "pos")).alias("places")), "near_places"
+    )
+    spots = _words_at(documents, places, True).select("doc_id", "digest", F.explode(F.transform("places", lambda x: F.struct(
+        x["term_id"].alias("term_id"), F.slice("w", F.greatest(x["pos"] - span + 1, F.lit(0)) + 2, 2 * span - 1).alias("around")
+    ))).alias("s")).select("doc_id", "digest", "s.term_id", "s.around")
+    holds = lambda words, terms, least: F.size(F.array_intersect(words, terms)) >= least
+    starts = F.sequence(F.lit(1), F.greatest(F.size("around") - span + 1, F.lit(1)))
+    return (
+        spots.join(small_side(lists, BROADCAST_ROWS), "term_id")
+        .where(holds("around", "vocabulary", F.col("least")))
+        .select("doc_id", "digest", "around", F.explode("wins").alias("win"))
+        .where(holds("around", "win.terms", F.col("win.need")))
+        .where(F.exists(starts, lambda i: holds(F.slice("around", i, span), "win.terms", F.col("win.need"))))
+        .select("doc_id", "digest", "win.window_id")
+        .distinct()
+        .join(small_side(grams.select("window_id", "items"), BROADCAST_ROWS), "window_id")
+        .groupBy("doc_id", "digest")
+        .agg(_items().alias("near_items"))
+    )
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = 0, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     """``(sizes, found)``: one row a document with its number of words and copies, and one row a
     document with matches: hit words, matching items and, for ``slop`` > 0, the items of which
-    ``share`` of a window's distinct words stand within ``slop`` words around a rarest term."""
+    ``share`` of a window's distinct words stand within ``length`` and twice ``slop`` words."""
     grams = materialise(windows(benchmark, length), "windows")
     anchors = materialise(anchored(grams), "anchors")
-    postings = index(documents, anchors)
+    lists = materialise(near_lists(grams, share), "near_lists") if slop else None
+    postings = index(documents, anchors, lists)
     end = F.col("term_id") == folded(F.lit(""))
     sizes = postings.where(end).groupBy("doc_id", "digest").agg(F.max("pos").cast("long").alias("n_words"), F.count(F.lit(1)).alias("copies"))
     places = materialise(
-        candidates(postings.where(~end), anchors, slop == 0)
-        .groupBy("doc_id", "digest")
-        .agg(F.collect_list(F.struct("window_id", "start")).alias("places")),
+        candidates(postings.where(~end), anchors).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("window_id", "start")).alias("places")),
         "places",
     )
-    keys = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
-    texts = clashless(documents, "doc_id", "text").select(
-        "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), "text"
-    )
-    wanted = small_side(places.select("doc_id", "digest"), BROADCAST_ROWS).alias("k")
-    texts = texts.alias("t").join(wanted, keys("t", "k"), "left_semi")
     spots = (
-        texts.join(places.alias("p"), keys("t", "p"))
-        .select("t.doc_id", "t.digest", fenced_words(F.col("t.text")).alias("w"), "p.places")
+        _words_at(documents, places)
         .select("doc_id", "digest", F.explode(F.transform("places", lambda x: F.struct(
             x["window_id"].alias("window_id"),
             x["start"].alias("start"),
             F.slice("w", x["start"] + 2, length).alias("here"),
-            F.slice("w", F.greatest(x["start"] - slop, F.lit(0)) + 2, length + 2 * slop).alias("around"),
         ))).alias("s"))
         .select("doc_id", "digest", "s.*")
     )
-    lowered = lambda c: F.transform(c, ascii_lower)
-    judged = spots.join(small_side(grams, BROADCAST_ROWS), "window_id").select(
-        "doc_id",
-        "digest",
-        "start",
-        "n",
-        "items",
-        (lowered(F.slice("here", F.lit(1), F.col("n"))) == F.col("terms")).alias("exact"),
-        (F.size(F.array_intersect(lowered("around"), "terms")) >= F.ceil(F.size(F.array_distinct("terms")) * share)).alias("near"),
-    )
-    words_hit = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("exact"), F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))))
-    of = lambda flag: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col(flag), F.col("items"))))))
-    found = (
-        judged.where(F.col("exact") | (F.col("near") & F.lit(slop > 0)))
-        .groupBy("doc_id", "digest")
-        .agg(F.size(words_hit).cast("long").alias("n_hit"), of("exact").alias("items"), of("near").alias("near_items"))
-    )
-    return sizes, found
+    exact = spots.join(small_side(grams, BROADCAST_ROWS), "window_id").where(_lowered(F.slice("here", F.lit(1), F.col("n"))) == F.col("terms"))
+    words_hit = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))))
+    found = exact.groupBy("doc_id", "digest").agg(F.size(words_hit).cast("long").alias("n_hit"), _items().alias("items"))
+    if lists is None:
+        return sizes, found.withColumn("near_items", F.array().cast("array<string>"))
+    near = near_items(documents, postings.where(~end), grams, lists, length, slop)
+    both = found.alias("e").join(near.alias("n"), _same("e", "n"), "full_outer")
+    keys = [F.coalesce(f"e.{c}", f"n.{c}").alias(c) for c in ("doc_id", "digest")]
+    return sizes, both.select(*keys, "n_hit", "items", "near_items")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = 0) -> DataFrame:

@@ -144,6 +144,12 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+def op10_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark's items that it holds exactly and in proximity."""
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontam.NEAR_SLOP)
+    return found.select("doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), "items", "near_items", "contaminated")
+
+
 #: Queries by name; those without SQL are tested against brute force.
 QUERIES = {
     f.__name__: f
@@ -158,6 +164,7 @@ QUERIES = {
         op8_quality,
         op9_sentence_dedup,
         op10_decontaminate,
+        op10_near_matches,
     )
 }
 ORACLES = {"op1_url_filter": OP1_SQL, "op10_decontaminate": OP10_SQL}

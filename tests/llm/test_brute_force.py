@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from histomill.llm import graph, html_text, packing, quality, secrets, sentence_dedup, simhash, spotsigs, url_filter
+from histomill.llm import decontam, graph, html_text, packing, quality, queries, secrets, sentence_dedup, simhash, spotsigs, url_filter
 
 RANKS, TOKENS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 TEXT = st.text(st.characters(blacklist_categories=["Cs"]), max_size=60)
@@ -329,6 +329,54 @@ def test_sentences_lose_nothing(text):
     assert "".join(sentence_dedup.sentences(text)) == text
 
 
+# --- proximity to the benchmark
+
+
+def slow_near(text, item, slop, share=0.8):
+    words = lambda t: [w for w in re.split(r"[^a-z0-9]+", (t or "").lower()) if w]
+    doc, bench, span = words(text), words(item), 10 + 2 * slop
+    spans = [set(doc[i : i + span]) for i in range(max(len(doc) - span, 0) + 1)]
+    wins = [set(bench[i : i + 10]) for i in range(max(len(bench) - 10, 0) + 1)]
+    return any(len(s & w) >= math.ceil(len(w) * share) for w in wins for s in spans)
+
+
+def test_near_matches_whichever_words_are_missing(spark):
+    r = random.Random(4)
+    pool = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(r.choices(pool, k=n))) for i, n in enumerate((10, 12, 25, 3, 40))]
+    texts = [" ".join(r.choices(pool, k=80)) for _ in range(10)]
+    for gone in range(10):  # each word of the first item replaced, and each two by one that is nowhere else
+        w = items[0][1].split()
+        texts.append(" ".join(["x"] * gone + w[:gone] + ["y"] + w[gone + 1 :]))
+        texts.append(" ".join(["x"] * gone + ["z" if i in (gone, (gone + 3) % 10) else t for i, t in enumerate(w)] + ["x"] * 9))
+        texts.append(" ".join(["z" if i in (gone, (gone + 3) % 10, (gone + 5) % 10) else t for i, t in enumerate(w)]))
+    for _ in range(60):
+        w = r.choice(items)[1].split()
+        at = r.randrange(len(w))
+        w = [t for t in w[at : at + r.randint(8, 14)] if r.random() > 0.12]
+        for _ in range(r.randint(0, 4)):
+            i, j = r.randrange(len(w) or 1), r.randrange(len(w) or 1)
+            w[i:i] = w[j : j + 1] if r.random() < 0.5 else ["x"] * r.randint(1, 3)
+        texts.append(" ".join(r.choices(pool, k=r.randint(0, 20)) + w + r.choices(pool, k=r.randint(0, 20))))
+    docs = spark.createDataFrame([*enumerate(texts), (None, items[2][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: x for x in decontam.decontaminate(docs, bench, slop=3).collect()}
+    assert len(got) == len(texts) + 1 and "2" in got[None]["items"] and "2" in got[None].near_items
+    for d, text in enumerate(texts):
+        assert got[d].near_items == [str(i) for i, item in items if slow_near(text, item, 3)], text
+    exact = {x.doc_id: (x.n_hit, x["items"]) for x in decontam.decontaminate(docs, bench).collect()}
+    assert exact == {d: (x.n_hit, x["items"]) for d, x in got.items()}
+
+
+def test_registered_near_matches(spark, data, documents, plain):
+    bench = {x.item_id: x.text for x in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    got = {x.doc_id: x for x in queries.QUERIES["op10_near_matches"](spark, data).collect()}
+    assert got.keys() == plain.keys() and all(set(x["items"]) <= set(x.near_items) for x in got.values())
+    for d in sorted(plain)[:40] + [d for d, x in got.items() if x.near_items][:20]:
+        if plain[d] and plain[d].isascii() and len(plain[d]) < 5000:
+            assert [i for i in got[d].near_items if bench[int(i)].isascii()] == sorted(str(i) for i, t in bench.items() if t.isascii() and slow_near(plain[d], t, 3))
+
+
 # --- quality
 
 
