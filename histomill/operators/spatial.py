@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -245,6 +247,25 @@ def neighborhood_counts(cohort: Cohort, edges: DataFrame, cluster_key: str = "cl
     return pairs.groupBy(F.least("a", "b").alias("cluster_a"), F.greatest("a", "b").alias("cluster_b")).agg(F.count(F.lit(1)).alias("observed"))
 
 
+def _random_labelling(sizes: dict[str, int], n: int, edges: int, adjacent: int) -> list[tuple[str, str, float, float]]:
+    """Label pairs with the exact mean and standard deviation of their edges' count when ``n``
+    pixels are relabelled at random; ``adjacent`` ordered pairs of edges share a pixel."""
+    falling = lambda x, k: math.prod(range(x - k + 1, x + 1)) if x >= k else 0
+    of = lambda ways, k: Fraction(ways, falling(n, k) or 1)
+    out = []
+    for i, a in enumerate(names := sorted(sizes)):
+        for b in names[i:]:
+            x, y = sizes[a], sizes[b]
+            if a == b:
+                one, two, apart = falling(x, 2), falling(x, 3), falling(x, 4)
+            else:
+                one, two, apart = 2 * x * y, x * y * (x + y - 2), 4 * falling(x, 2) * falling(y, 2)
+            mean = edges * of(one, 2)
+            square = mean + adjacent * of(two, 3) + (edges * (edges - 1) - adjacent) * of(apart, 4)
+            out.append((a, b, float(mean), math.sqrt(square - mean * mean)))
+    return out
+
+
 def neighborhood_enrichment(cohort: Cohort, edges: DataFrame, cluster_key: str = "cluster", n_permutations: int = 1000, random_state: int = 0) -> DataFrame:
     """Observed label pairs against permuted labels: expectation, z, p.
 
@@ -255,9 +276,15 @@ def neighborhood_enrichment(cohort: Cohort, edges: DataFrame, cluster_key: str =
     require_column(cohort.pixels.columns, cluster_key, NoClustersError)
     observed = neighborhood_counts(cohort, edges, cluster_key)
     once = edges.where("i < j")
-    if once.limit(SHIPPED_EDGES + 1).count() > SHIPPED_EDGES:
-        raise InvalidParameterError(f"Permutations ship the graph to the workers, at most {SHIPPED_EDGES} edges; split the cohort by section.")
     spark = cohort.pixels.sparkSession
+    if once.limit(SHIPPED_EDGES + 1).count() > SHIPPED_EDGES:
+        counts = cohort.pixels.groupBy(F.col(cluster_key).cast("string").alias("label")).count().collect()
+        ends = once.select("section", F.explode(F.array("i", "j")).alias("id")).groupBy("section", "id").count()
+        total, adjacent = ends.agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1))).first()
+        labelled = {x["label"]: x["count"] for x in counts if x["label"] is not None}
+        rows = _random_labelling(labelled, sum(x["count"] for x in counts), total // 2, adjacent)
+        null = spark.createDataFrame(rows, "cluster_a string, cluster_b string, expected double, sd double").withColumn("sd", F.col("sd") + 1e-9)
+        return _against(null.join(observed, ["cluster_a", "cluster_b"], "left"))
     pixels = cohort.pixels.select(F.coalesce(F.col("section").cast("string"), F.lit("")).alias("section"), F.col("pixel_id").cast("string").alias("id"), F.col(cluster_key).cast("string").alias("label")).toPandas()
     pixels = pixels.sort_values(["section", "id"], ignore_index=True)
     names = sorted(pixels["label"].dropna().unique())
@@ -281,7 +308,11 @@ def neighborhood_enrichment(cohort: Cohort, edges: DataFrame, cluster_key: str =
         F.avg("c").alias("expected"), (F.stddev_pop("c") + 1e-9).alias("sd")
     )
     every = spark.createDataFrame([(i * n + j, names[i], names[j]) for i in range(n) for j in range(i, n)], "pair int, cluster_a string, cluster_b string")
-    out = every.join(observed, ["cluster_a", "cluster_b"], "left").join(null, "pair").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    return _against(every.join(observed, ["cluster_a", "cluster_b"], "left").join(null, "pair"))
+
+
+def _against(out: DataFrame) -> DataFrame:
+    out = out.withColumn("observed", F.coalesce("observed", F.lit(0)))
     out = out.withColumn("zscore", (F.col("observed") - F.col("expected")) / F.col("sd"))
     return out.withColumn("pval", special.normal_two_sided_udf("zscore")).select("cluster_a", "cluster_b", "observed", "expected", "zscore", "pval").orderBy(F.desc("zscore"), "cluster_a", "cluster_b")
 

@@ -250,3 +250,18 @@ def test_signatures(spark):
     assert summary["rho_ci_low"] <= summary["rho"] <= summary["rho_ci_high"] and rows.count() == 20
     with pytest.raises(InvalidParameterError):
         difference.compare_signatures(a, table(lambda i: 0.5))
+
+
+def test_enrichment_of_graphs_too_large_to_ship(spark, monkeypatch):
+    labels = ["a", "a", "b", "b", "b", "c"]
+    c = cohort_of(spark, ["s"] * 6, list(range(6)), [0] * 6, np.ones((6, 1)), cluster=labels)
+    links = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (2, 5)]
+    edges = spark.createDataFrame([("s", i, j) for x, y in links for i, j in ((x, y), (y, x))], "section string, i long, j long")
+    monkeypatch.setattr(spatial, "SHIPPED_EDGES", 3)
+    out = {(q.cluster_a, q.cluster_b): q for q in spatial.neighborhood_enrichment(c, edges).collect()}
+    assert len(out) == 6
+    every = list(itertools.permutations(labels))
+    for pair, q in out.items():
+        counts = [sum(tuple(sorted((p[i], p[j]))) == pair for i, j in links) for p in every]
+        assert q.expected == pytest.approx(np.mean(counts)) and q.observed == sum(tuple(sorted((labels[i], labels[j]))) == pair for i, j in links)
+        assert q.zscore == pytest.approx((q.observed - np.mean(counts)) / (np.std(counts) + 1e-9), abs=1e-6)
