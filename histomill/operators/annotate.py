@@ -40,35 +40,60 @@ CHEMICAL_CLASSES = (
 
 # Whole names by class.
 NAMES = {
-    "Amino acid": "glycine, alanine, serine, threonine, cysteine, valine, leucine, isoleucine, methionine, proline, phenylalanine, tyrosine, "
-    "tryptophan, aspartic acid, glutamic acid, asparagine, glutamine, lysine, arginine, histidine, ornithine, citrulline, taurine, sarcosine, "
-    "betaine, hydroxyproline, homocysteine, homoserine, cystathionine, theanine",
-    "Peptide": "glutathione, oxidized glutathione, glutathione disulfide, carnosine, homocarnosine, anserine, ophthalmic acid",
-    "Polyamine": "putrescine, cadaverine, spermidine, spermine, agmatine, n1-acetylspermidine, n1-acetylspermine, n8-acetylspermidine, "
-    "1-methylspermidine, canavalmine, thermospermine",
-    "Amine": "carnitine, acetylcarnitine, choline, phosphocholine, glycerophosphocholine, ethanolamine, o-phosphoethanolamine, "
-    "phosphoethanolamine, sphingosine, sphinganine, phytosphingosine",
-    "Sterol": "cholesterol, cholesteryl ester, cholic acid, deoxycholic acid, chenodeoxycholic acid, taurocholic acid, glycocholic acid, "
-    "lithocholic acid, cortisol, cortisone, testosterone, estradiol, progesterone, pregnenolone, dehydroepiandrosterone, lanosterol, "
-    "desmosterol, 7-dehydrocholesterol",
-    "Organic acid": "citric acid, citrate, lactic acid, lactate, pyruvic acid, pyruvate, succinic acid, succinate, fumaric acid, fumarate, "
-    "malic acid, malate, oxaloacetic acid, alpha-ketoglutaric acid, 2-oxoglutaric acid, isocitric acid, aconitic acid, acetoacetic acid, "
-    "beta-hydroxybutyric acid, urocanic acid",
-    "Nucleotide": "atp, adp, amp, gtp, gdp, gmp, utp, udp, ump, ctp, cdp, cmp, nad, nadh, nadp, nadph, fad, fadh2, adenine, adenosine, "
-    "guanine, guanosine, cytosine, cytidine, thymine, thymidine, uracil, uridine, inosine, hypoxanthine, xanthine, coenzyme a, acetyl-coa",
-    "Carbohydrate": "glucose, fructose, galactose, mannose, sucrose, lactose, maltose, ribose, glucose-6-phosphate, fructose-6-phosphate, "
-    "glucosamine, n-acetylglucosamine, n-acetylneuraminic acid, sorbitol, mannitol, inositol, myo-inositol, glycogen, trehalose",
-    "Vitamin/cofactor": "ascorbic acid, retinol, retinoic acid, thiamine, riboflavin, niacin, nicotinamide, nicotinic acid, pantothenic acid, "
-    "pyridoxine, pyridoxal, biotin, folic acid, cobalamin, tocopherol, alpha-tocopherol, phylloquinone, menaquinone, heme, biliverdin, bilirubin",
+    "Amino acid": (
+        "glycine", "alanine", "serine", "threonine", "cysteine", "valine", "leucine", "isoleucine", "methionine", "proline", "phenylalanine",
+        "tyrosine", "tryptophan", "aspartic acid", "glutamic acid", "asparagine", "glutamine", "lysine", "arginine", "histidine", "ornithine",
+        "citrulline", "taurine", "sarcosine", "betaine", "hydroxyproline", "homocysteine", "homoserine", "cystathionine", "theanine",
+    ),
+    "Peptide": (
+        "glutathione", "oxidized glutathione", "glutathione disulfide", "carnosine", "homocarnosine", "anserine", "ophthalmic acid",
+    ),
+    "Polyamine": (
+        "putrescine", "cadaverine", "spermidine", "spermine", "agmatine", "n1-acetylspermidine", "n1-acetylspermine", "n8-acetylspermidine",
+        "1-methylspermidine", "canavalmine", "thermospermine",
+    ),
+    "Amine": (
+        "carnitine", "acetylcarnitine", "choline", "phosphocholine", "glycerophosphocholine", "ethanolamine", "o-phosphoethanolamine",
+        "phosphoethanolamine", "sphingosine", "sphinganine", "phytosphingosine",
+    ),
+    "Sterol": (
+        "cholesterol", "cholesteryl ester", "cholic acid", "deoxycholic acid", "chenodeoxycholic acid", "taurocholic acid", "glycocholic acid",
+        "lithocholic acid", "cortisol", "cortisone", "testosterone", "estradiol", "progesterone", "pregnenolone", "dehydroepiandrosterone",
+        "lanosterol", "desmosterol", "7-dehydrocholesterol",
+    ),
+    "Organic acid": (
+        "citric acid", "citrate", "lactic acid", "lactate", "pyruvic acid", "pyruvate", "succinic acid", "succinate", "fumaric acid", "fumarate",
+        "malic acid", "malate", "oxaloacetic acid", "alpha-ketoglutaric acid", "2-oxoglutaric acid", "isocitric acid", "aconitic acid",
+        "acetoacetic acid", "beta-hydroxybutyric acid", "urocanic acid",
+    ),
+    "Nucleotide": (
+        "atp", "adp", "amp", "gtp", "gdp", "gmp", "utp", "udp", "ump", "ctp", "cdp", "cmp", "nad", "nadh", "nadp", "nadph", "fad", "fadh2",
+        "adenine", "adenosine", "guanine", "guanosine", "cytosine", "cytidine", "thymine", "thymidine", "uracil", "uridine", "inosine",
+        "hypoxanthine", "xanthine", "coenzyme a", "acetyl-coa",
+    ),
+    "Carbohydrate": (
+        "glucose", "fructose", "galactose", "mannose", "sucrose", "lactose", "maltose", "ribose", "glucose-6-phosphate", "fructose-6-phosphate",
+        "glucosamine", "n-acetylglucosamine", "n-acetylneuraminic acid", "sorbitol", "mannitol", "inositol", "myo-inositol", "glycogen", "trehalose",
+    ),
+    "Vitamin/cofactor": (
+        "ascorbic acid", "retinol", "retinoic acid", "thiamine", "riboflavin", "niacin", "nicotinamide", "nicotinic acid", "pantothenic acid",
+        "pyridoxine", "pyridoxal", "biotin", "folic acid", "cobalamin", "tocopherol", "alpha-tocopherol", "phylloquinone", "menaquinone", "heme",
+        "biliverdin", "bilirubin",
+    ),
 }
 
-# Heads of lipid shorthand by class.
+# Class of every head of lipid shorthand.
 LIPID_HEADS = {
-    "Glycerophospholipid": "pc pe ps pi pg pa lpc lpe lps lpi lpg lpa plasmenyl-pc plasmenyl-pe cl bmp",
-    "Sphingolipid": "sm cer hexcer glccer galcer laccer s1p so sph gb3 gm1 gm3",
-    "Glycerolipid": "tg dg mg tag dag mag",
-    "Sterol": "ce st",
-    "Fatty acyl": "fa car acylcarnitine coa wax",
+    "pc": "Glycerophospholipid", "pe": "Glycerophospholipid", "ps": "Glycerophospholipid", "pi": "Glycerophospholipid", "pg": "Glycerophospholipid",
+    "pa": "Glycerophospholipid", "lpc": "Glycerophospholipid", "lpe": "Glycerophospholipid", "lps": "Glycerophospholipid",
+    "lpi": "Glycerophospholipid", "lpg": "Glycerophospholipid", "lpa": "Glycerophospholipid", "plasmenyl-pc": "Glycerophospholipid",
+    "plasmenyl-pe": "Glycerophospholipid", "cl": "Glycerophospholipid", "bmp": "Glycerophospholipid",
+    "sm": "Sphingolipid", "cer": "Sphingolipid", "hexcer": "Sphingolipid", "glccer": "Sphingolipid", "galcer": "Sphingolipid",
+    "laccer": "Sphingolipid", "s1p": "Sphingolipid", "so": "Sphingolipid", "sph": "Sphingolipid", "gb3": "Sphingolipid", "gm1": "Sphingolipid",
+    "gm3": "Sphingolipid",
+    "tg": "Glycerolipid", "dg": "Glycerolipid", "mg": "Glycerolipid", "tag": "Glycerolipid", "dag": "Glycerolipid", "mag": "Glycerolipid",
+    "ce": "Sterol", "st": "Sterol",
+    "fa": "Fatty acyl", "car": "Fatty acyl", "acylcarnitine": "Fatty acyl", "coa": "Fatty acyl", "wax": "Fatty acyl",
 }
 
 # Patterns in the order in which they are tried; case is ignored.
@@ -121,8 +146,7 @@ class Rules:
     """The rule tables, compiled."""
 
     def __init__(self) -> None:
-        self.whole = {n: c for c, names in NAMES.items() for n in names.split(", ")}
-        self.heads = {h: c for c, heads in LIPID_HEADS.items() for h in heads.split()}
+        self.whole = {n: c for c, names in NAMES.items() for n in names}
         self.patterns = [(c, re.compile(p, re.I)) for c, p in PATTERNS]
         self.descriptor, self.shorthand = re.compile(DESCRIPTOR, re.I), re.compile(SHORTHAND, re.I)
         self.prefixes = [re.compile(p) for p in PREFIXES]
@@ -143,7 +167,7 @@ class Rules:
         tries = (
             self.whole.get(plain),
             self.whole.get(bare),
-            self.heads.get(shorthand[1].lower()) if shorthand else None,
+            LIPID_HEADS.get(shorthand[1].lower()) if shorthand else None,
             next((c for c, p in self.patterns if p.search(plain)), None),
             next((c for s, c in SUFFIXES if plain.endswith(s)), None),
         )

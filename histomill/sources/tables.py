@@ -34,19 +34,23 @@ def coordinate_names(columns: Sequence[str]) -> dict[str, str]:
     return out
 
 
+def _width(line: str, separator: str) -> int:
+    """Number of a row's fields."""
+    return sum(1 for _ in next(csv.reader([line], delimiter=separator)))
+
+
 def sniff_delimiter(head: str) -> str:
-    """The separator of a text table: the csv module's guess, else the one that gives header and
-    first row the same, largest number of fields."""
+    """The separator of a text table: what the csv module recognises, or else the one that cuts
+    the header and the first row into equally many fields, the most of all."""
     try:
-        return csv.Sniffer().sniff(head, "".join(SEPARATORS)).delimiter
+        known = csv.Sniffer().sniff(head, delimiters="".join(SEPARATORS))
     except csv.Error:
-        pass
-    lines = [line for line in head.splitlines() if line.strip()][:2]
-    fields = {s: [len(next(csv.reader([line], delimiter=s))) for line in lines] for s in SEPARATORS}
-    fit = {s: n[0] for s, n in fields.items() if n and min(n) == max(n) > 1}
-    if not fit:
-        raise FileFormatError(f"No separator of {listing(map(repr, SEPARATORS))} gives equal rows.")
-    return max(fit, key=fit.get)
+        header, row = ([*filter(str.strip, head.splitlines()), "", ""])[:2]
+        widths = [(_width(header, s), s) for s in SEPARATORS if header and s in header and (not row or _width(header, s) == _width(row, s))]
+        if not widths:
+            raise FileFormatError(f"No separator of {listing(map(repr, SEPARATORS))} gives equal rows.") from None
+        return max(widths, key=lambda w: w[0])[1]
+    return known.delimiter
 
 
 def number_format(tokens: Sequence[str]) -> tuple[str, str | None, bool]:
@@ -232,7 +236,9 @@ def load_from_folder(spark: SparkSession, folder: str) -> dict[str, Cohort]:
         if region == "unknown":
             out[stem] = read_cohort(spark, f"{folder}/{f}")
         else:
-            groups.setdefault(pair_name(stem), {})[region] = f
+            first = groups.setdefault(pair_name(stem), {}).setdefault(region, f)
+            if first != f:
+                raise FileFormatError(f"'{first}' and '{f}' are both the {region} of '{pair_name(stem)}'.")
     for name, pair in groups.items():
         if len(pair) < 2:
             out |= {os.path.splitext(f)[0]: read_cohort(spark, f"{folder}/{f}") for f in pair.values()}

@@ -9,16 +9,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from histomill.errors import InvalidParameterError
+
 _OWN: list[str] = []
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def workspace(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach: ``spark.checkpoint.dir`` of the
-    session, or an own temporary folder where that is unset (local tests only)."""
+    session. Only a session of one local process may leave that unset; it gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/") + "/histomill"
+    if not spark.sparkContext.master.startswith("local"):
+        raise InvalidParameterError("spark.checkpoint.dir must name a folder that the driver and all executors share.")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="histomill-"))
     return f"file://{_OWN[0]}"
