@@ -9,14 +9,16 @@ what is selected is the container; text in an article or main element weighs mor
 short nodes stay in the container, but neither lists of links nor parts without a node that
 measures up to the selected ones; outside it only nodes that measure up stay.
 
-Defined results: null or blank html gives empty text; markup that never ends is read up to its
-end; repeated rows are read each; other columns are ignored.
+Defined results: null or blank html gives empty text; markup that never ends is read up to the
+page's end, and time and memory are linear in the page, however deep or broken; repeated rows
+are read each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
@@ -27,11 +29,8 @@ from pyspark.sql import functions as F
 
 from histomill.llm.common import clashless
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
 
@@ -45,11 +44,18 @@ INLINE = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: What no article's own text stands in.
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe button select textarea title head menu dialog svg math".split())
+#: Words of class names and ids that speak against an element, unless they are denied
+#: (``no-sidebar``). Those of readers' comments hold whatever the element contains.
 DROPPED_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation"
-    r"|newsletter|notices?|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|advert\w*|banner|breadcrumbs?|cookies?|consent|footer|header|masthead|menu|modal|nav|navbar|navigation"
+    r"|newsletter|notices?|popup|promo|promoted|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[_-])",
     re.I,
 )
+COMMENT_WORDS = re.compile(r"(?:^|[_-])(?:comments?|comment-?list|disqus|replies|respond)(?:$|[_-])", re.I)
+DENIED = re.compile(r"(?:^|[_-])(?:no|non|not|without|has|with|hide|hidden)[_-]", re.I)
+#: Share of the page's weight from which an element is text whatever its class name says, if
+#: no article or main element stands outside it.
+MOST = 0.9
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？]")
@@ -64,117 +70,218 @@ HOLDERS = frozenset("html body main article section".split())
 _LINK = re.compile(r"<(/?)a(?=[\s>/])", re.I)
 
 
-def _dropped(tag: str, attributes: str) -> bool:
+KEPT, SOFT, HARD = 0, 1, 2
+
+
+def _dropped(tag: str, attributes: str) -> int:
+    """``HARD`` for an element that holds no text of an article, ``SOFT`` for one that by its
+    class name may not, else ``KEPT``."""
     if tag in DROPPED:
-        return True
+        return HARD
     if not attributes.strip():
-        return False
+        return KEPT
+    found = KEPT
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
-        if name in ("class", "id") and tag not in ("html", "body") and DROPPED_WORDS.search(value):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body"):
+            words = [w for w in value.split() if not DENIED.search(w)]
+            if any(map(COMMENT_WORDS.search, words)):
+                return HARD
+            if any(map(DROPPED_WORDS.search, words)):
+                found = SOFT
         if name == "role" and value.lower() in DROPPED_ROLES or name == "aria-hidden" and value == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
+            return HARD
+    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
+        return HARD
+    return found
 
 
 class Node(NamedTuple):
-    path: tuple[str, ...]
-    elements: tuple[int, ...]  # numbers of the path's elements
+    element: int  # number of the innermost block around the text
     text: str
     linked: int  # characters in links
     links: int
-    dropped: bool
 
 
-def nodes(html: str) -> list[Node]:
-    """The page's blocks of text, in page order."""
-    stack: list[tuple[str, bool, int]] = []  # blocks that are open, whether they are dropped, their numbers
-    out: list[Node] = []
+class Page:
+    """Blocks of a page as a tree, numbered in page order from 1 (0 is the page), and its texts.
+    Paths of tags are a trie: a number for each step ``(path so far, tag)``."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.drop, self.path = [0], [""], [KEPT], [0]
+        self.steps: dict[tuple[int, str], int] = {}
+        self.texts: list[Node] = []
+
+    def open(self, parent: int, tag: str, drop: int) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.drop.append(drop)
+        self.path.append(self.steps.setdefault((self.path[parent], tag), len(self.steps) + 1))
+        return len(self.parent) - 1
+
+    def down(self, at_top, step) -> list:
+        """A value for every element, the top's first: ``step(element, its parent's value)``."""
+        out = [at_top]
+        for e in range(1, len(self.parent)):
+            out.append(step(e, out[self.parent[e]]))
+        return out
+
+    def up(self, sums: list[float]) -> list[float]:
+        """Sums of every element with all in it."""
+        for e in range(len(sums) - 1, 0, -1):
+            sums[self.parent[e]] += sums[e]
+        return sums
+
+
+class Tokens:
+    """Texts and tags of a page, in time linear in its length."""
+
+    def __init__(self, html: str):
+        self.html, self.loose = html, False
+
+    def _tag_end(self, at: int) -> int:
+        """Place behind the ``>`` that ends a tag; quoted values may hold others. Once quotes turn
+        out to be unbalanced they are ignored. A tag that never ends is read up to the end."""
+        html, n = self.html, len(self.html)
+        i = at
+        while not self.loose:
+            m = _STOP.search(html, i)
+            if m and m[0] == ">":
+                return m.end()
+            end = html.find(m[0], m.end()) if m else -1
+            if end < 0:
+                self.loose = True
+            i = end + 1
+        end = html.find(">", at)
+        return end + 1 if end >= 0 else n
+
+    def __iter__(self) -> Iterator[tuple[str, str, int]]:
+        """``(tag or "", text or attributes, place behind)``; closing tags begin with ``/``. The
+        receiver may set ``at`` to go on elsewhere."""
+        html, n = self.html, len(self.html)
+        self.at = held = 0  # what is read; where text begins
+        while self.at < n:
+            start = html.find("<", self.at)
+            if start < 0:
+                break
+            mark = html[start + 1 : start + 2]
+            name = _NAME.match(html, start)
+            if not name and mark not in ("!", "?"):
+                self.at = start + 1  # a bare sign
+                continue
+            if start > held:
+                yield "", unescape(html[held:start]), start
+            if name:
+                end = self._tag_end(name.end())
+                self.at = end
+                closing = "/" if mark == "/" else ""
+                yield closing + name[1].lower(), html[name.end() : end].removesuffix(">"), end
+            else:
+                opening, closing = next(((o, c) for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if html.startswith(o, start)), ("<", ">"))
+                end = html.find(closing, start + len(opening))
+                self.at = end + len(closing) if end >= 0 else n
+                if closing == "]]>":
+                    yield "", html[start + len(opening) : end if end >= 0 else n], self.at
+            held = self.at
+        if held < n:
+            yield "", unescape(html[held:]), n
+
+
+def read(html: str) -> Page:
+    """The page's blocks and texts."""
+    page = Page()
+    stack = [0]  # blocks that are open
+    open_tags: Counter[str] = Counter()
     held: list[str] = []
-    linked = links = opened = 0
+    linked = links = 0
     in_link = False
-    lost = 0  # open blocks that are dropped
-
-    def hold(text: str) -> None:
-        nonlocal linked
-        held.append(text)
-        if in_link:
-            linked += len(_SPACE.sub(" ", unescape(text)).strip())
+    raw_ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+    tokens = Tokens(html)
 
     def flush() -> None:
         nonlocal linked, links
         if held:
-            text = _SPACE.sub(" ", unescape("".join(held))).strip()
+            text = _SPACE.sub(" ", "".join(held)).strip()
             if text:
-                out.append(Node(tuple(t for t, _, _ in stack), tuple(i for _, _, i in stack), text, min(linked, len(text)), max(links, linked > 0), lost > 0))
+                page.texts.append(Node(stack[-1], text, min(linked, len(text)), max(links, linked > 0)))
             held.clear()
         linked = links = 0
 
-    def pop_to(depth: int) -> None:
-        nonlocal lost
-        while len(stack) > depth:
-            lost -= stack.pop()[1]
-
-    at, n = 0, len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if not m:
-            hold(html[at:])
-            break
-        if m.start() > at:
-            hold(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                hold(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+    def close(tag: str) -> None:
+        """Close the innermost open block of that name and all in it."""
+        while open_tags[tag]:
+            last = page.tag[stack.pop()]
+            open_tags[last] -= 1
+            if last == tag:
+                return
+
+    for tag, rest, behind in tokens:
+        if not tag:
+            held.append(rest)
+            if in_link:
+                linked += len(_SPACE.sub(" ", rest).strip())
             continue
-        tag, attributes = m[2].lower(), m[3]
-        if tag in RAW and not m[1]:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+        ends = tag[0] == "/"
+        tag = tag.lstrip("/")
+        if tag in RAW and not ends:
+            end = raw_ends[tag].search(html, behind)
+            tokens.at = end.end() if end else len(html)
             if tag not in ("script", "style", "svg", "math"):
                 flush()
             continue
         if tag == "a":
-            end = None if m[1] or not re.search(r"(?:^|\s)href\s*=", attributes, re.I) else _LINK.search(html, at)
+            end = None if ends or not re.search(r"(?:^|\s)href\s*=", rest, re.I) else _LINK.search(html, behind)
             in_link = bool(end and end[1])  # a link that is never closed is none
-        if tag in INLINE and not (not m[1] and _dropped(tag, attributes)) and not any(t == tag for t, _, _ in stack):
+        if tag in INLINE and not open_tags[tag] and (ends or _dropped(tag, rest) == KEPT):
             links += tag == "a" and in_link
             continue
         flush()
         if tag in VOID:
             continue
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                pop_to(depth)
+        if ends:
+            close(tag)
             continue
-        if tag not in INLINE:  # a block ends an open paragraph
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if depth is not None and not any(t in ("table", "object", "button") for t, _, _ in stack[depth:]):
-                pop_to(depth)
-        if tag in CLOSES and stack and stack[-1][0] in CLOSES[tag]:
-            pop_to(len(stack) - 1)
-        if not attributes.rstrip().endswith("/"):
-            bad = _dropped(tag, attributes)
-            opened += 1
-            stack.append((tag, bad, opened))
-            lost += bad
+        if tag not in INLINE and open_tags["p"]:  # a block ends an open paragraph
+            around = next(page.tag[e] for e in reversed(stack) if page.tag[e] in ("p", "table", "object", "button"))
+            if around == "p":
+                close("p")
+        if tag in CLOSES and page.tag[stack[-1]] in CLOSES[tag]:
+            close(page.tag[stack[-1]])
+        if not rest.rstrip().endswith("/"):
+            stack.append(page.open(stack[-1], tag, _dropped(tag, rest)))
+            open_tags[tag] += 1
     flush()
-    return out
+    return page
 
 
-def _weight(chars: float, marks: float, n: int = 1) -> float:
-    """Both ratios of ``n`` nodes in one."""
+def weight(chars: float, marks: float, n: int = 1) -> float:
+    """Text length and punctuation of ``n`` texts, fused into one ratio."""
     return math.sqrt((chars / n) * (1 + marks / n)) * math.log1p(chars)
 
 
-def _link_lists(found: list[Node]) -> set[int]:
-    """Places of the nodes that are rows of links or belong to lists of links."""
-    groups: dict[tuple[int, ...], list[int]] = {}
+def _kept(page: Page) -> list[Node]:
+    """Texts outside dropped elements. An element that is dropped by its class name only is kept
+    if it holds nearly all of the page's weight."""
+    hard = page.down(False, lambda e, above: above or page.drop[e] == HARD)
+    found = [x for x in page.texts if not hard[x.element]]
+    if SOFT not in page.drop:
+        return found
+    sums = [0.0] * len(page.parent)
     for x in found:
-        at = groups.setdefault(x.elements[-2:-1], [0, 0, 0])
+        sums[x.element] += weight(len(x.text) - x.linked, len(PUNCTUATION.findall(x.text)))
+    soft = page.down(False, lambda e, above: above or page.drop[e] == SOFT)
+    if any(tag in ("article", "main") and not inside for tag, inside in zip(page.tag, soft, strict=True)):
+        return [x for x in found if not soft[x.element]]
+    sums = page.up(sums)
+    lost = page.down(False, lambda e, above: above or page.drop[e] == SOFT and sums[e] < MOST * sums[0])
+    return [x for x in found if not lost[x.element]]
+
+
+def _link_lists(page: Page, found: list[Node]) -> set[int]:
+    """Places of the texts that are rows of links or belong to lists of links."""
+    groups: dict[int, list[int]] = {}
+    for x in found:
+        at = groups.setdefault(page.parent[x.element], [0, 0, 0])
         at[0] += x.linked
         at[1] += len(x.text)
         at[2] += x.links > 0
@@ -182,86 +289,97 @@ def _link_lists(found: list[Node]) -> set[int]:
     return {
         i
         for i, x in enumerate(found)
-        if mostly(x.linked, len(x.text)) and (x.links > 2 or mostly(*groups[x.elements[-2:-1]][:2]) and groups[x.elements[-2:-1]][2] > 1)
+        if mostly(x.linked, len(x.text)) and (x.links > 2 or mostly(*groups[page.parent[x.element]][:2]) and groups[page.parent[x.element]][2] > 1)
     }
 
 
-def _container(found: list[Node], weights: dict[int, float]) -> tuple[tuple[int, ...], tuple[str, ...]]:
-    """Numbers and tags of the elements down to the innermost that holds most of the weight, or
-    to the article (or else main element) around it."""
-    sums: dict[int, float] = {}
+def path_ratios(page: Page, found: list[Node], bonus: list[float]) -> dict[int, float]:
+    """Fused ratio of every tag path: text outside links and punctuation of all its texts."""
+    sums: dict[int, list[float]] = {}
+    for x, b in zip(found, bonus, strict=True):
+        at = sums.setdefault(page.path[x.element], [0, 0, 0, b])
+        at[0] += len(x.text) - x.linked
+        at[1] += len(PUNCTUATION.findall(x.text))
+        at[2] += 1
+    return {p: b * weight(c, m, n) for p, (c, m, n, b) in sums.items()}
+
+
+def smoothed(values: list[float], reach: int = 2) -> list[float]:
+    """Means of the values around each, by a bell of one text's width."""
+    bell = [math.exp(-d * d / 2) for d in range(reach + 1)]
+    out = []
+    for i in range(len(values)):
+        near = range(max(0, i - reach), min(len(values), i + reach + 1))
+        out.append(sum(bell[abs(i - j)] * values[j] for j in near) / sum(bell[abs(i - j)] for j in near))
+    return out
+
+
+def _container(page: Page, found: list[Node], weights: dict[int, float]) -> int:
+    """The innermost element that holds most of the weight, or the article (or else main
+    element) around it."""
+    outside = page.down(0, lambda e, above: e if above == page.parent[e] and page.tag[e] not in PARTS else above)  # the innermost that is in no part
+    sums = [0.0] * len(page.parent)
     for i, w in weights.items():
-        x = found[i]
-        depth = len(x.path) - (bool(x.path) and x.path[-1] not in HOLDERS)
-        for element in x.elements[: next((k for k in range(depth) if x.path[k] in PARTS), depth)]:
-            sums[element] = sums.get(element, 0.0) + w
+        e = found[i].element
+        sums[page.parent[e] if outside[e] == e and page.tag[e] not in HOLDERS else outside[e]] += w
     total = sum(weights.values())
-    at = max((e for e, w in sums.items() if w >= HELD * total), default=0)  # over half: they are nested, inner ones later
-    x = next((x for x in found if at in x.elements), found[0])
-    depth = x.elements.index(at) + 1 if at else 0
+    sums = page.up(sums)
+    at = max((e for e, w in enumerate(sums) if w >= HELD * total), default=0)  # over half: they are nested, inner ones later
     for name in ("article", "main"):
-        if name in x.path[:depth]:
-            depth -= x.path[:depth][::-1].index(name)
-            break
-    return x.elements[:depth], x.path[:depth]
-
-
-def select(found: list[Node], threshold: float = THRESHOLD) -> list[str]:
-    """Texts of the nodes that belong to the article."""
-    kept = [x for x in found if not x.dropped]
-    listed = _link_lists(kept)
+        e = at
+        while e and page.tag[e] != name:
+            e = page.parent[e]
+        if e:
+            return e
+    return at
+
+
+def select(page: Page, threshold: float = THRESHOLD) -> list[str]:
+    """The texts that belong to the article."""
+    kept = _kept(page)
+    listed = _link_lists(page, kept)
     if len(listed) < len(kept):  # a page of nothing but links keeps them
         kept = [x for i, x in enumerate(kept) if i not in listed]
     if not kept:
         return []
-    marks = [len(PUNCTUATION.findall(x.text)) for x in kept]
-    chars = [len(x.text) - x.linked for x in kept]
-    bonus = [BONUS if "article" in x.path or "main" in x.path else 1.0 for x in kept]
-    own = [b * _weight(c, m) for b, c, m in zip(bonus, chars, marks, strict=True)]
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for x, c, m, b in zip(kept, chars, marks, bonus, strict=True):
-        at = sums.setdefault(x.path, [0, 0, 0, b])
-        at[0] += c
-        at[1] += m
-        at[2] += 1
-    ratio = {p: b * _weight(c, m, n) for p, (c, m, n, b) in sums.items()}
-    fused = []
-    for i, x in enumerate(kept):
-        near = [(abs(i - j), own[j]) for j in range(max(0, i - 2), min(len(own), i + 3))]
-        weights = [math.exp(-d * d / 2) for d, _ in near]
-        fused.append(0.5 * ratio[x.path] + 0.5 * sum(w * v for w, (_, v) in zip(weights, near, strict=True)) / sum(weights))
-    of_path: dict[tuple[str, ...], list[float]] = {}
+    main = page.down(False, lambda e, above: above or page.tag[e] in ("article", "main"))
+    bonus = [BONUS if main[x.element] else 1.0 for x in kept]
+    own = [b * weight(len(x.text) - x.linked, len(PUNCTUATION.findall(x.text))) for b, x in zip(bonus, kept, strict=True)]
+    ratio = path_ratios(page, kept, bonus)
+    fused = [0.5 * ratio[page.path[x.element]] + 0.5 * v for x, v in zip(kept, smoothed(own), strict=True)]
+    of_path: dict[int, list[float]] = {}
     for x, v in zip(kept, fused, strict=True):
-        of_path.setdefault(x.path, []).append(v)
+        of_path.setdefault(page.path[x.element], []).append(v)
     means = [sum(v) / len(v) for v in of_path.values()]
     mean = sum(means) / len(means)
     spread = math.sqrt(sum((v - mean) ** 2 for v in means) / len(means))
-    heading = [x.path[-1:] != () and x.path[-1] in HEADINGS for x in kept]
+    heading = [page.tag[x.element] in HEADINGS for x in kept]
     chosen = {i for i, v in enumerate(fused) if v >= threshold * spread and not heading[i]} or set(range(len(kept)))
-    container, tags = _container(kept, {i: own[i] for i in chosen})
-    depth = len(container)
-    inside = [x.elements[depth - 1 : depth] == container[-1:] if depth else True for x in kept]
-    within = [own[i] for i in chosen if inside[i]]
+    container = _container(page, kept, {i: own[i] for i in chosen})
+    inside = page.down(container == 0, lambda e, above: above or e == container)
+    # the container's child around each element, 0 outside and for the container itself
+    part = page.down(0, lambda e, above: e if inside[e] and page.parent[e] == container and e != container else above)
+    within = [own[i] for i in chosen if inside[kept[i].element]]
     measure = STRONG * sum(within) / max(len(within), 1)
     strong = {i for i in chosen if own[i] >= measure}
-    parts = {kept[i].elements[depth : depth + 1] for i in strong if inside[i]} - {()}
+    parts = {part[kept[i].element] for i in strong if inside[kept[i].element]} - {0}
 
     def stays(i: int) -> bool:
-        x = kept[i]
-        if not inside[i]:
+        at = kept[i].element
+        if not inside[at]:
             return i in strong
-        if x.elements[depth : depth + 1] in parts:
+        if part[at] in parts:
             return True
-        if len(x.path) > depth + 1 and x.path[depth] not in PARTS or x.path[depth : depth + 1] in (("article",), ("section",)):
-            return False  # in a part of its own that has no strong node
-        return i in chosen or heading[i] or tags[-1:] not in ((), ("html",), ("body",))
+        if part[at] not in (0, at) and page.tag[part[at]] not in PARTS or part[at] and page.tag[part[at]] in ("article", "section"):
+            return False  # in a part of its own that has no strong text
+        return i in chosen or heading[i] or page.tag[container] not in ("", "html", "body")
 
     return [x.text for i, x in enumerate(kept) if stays(i)]
 
 
 def extract(html: str | None) -> str:
     """The article's text: blocks in page order, joined by one space."""
-    return " ".join(select(nodes(html))) if html else ""
+    return " ".join(select(read(html))) if html else ""
 
 
 def main_text(pages: DataFrame) -> DataFrame:

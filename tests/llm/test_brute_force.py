@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import time
 import zlib
 from html import unescape
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -271,6 +273,77 @@ def test_lists_of_links_in_an_article_go():
     assert html_text.extract(page) == " ".join(["Title", *STORY, "A point. One more, too. The end."])
 
 
+class Paths(HTMLParser):
+    """Texts of well-formed pages by path, as the standard library reads them."""
+
+    def __init__(self):
+        super().__init__()
+        self.at, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.at.append(tag)
+
+    def handle_endtag(self, tag):
+        self.at.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            self.found.append((tuple(self.at), data.strip()))
+
+
+def test_ratios_of_paths():
+    r = random.Random(4)
+    for _ in range(30):
+        blocks = lambda depth: "".join(
+            f"<{t}>{blocks(depth - 1)}</{t}>" if depth and r.random() < 0.6 else f"<{t}>{r.choice(STORY)[: r.randint(5, 90)]}</{t}>"
+            for t in r.choices(["div", "section", "center", "blockquote"], k=3)
+        )
+        page = f"<body>{blocks(4)}</body>"
+        plain = Paths()
+        plain.feed(page)
+        sums = {}
+        for path, text in plain.found:
+            sums.setdefault(path, []).append((len(text), sum(c in ".,;:!?" for c in text)))
+        want = {}
+        for path, found in sums.items():
+            chars, marks, n = sum(c for c, _ in found), sum(m for _, m in found), len(found)
+            want[path] = math.sqrt((chars / n) * (1 + marks / n)) * math.log(1 + chars)
+        told = html_text.read(page)
+        names = {0: ()}
+        for (above, tag), number in told.steps.items():
+            names[number] = (*names[above], tag)
+        got = {names[p]: v for p, v in html_text.path_ratios(told, told.texts, [1.0] * len(told.texts)).items()}
+        assert got.keys() == want.keys() and all(math.isclose(got[p], want[p]) for p in want)
+
+
+def test_the_threshold_chooses_texts():
+    story = "".join(f"<p>{x}</p>" for x in STORY)
+    lines = [f"Line {i}" for i in range(5)]
+    told = html_text.read(f"<body>{''.join(f'<div>{x}</div>' for x in lines)}{story}<p>So it ends.</p></body>")
+    all_texts, some, few = (html_text.select(told, t) for t in (0.0, html_text.THRESHOLD, 2.0))
+    assert all_texts == [*lines, *STORY, "So it ends."]
+    assert some == [*STORY, "So it ends."]  # its path's ratio and its neighbours keep the short one
+    assert few == STORY
+
+
+def test_harmless_class_names_and_broken_markup():
+    story, want = "".join(f"<p>{x}</p>" for x in STORY), " ".join(STORY)
+    for name in ("content no-sidebar", "elementor-widget", "post has-header", "layout-sidebar-right", "without-banner", "shared"):
+        assert html_text.extract(f'<body><div class="{name}">{story}</div><div class="ad">Buy now, it is cheap.</div></body>') == want, name
+    assert html_text.extract(f"<body><div class=comments>{story}</div><article><p>Short.</p></article></body>") == "Short."
+    assert html_text.extract('<p>text</p><a href="x') == "text"
+    assert html_text.extract('<p>one <a href="x>two</a> three</p><p>four</p>') == "one two three four"
+    assert html_text.extract('<p title="a > b">text</p>') == "text"
+    assert html_text.extract("<p>1 < 2 and 3 > 2</p>") == "1 < 2 and 3 > 2"
+
+
+def test_time_is_linear():
+    begun = time.monotonic()
+    for page in ('<a "' * 250_000, "<div>" * 20_000 + "text " + "</div>" * 20_000, '<a ">' * 100_000, "<b>" * 50_000, "<p><table>" * 20_000, "<" * 500_000):
+        html_text.extract(page)
+    assert time.monotonic() - begun < 20
+
+
 # --- repeated passages
 
 
