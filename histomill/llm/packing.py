@@ -2,12 +2,14 @@
 
 Documents are tokenised where they lie and cut only where they exceed a sequence. Each
 partition then packs its pieces best-fit, longest first, emits the nearly full bins and hands
-the underfull ones up a tree: every round a fan-in of partitions takes the underfull bins of
-the round before as items of a best-fit of its own, until one task is left.
+every underfull one up a tree, where it is an item. A node of the tree takes the underfull
+bins of ``FAN_IN`` nodes below, packs them best-fit, and again emits what is nearly full, until
+one node is left.
 
-A round hands up all bins at most half full and the emptiest ``HANDED_UP`` others of a task;
-what is not handed up is emitted as it stands, so no piece is lost and no task grows with the
-input.
+However many bins go up, no task holds those of a node: bins of one fill are alike, so a node
+packs numbers of bins by fill, of which there are fewer than ``capacity``. Its packing says
+which ranks of which fill share which bins, and the bins find their places by their rank in a
+join whose keys hold at most ``CHUNK`` rows.
 
 Defined results: null text is empty, and an empty document is the end token alone; repeated
 rows are packed each; a null ``doc_id`` stays null; an empty table gives no rows; other
@@ -26,7 +28,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from histomill.llm.common import clashless, materialise
@@ -37,7 +40,8 @@ END_ID = 2
 SLACK = 8
 ITEMS_A_TASK = 65_536
 FAN_IN = 8
-HANDED_UP = 4_096
+#: Most bins of a node that are ranked in one task.
+CHUNK = 65_536
 #: Distinct words whose ids a worker keeps.
 CACHED_WORDS = 250_000
 
@@ -140,41 +144,122 @@ def best_fit(fills: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def pack_round(bins: DataFrame, partitions: int, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
-    """One best-fit in each of ``partitions`` tasks over bins as items."""
+def best_fit_of_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """What :func:`best_fit` does with ``counts[fill]`` items of each fill, longest first, as
+    ``(fill, low, high, per_bin, first_bin, place)``: of the items of that fill, numbers ``low``
+    to ``high`` (exclusive) go ``per_bin`` at a time into the bins from ``first_bin`` on, behind
+    ``place`` items. Equal items meet equal bins, so there are few such lines whatever the counts."""
+    alike: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]  # by room: first bin, bins, items in each
+    rooms = opened = 0
+    out = []
+    for fill in sorted(counts, reverse=True):
+        low, left = 0, counts[fill]
+        while left:
+            if fits := rooms >> fill:
+                room = fill + (fits & -fits).bit_length() - 1
+                first, bins, held = alike[room].pop()
+                if not alike[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, first, bins, held = capacity, opened, left, 0
+            per = min(left, room // fill)
+            used = min(bins, left // per)
+            if room == capacity and first == opened:
+                opened, bins = opened + used, used
+            out.append((fill, low, low + used * per, per, first, held))
+            low, left = low + used * per, left - used * per
+            for rest, group in ((room - per * fill, (first, used, held + per)), (room, (first + used, bins - used, held))):
+                if rest and group[1]:
+                    alike[rest].append(group)
+                    rooms |= 1 << rest
+    return out
+
+
+_BINS = "node long, chunk long, nth long, fill int, members binary, done boolean"
+
+
+def pack_pieces(bins: DataFrame, partitions: int, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
+    """One best-fit in each of ``partitions`` tasks: the leaves of the tree. ``nth`` numbers the
+    bins of one fill in a chunk of a node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = [x for b in batches for x in zip(b["fill"].tolist(), b["members"].tolist(), strict=True)]
         items.sort(key=lambda x: (-x[0], x[1]))
-        fills, members = [], []
-        for found in best_fit([f for f, _ in items], capacity):
-            fills.append(sum(items[i][0] for i in found))
-            members.append(b"".join(items[i][1] for i in found))
-        up = [i for i, f in enumerate(fills) if f <= capacity - slack]
-        up.sort(key=fills.__getitem__)
-        half = sum(fills[i] <= capacity // 2 for i in up)
-        done = np.ones(len(fills), bool)
-        done[up[: half + HANDED_UP]] = False
-        yield pd.DataFrame({"fill": fills, "members": members, "done": done})
-
-    return bins.repartition(partitions).mapInPandas(run, "fill int, members binary, done boolean")
+        found = best_fit([f for f, _ in items], capacity)
+        fills = [sum(items[i][0] for i in bin_) for bin_ in found]
+        out = pd.DataFrame({"fill": fills, "members": [b"".join(items[i][1] for i in bin_) for bin_ in found]})
+        out["done"] = out["fill"] > capacity - slack
+        out["node"], out["chunk"] = TaskContext.get().partitionId(), np.arange(len(out)) // CHUNK
+        out["nth"] = out.groupby(["chunk", "fill"]).cumcount()
+        yield out[["node", "chunk", "nth", "fill", "members", "done"]]
+
+    return bins.repartition(partitions).mapInPandas(run, _BINS)
+
+
+def pack_node(bins: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
+    """The next level of the tree: underfull bins of ``FAN_IN`` nodes packed as items. ``bins`` is
+    a stored table of underfull bins."""
+    bins = bins.withColumn("up", F.floor(F.col("node") / FAN_IN)).drop("done")
+    key = ["up", "node", "chunk", "fill"]
+    counts = bins.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("up", "fill").orderBy("node", "chunk")) - F.col("n")
+
+    def plan(of_node: pd.DataFrame) -> pd.DataFrame:
+        lines = best_fit_of_counts(dict(zip(of_node["fill"].tolist(), of_node["n"].tolist(), strict=True)), capacity)
+        out = pd.DataFrame(lines, columns=["fill", "low", "high", "per", "first", "place"])
+        out.insert(0, "up", of_node["up"].iloc[0])
+        return out
+
+    plans = counts.groupBy("up", "fill").agg(F.sum("n").alias("n")).groupBy("up").applyInPandas(
+        plan, "up long, fill int, low long, high long, per long, first long, place long"
+    )
+    # the lines that a chunk's ranks of one fill meet
+    meets = (F.col("low") < F.col("before") + F.col("n")) & (F.col("high") > F.col("before"))
+    lines = (
+        counts.withColumn("before", before)
+        .join(plans, ["up", "fill"])
+        .where(meets)
+        .groupBy(*key)
+        .agg(F.first("before").alias("before"), F.collect_list(F.struct("low", "high", "per", "first", "place")).alias("lines"))
+    )
+    rank = F.col("before") + F.col("nth")
+    line = F.filter("lines", lambda x: (x["low"] <= rank) & (rank < x["high"]))[0]
+    told = bins.join(lines, key).select("up", "fill", "members", rank.alias("rank"), line.alias("line"))
+    behind = F.col("rank") - F.col("line.low")
+    told = told.select("up", "fill", "members", (F.col("line.first") + F.floor(behind / F.col("line.per"))).alias("bin"), (F.col("line.place") + behind % F.col("line.per")).alias("place"))
+    merged = told.groupBy("up", "bin").agg(
+        F.sum("fill").cast("int").alias("fill"), F.array_sort(F.collect_list(F.struct("place", "members"))).alias("of")  # at most ``capacity`` items
+    )
+    chunk = F.floor(F.col("bin") / CHUNK)
+    nth = F.row_number().over(Window.partitionBy("node", "chunk", "fill").orderBy("bin")) - 1
+    members = F.aggregate("of.members", F.lit(b""), lambda a, m: F.concat(a, m))
+    placed = merged.select(F.col("up").alias("node"), chunk.alias("chunk"), "bin", "fill", members.alias("members"))
+    return placed.select("node", "chunk", nth.cast("long").alias("nth"), "fill", "members", (F.col("fill") > capacity - slack).alias("done"))
 
 
 def pack(documents: DataFrame, ranks_path: str, tokens_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
     level = materialise(pieces(documents, ranks_path, tokens_path, capacity, end_id), "pieces")
-    sequences = level.where("done")
+    return lay_out(pack_bins(level, capacity))
+
+
+def pack_bins(level: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``fill, members`` of every sequence, from stored pieces."""
+    sequences = level.where("done").select("fill", "members")
     open_bins = level.where("NOT done")
-    partitions = max(1, -(-open_bins.count() // ITEMS_A_TASK))
-    while True:
-        level = materialise(pack_round(open_bins, partitions, capacity), "bins")
-        if partitions == 1:
-            sequences = sequences.unionByName(level)
-            break
-        sequences = sequences.unionByName(level.where("done"))
-        open_bins, partitions = level.where("NOT done"), -(-partitions // FAN_IN)
-
-    def lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    nodes = max(1, -(-open_bins.count() // ITEMS_A_TASK))
+    level = materialise(pack_pieces(open_bins, nodes, capacity), "bins")
+    while nodes > 1:
+        sequences = sequences.unionByName(level.where("done").select("fill", "members"))
+        nodes = -(-nodes // FAN_IN)
+        level = materialise(pack_node(level.where("NOT done"), capacity), "bins")
+    return sequences.unionByName(level.select("fill", "members"))
+
+
+def lay_out(sequences: DataFrame) -> DataFrame:
+    """A row a piece, with its sequence and its place there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
@@ -196,5 +281,5 @@ def pack(documents: DataFrame, ranks_path: str, tokens_path: str, capacity: int
             })
 
     return sequences.select("members", F.monotonically_increasing_id().alias("sequence_id")).mapInPandas(
-        lay_out, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

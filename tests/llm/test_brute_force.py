@@ -78,6 +78,41 @@ def test_pack_round_trip(documents, plain, tokenizer, monkeypatch):
     assert max(full.values()) <= 1024 and len(full) <= 1.05 * math.ceil(sum(r.length for r in rows) / 1024) + 1
 
 
+@settings(max_examples=200, deadline=None)
+@given(sizes=st.lists(st.integers(1, 64), max_size=200))
+def test_best_fit_of_counts_is_that_of_the_items(sizes):
+    sizes = sorted(sizes, reverse=True)
+    counts = {f: sizes.count(f) for f in set(sizes)}
+    bins = {}
+    for fill, low, high, per, first, place in packing.best_fit_of_counts(counts, 64):
+        for rank in range(low, high):
+            bins.setdefault(first + (rank - low) // per, []).append((place + (rank - low) % per, fill))
+    assert all(sorted(p for p, _ in b) == list(range(len(b))) and sum(f for _, f in b) <= 64 for b in bins.values())
+    assert sorted((f for b in bins.values() for _, f in b), reverse=True) == sizes
+    want = sorted(tuple(sorted(sizes[i] for i in b)) for b in packing.best_fit(sizes, 64))
+    assert sorted(tuple(sorted(f for _, f in b)) for b in bins.values()) == want
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_every_bin_with_room_goes_up(spark, monkeypatch, small):
+    """Items that fit nowhere in their own task, in eight tasks and more; with small ones besides
+    them, which fill what they leave."""
+    monkeypatch.setattr(packing, "ITEMS_A_TASK", 400)
+    monkeypatch.setattr(packing, "CHUNK", 150)
+    r = random.Random(2)
+    sizes = [r.randint(520, 1000) for _ in range(3_600)] + [r.randint(1, 200) for _ in range(9_000 * small)]
+    record = lambda i, n: np.array([(i, 1, 0, 0, n, 0)], packing._RECORD).tobytes()
+    table = spark.createDataFrame([(n, record(i, n), False) for i, n in enumerate(sizes)], "fill int, members binary, done boolean").cache()
+    rows = packing.lay_out(packing.pack_bins(table)).collect()
+    assert sorted((x.doc_id, x.length) for x in rows) == list(enumerate(sizes))
+    ends = {}
+    for x in sorted(rows, key=lambda x: (x.sequence_id, x.offset)):
+        assert x.offset == ends.get(x.sequence_id, 0)
+        ends[x.sequence_id] = x.offset + x.length
+    bound = max(math.ceil(sum(sizes) / 1024), sum(n > 512 for n in sizes))
+    assert max(ends.values()) <= 1024 and len(ends) <= 1.01 * bound
+
+
 # --- SimHash
 
 
