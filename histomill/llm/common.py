@@ -21,10 +21,12 @@ def share_file(spark: SparkSession, path: str, name: str) -> str:
     return target
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast ``df`` only if a count proves that it has at most ``max_rows`` rows; otherwise
-    leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_side(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``df`` only if it is proven to have at most ``max_rows`` rows, and these at most
+    ``max_bytes`` bytes as text; otherwise leave the join to a shuffle."""
+    size = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if rows <= max_rows and (size or 0) <= max_bytes else df
 
 
 def join_hot(big: DataFrame, unique: DataFrame, key: str, rows: str) -> DataFrame:

@@ -1,20 +1,27 @@
 """License scans by canonical digest.
 
-A text is brought to a canonical form: case and punctuation go, lines that state a copyright
-go, equivalent spellings become one, white space collapses. The SHA-256 of the whole canonical
-text is hash-joined to the digests of known licences. The same lookup runs over every line as a
-text of its own, because documents carry one-line licence notices.
+A text is brought to a canonical form: case and punctuation go, statements of copyright go,
+equivalent spellings become one, white space collapses. The SHA-256 of the whole canonical text
+is hash-joined to the digests of known licences. Documents also carry one-line notices, so
+lines are texts of their own: those as long as some known text enter the same hash join.
 
-Defined results: null or empty text has the digest of the empty string and no licence; repeated
+The known licences are the texts of ``license_texts`` (see :func:`registry`) and ``NOTICES``.
+
+Defined results: null or empty text, and one that is nothing but a statement of copyright, has the
+digest of the empty string and no licence; a very long text is one text like any other; repeated
 rows are looked up each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histomill.llm.common import clashless, small_side
+from histomill.llm.common import clashless, materialise, small_side
 
 # Equivalent spellings, each pair (pattern, canonical form).
 SPELLINGS = [
@@ -22,37 +29,21 @@ SPELLINGS = [
     (r"organis(ation|e|ing)", "organiz$1"),
     (r"per\s?cent|%", " percent "),
     (r"&", " and "),
-    (r"https?://(?:www\\.)?", ""),
+    (r"https?://(?:www\.)?", ""),
     (r"copyright holders?|copyright owners?", "copyright holder"),
     (r"sub-?licens", "sublicens"),
     (r"merchantab[a-z]+", "merchantability"),
 ]
-COPYRIGHT_LINE = r"(?m)^[^\n]*(?:copyright\s+(?:\(c\)|©|[0-9]{4})|\(c\)\s*[0-9]{4}|©|all rights reserved)[^\n]*$"
+#: A statement of copyright: a sign or year, then whose it is, up to the words that begin a grant
+#: or the end of the line; where the line goes on for long, up to the end of the sentence.
+_WHOSE = r"(?:[^\n]{0,120}?(?=\b(?:permission is|permission to|redistribution and|licensed under|released under|everyone is|this (?:software|program|work|library|file|document|license)|all rights reserved)\b)|[^\n]{0,120}$|[^\n]*?(?:[.!?](?=\s)|$))"
+COPYRIGHT = [
+    rf"(?m)(?:\bcopyright\s*(?:\(c\)|©|:?\s*[0-9]{{4}}|<year>)|\(c\)\s*[0-9]{{4}}|©){_WHOSE}",
+    r"\ball rights reserved\b[.]?",
+]
 
-_MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
-copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
-is furnished to do so, subject to the following conditions:
-"""
-_MIT_REST = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
-MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR
-ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
-THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
-"""
-_ISC_GRANT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"""
-_ISC_REST = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
-WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
-DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
-TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
-"""
-#: Known texts (SPDX identifier, text): whole licences and the usual one-line notices.
-KNOWN: list[tuple[str, str]] = [
-    ("MIT", "MIT License\n" + _MIT_GRANT + _MIT_REST),
-    ("MIT", _MIT_GRANT + _MIT_REST),
-    ("ISC", "ISC License\n" + _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_REST),
-    ("ISC", _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_REST),
-    ("0BSD", _ISC_GRANT + ".\n" + _ISC_REST),
+#: Usual one-line notices (SPDX identifier, text).
+NOTICES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -64,12 +55,31 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+@lru_cache(maxsize=4)
+def registry(folder: Path = TEXTS) -> tuple[tuple[str, str], ...]:
+    """``(SPDX identifier, text)`` of every known text: each file of the folder whole, without its
+    title, without what follows the end of its terms, and without both, all as they stand and in
+    one line (statements of copyright end elsewhere there); and the notices."""
+    out: list[tuple[str, str]] = []
+    for file in sorted(folder.glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        terms = re.split(r"(?m)^\s*END OF TERMS AND CONDITIONS", text)[0]
+        ends = re.match(r"(?s).*^\s*END OF TERMS AND CONDITIONS", text, re.M)
+        for variant in dict.fromkeys([text, ends[0] if ends else text, terms]):
+            title, _, rest = variant.strip().partition("\n")
+            out += [(file.stem, variant), *([(file.stem, rest)] if "\n" in rest.strip() and re.search("licen[cs]e", title, re.I) else [])]
+    in_lines = [(name, " ".join(text.split())) for name, text in out]
+    return (*out, *in_lines, *NOTICES)
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical, non-empty lines of a text."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
+    for statement in COPYRIGHT:
+        t = F.regexp_replace(t, statement, " ")
     for pattern, plain in SPELLINGS:
         t = F.regexp_replace(t, pattern, plain)
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
@@ -77,38 +87,50 @@ def canonical_lines(text: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(F.array_join(text, " ").cast("binary"), 256)
+    return F.sha2(text.cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """``(digest, license)``; of texts with equal canonical form the first name holds."""
+def known_texts(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
+    """``(digest, license, n)``; of texts with equal canonical form the first name holds."""
     rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(known)], "i int, license string, text string")
+    whole = F.array_join(canonical_lines(F.col("text")), " ")
     return (
-        rows.select("i", "license", digest(canonical_lines(F.col("text"))).alias("digest"))
-        .groupBy("digest")
-        .agg(F.min_by("license", "i").alias("license"))
+        rows.select("i", "license", whole.alias("text"))
+        .where("text <> ''")
+        .groupBy(digest(F.col("text")).alias("digest"))
+        .agg(F.min_by("license", "i").alias("license"), F.first(F.length("text")).alias("n"))
     )
 
 
-def scan(documents: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def scan(documents: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """``doc_id, digest, license, notices, n_notices``: the licence whose whole text a document
     is, and the names (sorted, comma-joined) and number of its lines that are known texts."""
     spark = documents.sparkSession
-    registry = known_digests(spark, known)
+    texts = materialise(known_texts(spark, list(registry() if known is None else known)), "known")
+    lengths = [r.n for r in texts.select("n").distinct().collect()]  # the registry's size is the parameter's
     lines = F.col("lines")
-    names = {r.digest: r.license for r in registry.collect()}  # the registry's size is the parameter's
-    lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    of_lines = F.filter(F.transform(lines, lambda line: F.sha2(line.cast("binary"), 256)), lambda d: d.isin(list(names)))
-    return (
+    rows = (
         clashless(documents, "doc_id", "text")
         .select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-        .select("doc_id", digest(lines).alias("digest"), of_lines.alias("found"))
-        .join(small_side(registry), "digest", "left")
-        .select(
-            "doc_id",
-            "digest",
-            "license",
-            F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda d: F.element_at(lookup, d)))), ",").alias("notices"),
-            F.size("found").cast("long").alias("n_notices"),
-        )
+        .select("doc_id", digest(F.array_join(lines, " ")).alias("digest"), F.filter(lines, lambda line: F.length(line).isin(lengths)).alias("lines"))
+    )
+    rows = materialise(rows, "lines")
+    names = texts.select("digest", "license")
+    # rows with equal id and equal whole text have equal lines: they are looked up once
+    noticed = (
+        rows.where(F.size("lines") > 0)
+        .dropDuplicates(["doc_id", "digest"])
+        .select("doc_id", "digest", F.explode("lines").alias("line"))
+        .join(small_side(names.select(F.col("digest").alias("known"), "license")), digest(F.col("line")) == F.col("known"))
+        .groupBy("doc_id", "digest")
+        .agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count(F.lit(1)).alias("n_notices"))
+    )
+    noticed = materialise(noticed, "noticed")
+    same = F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.digest") == F.col("n.digest"))
+    return (
+        rows.select("doc_id", "digest")
+        .join(small_side(names), "digest", "left")
+        .alias("r")
+        .join(small_side(noticed).alias("n"), same, "left")
+        .select("r.doc_id", "r.digest", "r.license", F.coalesce("n.notices", F.lit("")).alias("notices"), F.coalesce("n.n_notices", F.lit(0)).cast("long").alias("n_notices"))
     )

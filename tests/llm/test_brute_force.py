@@ -1,5 +1,6 @@
 """Operators without SQL against plain versions."""
 
+import hashlib
 import math
 import random
 import re
@@ -14,10 +15,11 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from histomill.llm import decontam, graph, html_text, packing, quality, queries, secrets, sentence_dedup, simhash, spotsigs, url_filter
+from histomill.llm import decontam, graph, html_text, licenses, packing, quality, queries, secrets, sentence_dedup, simhash, spotsigs, url_filter
 
 RANKS, TOKENS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 TEXT = st.text(st.characters(blacklist_categories=["Cs"]), max_size=60)
@@ -379,6 +381,74 @@ def test_time_is_linear():
     assert time.monotonic() - begun < 20
 
 
+# --- licences
+
+
+def slow_lines(text):
+    t = (text or "").lower()
+    for pattern, plain in [*((c, " ") for c in licenses.COPYRIGHT), *licenses.SPELLINGS]:
+        t = re.sub(pattern, plain.replace("$1", r"\\1"), t)
+    t = "".join(c if c.isalpha() or c.isnumeric() or c == "\n" else " " for c in t)
+    return [" ".join(line.split()) for line in t.split("\n") if line.strip()]
+
+
+def slow_scan(texts, known):
+    names = {}
+    for name, text in known:
+        names.setdefault(" ".join(slow_lines(text)), name)
+    for doc, text in texts:
+        lines = slow_lines(text)
+        whole = " ".join(lines)
+        found = [names[x] for x in lines if x in names]
+        yield doc, hashlib.sha256(whole.encode()).hexdigest(), names.get(whole) if whole else None, ",".join(sorted(set(found))), len(found)
+
+
+def licensed_texts():
+    by = dict(reversed(licenses.registry()))
+    out = []
+    for name, text in licenses.registry():
+        flat = " ".join(text.replace("Copyright (c) <year>", "\nCopyright 2019-2021, J. Q. Smith & Sons Ltd.\n").split("\n"))
+        out += [(name, text), (name, text.upper().replace("LICENSE", "LICENCE")), (name, flat)]
+    mit = by["MIT"] if "Permission" in by["MIT"] else next(t for n, t in licenses.registry() if n == "MIT")
+    out.append(("MIT", mit.replace("<year> <copyright holders>", "2020 J. Smith").replace("\n", " ")))
+    out.append(("MIT", "\n".join(x for x in mit.split("\n") if "Copyright (c)" not in x)))
+    return out
+
+
+def test_licences_by_whole_text_and_line(spark, documents, plain):
+    rows = [(i, t) for i, (_, t) in enumerate(licensed_texts())]
+    rows += [(-1, "Some prose.\n  Released under the MIT LICENCE!\nMore of it. © 2020 Somebody\nLicensed under CC BY 4.0.\nLicensed under CC BY 4.0."), (-1, None), (None, "© 2020 Somebody"), (None, "x" * 100_000)]
+    rows += [(-9, rows[-4][1])] * 2
+    got = sorted(map(str, licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    want = list(slow_scan(rows, licenses.registry()))
+    columns = ("doc_id", "digest", "license", "notices", "n_notices")
+    assert got == sorted(str(Row(**dict(zip(columns, w, strict=True)))) for w in want)
+    found = {d: name for d, _, name, *_ in want}
+    same = {"GPL-3.0-only", "LGPL-3.0-only"}
+    assert not [(i, name, found[i]) for i, (name, _) in enumerate(licensed_texts()) if found[i] != name and name not in same]
+    got = {r.doc_id: tuple(r) for r in licenses.scan(documents).collect()}
+    assert got == {w[0]: w for w in slow_scan(plain.items(), licenses.registry())}
+    assert any(r[4] for r in got.values())
+
+
+def test_equivalent_spellings(spark):
+    pairs = [
+        ("See https://www.x.org/l", "see http://x.org/l"),
+        ("The licence of the organisation", "the LICENSE of the organization"),
+        ("Copyright (c) 2020 A. B. Smith\nThe text.", "The text"),
+        ("Other text. (c) 2021 Someone, Inc. All rights reserved.", "Other text."),
+        ("Copyright 1999 X Permission is granted", "permission is granted"),
+        ("50 per cent & more", "50% and more"),
+        ("© 2020 " + "Name " * 40 + ". The rest is text.", "the rest is text"),
+    ]
+    table = spark.createDataFrame([(i, t) for i, p in enumerate(pairs) for t in p], "doc_id int, text string")
+    found = {}
+    for r in licenses.scan(table).collect():
+        found.setdefault(r.doc_id, set()).add(r.digest)
+    assert all(len(d) == 1 for d in found.values()), found
+    assert len(set(map(frozenset, found.values()))) == len(pairs)
+
+
 # --- repeated passages
 
 
