@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import string
+import sysconfig
 import time
 import zlib
 from html import unescape
@@ -209,17 +212,51 @@ def test_incremental_entropy(run):
     width = min(20, len(run))
     windows = [run[i : i + width] for i in range(len(run) - width + 1)]
     entropy = lambda w: -sum(w.count(c) / width * math.log2(w.count(c) / width) for c in set(w))
-    assert secrets.highest_entropy(run) == pytest.approx(max(map(entropy, windows)), abs=1e-9)
+    assert list(secrets.entropies(run, width)) == pytest.approx(list(map(entropy, windows)), abs=1e-9)
 
 
 def test_entropy_and_allow_list():
-    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.scan(t)]
-    assert kinds("key 9fK2xQ7vLm3Zp8RtW5yB1c") == ["entropy"]
-    assert kinds("id 123e4567-e89b-12d3-a456-426614174000") == []
-    assert kinds("EXAMPLE9fK2xQ7vLm3Zp8RtW5yB1c") == [] and kinds("12345678901234567890123") == []
+    found = lambda t: [(secrets.KINDS[k], t[s:e]) for s, k, e in secrets.scan(t)]
+    key = "9fK2xQ7vLm3Zp8RtW5yB1c"
+    assert found(f"key {key}") == [("entropy", key)]
+    assert found(f"EXAMPLE_KEY={key}") == [("entropy", key)] and found(f"a/b={key}") == [("entropy", key)]
+    assert found(f"dummy/{key}{key}")[0][1].endswith(key)
+    assert found(f"words{'written' * 5}{key}{'together' * 5}")[0][1] not in (key, "") and key in found(f"{'written' * 5}{key}")[0][1]
+    clean = (
+        "id 123e4567-e89b-12d3-a456-426614174000", "12345678901234567890123", "/usr/local/lib/python3/site-packages/pandas", "abcdefghijklmnopqrstuvwxyz0123456789",
+        "docs/2024/annual-report/overview", "2024-05-13T10-22-31_backup_final", "Donaudampfschifffahrtsgesellschaft", "ArrayIndexOutOfBoundsException", "A" * 60,
+        "getUserAccountByIdentifier2", "internationalization_of_the_2024_release", "-" * 80, "https://www.example.org/en/Some-Title-Of-2021/index",
+    )
+    assert [t for t in clean if found(t)] == []
     assert secrets.mask("a token = abcdef1 b") == "a [SECRET] b" and secrets.mask("clean") == "clean"
 
 
+def test_recall_on_random_keys_and_precision_on_names():
+    r = random.Random(9)
+    alphabets = {"hex": "0123456789ABCDEF", "one case": string.ascii_lowercase + string.digits, "alphanumeric": string.ascii_letters + string.digits,
+                 "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_", "letters": string.ascii_letters}
+    for name, alphabet in alphabets.items():
+        for length, least in ((24, 0.9), (32, 0.96), (48, 0.99)):
+            keys = ["".join(r.choices(alphabet, k=length)) for _ in range(400)]
+            least = least if name != "letters" else least - 0.06  # words written together look like them
+            whole = sum(any(s <= 4 and e >= 4 + length for s, _, e in secrets.scan(f"key {k} here")) for k in keys)
+            assert whole >= least * len(keys), (name, length, whole)
+    folder = sysconfig.get_paths()["stdlib"]
+    names = [os.path.join(place, f) for place, _, files in os.walk(folder) for f in files if "__pycache__" not in place][:20_000]
+    assert len(names) > 500 and sum(bool(secrets.scan(n)) for n in names) <= 0.02 * len(names)
+    begun = time.monotonic()
+    for text in ("A" * 200_000, "Ab" * 100_000, "aB3/" * 50_000, "AAAb1" * 40_000):
+        secrets.scan(text)
+    assert time.monotonic() - begun < 20
+
+
+def test_entropy_spans_of_clean_documents(plain):
+    """Outside of what the patterns find, prose has no random strings."""
+    for text in plain.values():
+        spans = secrets.scan(text)
+        assert all(any(s <= a and b <= e for s, k, e in spans if k < 3) for a, kind, b in spans if kind == 3)
+
+
 # --- spot signatures
 
 
