@@ -163,10 +163,32 @@ def test_links_join_what_chains_of_two_bits_join(spark, group):
     want = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2])
     table = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
     place = {simhash._signed(x): i for i, x in enumerate(fps)}
-    got = union(len(fps), [(place[e.a], place[e.b]) for e in simhash.links(table, group=group).collect()])
+    got = union(len(fps), [(place[e.a], place[e.b]) for e in simhash.links(table, crowd=group).collect()])
     assert got == want
 
 
+def test_distances_to_references(spark):
+    r = random.Random(6)
+    fps = [r.getrandbits(64) for _ in range(400)]
+    fps += [x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for x in fps[:100]]
+    fps = list(dict.fromkeys(fps))
+    table = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+    for row in simhash.pivot_table(table).limit(50).collect():
+        assert list(row.p) == [bin((row.fp & (1 << 64) - 1) ^ x).count("1") for x in simhash.references()]
+    told = simhash.steps(table)
+    assert told["all"] == len(fps) * (len(fps) - 1) // 2 > told["cells"] >= told["furthest"] >= told["verified"]
+    assert told["verified"] == sum(bin(a ^ b).count("1") <= 2 for i, a in enumerate(fps) for b in fps[:i]) >= 90
+
+
+def test_one_of_each_component_stays(spark):
+    prose = lambda seed, n=80: " ".join(random.Random(seed).choices("stone river cloud garden tree window letter bridge market ocean".split(), k=n))
+    rows = [(1, prose(1), "a"), (1, prose(2), "b"), (2, prose(1), "c"), (3, prose(3), "d"), (3, prose(3), "e"), (None, prose(3), "f"), (None, prose(4), "g"), (None, prose(4), "h"), (None, prose(5), "i"), (4, None, "j"), (5, "", "k")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(3)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == sorted(
+        [(False, 1, prose(1)), (False, 1, prose(2)), (False, 3, prose(3)), (True, 0, prose(4)), (True, 0, prose(5)), (False, 4, "")]
+    )
+
+
 def test_simhash_components(documents, plain):
     fps = {d: slow_fingerprint(t) for d, t in plain.items()}
     ids = sorted(fps)
