@@ -1,20 +1,26 @@
 """Substring dedup over sliding spans of sentences.
 
-A text is cut into sentences (long ones at commas, then every ``LONGEST`` words), without
-losing a character. The shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words from
-every sentence and up to every sentence is hashed; together they cover what all longer runs would.
-Runs are joined globally on the hash: the first occurrence (by ``doc_id``, then place) stays, and
-sentences under any other occurrence are removed.
+A text is cut into sentences, without losing a character. Sentences over ``LONGEST`` words are cut
+at commas, and what is still longer behind words that a hash names: such a cut depends on the word
+alone, so a passage is cut alike wherever it stands in a longer sentence. The shortest run of at
+least ``SENTENCES`` sentences and ``WORDS`` words from every sentence and up to every sentence is
+hashed; together they cover what all longer runs would. Runs are joined globally on the hash: the
+first occurrence (by ``doc_id``, then text, then place) stays, and sentences under any other
+occurrence are removed. A hash has 96 bits, of which 64 find equal runs and 32 confirm them.
+
+Signs of scripts that are written without spaces count as words of their own.
 
 Defined results: null text stays null and has no sentences; texts shorter than a run are left
-alone; rows that repeat a ``doc_id`` count as one document and keep what its first occurrence
-keeps; rows without ``doc_id`` come last; an empty table gives no rows; other columns are
-ignored.
+alone, and one very long text is one text like any other; rows that repeat ``doc_id`` and text
+count as one document and keep what its first occurrence keeps; rows without ``doc_id`` come
+last, each a document of its own, so of equal ones all but one lose their passages; ids that are
+no whole numbers count as null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,21 +33,51 @@ from histomill.llm.common import clashless, join_hot, materialise
 SENTENCES = 2
 WORDS = 20
 LONGEST = 16
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+\Z")
-_CLAUSE = re.compile(r"[^,;:]*[,;:]+\s*|[^,;:]+\Z")
-_WORDS = re.compile(rf"(?:\s*\S+){{1,{LONGEST}}}\s*")
+#: One word in so many is one behind which long sentences are cut.
+EVERY = 6
+#: Documents that a worker holds at a time: their runs take many times the memory of their texts.
+ROWS = 200
+_STOPS = ".!?\n。！？｡"
+_MARKS = ",;:、，；："
+_SENTENCE = re.compile(rf"[^{_STOPS}]*[{_STOPS}]+\s*|[^{_STOPS}]+\Z")
+_CLAUSE = re.compile(rf"[^{_MARKS}]*[{_MARKS}]+\s*|[^{_MARKS}]+\Z")
+_SIGN = "⺀-⿟぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"  # no spaces between words
+_WORD = re.compile(rf"\s*(?:[{_SIGN}]|[^\s{_SIGN}]+)\s*")
+_HAS_SIGN = re.compile(f"[{_SIGN}]")
 _LAST = (1 << 63) - 1
 
 
+def words_of(part: str) -> list[str]:
+    """The words of a part of a text, lower-cased."""
+    if _HAS_SIGN.search(part):
+        return [w.strip().lower() for w in _WORD.findall(part)]
+    return part.lower().split()
+
+
+def _long(part: str) -> bool:
+    return (part.count(" ") >= LONGEST or not part.isascii()) and len(words_of(part)) > LONGEST
+
+
+def _at_anchors(part: str) -> list[str]:
+    """A part cut behind the words that the hash names."""
+    out, held = [], []
+    for w in _WORD.findall(part):
+        held.append(w)
+        if zlib.crc32(w.strip().lower().encode()) % EVERY == 0:
+            out.append("".join(held))
+            held.clear()
+    return [*out, "".join(held)] if held else out
+
+
 def sentences(text: str) -> list[str]:
     """Parts that make up the text when joined."""
     out = []
     for s in _SENTENCE.findall(text):
-        if s.count(" ") < LONGEST or len(s.split()) <= LONGEST:
+        if not _long(s):
             out.append(s)
             continue
         for c in _CLAUSE.findall(s):
-            out += [c] if c.count(" ") < LONGEST or len(c.split()) <= LONGEST else _WORDS.findall(c)
+            out += _at_anchors(c) if _long(c) else [c]
     return out
 
 
@@ -49,7 +85,7 @@ def runs(text: str) -> list[tuple[int, int, int]]:
     """``(hash, place, number of sentences)`` of the shortest run from every sentence and of the
     shortest run up to every sentence. Of a longer run that is found elsewhere, every sentence
     lies in one of these that is found there too."""
-    words = [s.lower().split() for s in sentences(text)]
+    words = [words_of(s) for s in sentences(text)]
     full = [i for i, w in enumerate(words) if w]
     joined = [" ".join(words[i]).encode() for i in full]
     ends, end, held = [], 0, 0  # where the shortest run from each sentence ends
@@ -63,7 +99,7 @@ def runs(text: str) -> list[tuple[int, int, int]]:
         held -= len(words[full[start]])
     out = []
     for start, end in enumerate(ends):
-        run = xxhash.xxh64(b" ".join(joined[start:end]))
+        run = xxhash.xxh3_128(b" ".join(joined[start:end]))
         out.append((run.intdigest(), full[start], full[end - 1] - full[start] + 1))
         # ends that the next sentence's run does not reach: the shortest runs up to them start here
         for last in range(end, ends[start + 1] - 1 if start + 1 < len(ends) else len(full)):
@@ -72,49 +108,75 @@ def runs(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
-    """Few documents at a time: their runs take many times the memory of their texts."""
+def _signed(value: int, bits: int) -> int:
+    value &= (1 << bits) - 1
+    return value - (1 << bits) if value >> (bits - 1) else value
+
+
+def _slices(batches: Iterator[pd.DataFrame], rows: int = ROWS) -> Iterator[pd.DataFrame]:
     for b in batches:
         for at in range(0, len(b), rows):
             yield b.iloc[at : at + rows]
 
 
 def spans(documents: DataFrame) -> DataFrame:
-    """``(h, doc, digest, place, n)`` of every run; ``doc`` is the largest long for null ids."""
+    """``(h, g, doc, digest, place, n)`` of every run: 64 and 32 bits of its hash, its document
+    (the largest long for null ids), place and number of sentences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _slices(batches):
-            rows = [(h - (1 << 64) if h >> 63 else h, d, g, p, n) for t, d, g in zip(b["text"].array, b["doc"].array, b["digest"].array, strict=True) for h, p, n in runs(t)]
-            yield pd.DataFrame(rows, columns=["h", "doc", "digest", "place", "n"])
+            rows = [
+                (_signed(h, 64), _signed(h >> 64, 32), d, g, p, n)
+                for t, d, g in zip(b["text"].array, b["doc"].array, b["digest"].array, strict=True)
+                for h, p, n in runs(t)
+            ]
+            yield pd.DataFrame(rows, columns=["h", "g", "doc", "digest", "place", "n"])
 
     rows = clashless(documents, "doc_id", "text").select(*_key(), "text").where("text IS NOT NULL")
-    return rows.mapInPandas(run, "h long, doc long, digest long, place int, n int")
+    return rows.mapInPandas(run, "h long, g int, doc long, digest long, place int, n int")
 
 
 def _key() -> list:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest")]
+    return [F.coalesce(F.col("doc_id").try_cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest")]
+
+
+def _numbered(documents: DataFrame) -> DataFrame:
+    """``doc_id, text, doc, digest, copy``; ``copy`` holds for all but one of equal rows without id."""
+    texts = clashless(documents, "doc_id", "text").select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
+    named, nameless = texts.where("doc_id IS NOT NULL").select("*", *_key(), F.lit(False).alias("copy")), texts.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return named
+    rows = materialise(nameless.select("*", *_key(), F.monotonically_increasing_id().alias("row")), "nameless")
+    first = materialise(rows.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("rows")), "firsts")
+    told = join_hot(rows, first, "digest", "rows")
+    return named.unionByName(told.select("doc_id", "text", "doc", "digest", (F.col("row") != F.col("first")).alias("copy")))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """``doc_id, text, n_sentences, n_removed, removed`` of every row: the text without repeated
     passages and the removed sentences' numbers as ``first-last`` ranges."""
     found = materialise(spans(documents), "spans")
-    repeated = materialise(found.groupBy("h").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated")
+    # most runs occur once: they leave before places are carried anywhere
+    repeated = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeated")
+    again = materialise(join_hot(found, repeated, "h", "times").select("h", "g", "doc", "digest", "place", "n"), "again")
+    first = again.groupBy("h", "g").agg(F.min(F.struct("doc", "digest")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    first = materialise(first.withColumnRenamed("g", "first_g"), "first")
+    here = F.col("first") == F.struct("doc", "digest")
     covered = (
-        join_hot(found, repeated, "h", "times")
-        .select("doc", "digest", F.struct("place", "n", F.when(F.col("doc") == F.col("first_doc"), F.col("h")).alias("h")).alias("run"))
+        join_hot(again, first, "h", "times")
+        .where("g = first_g")
+        .select("doc", "digest", F.struct("place", "n", F.when(here, F.col("h")).alias("h")).alias("run"))
         .groupBy("doc", "digest")
         .agg(F.collect_set("run").alias("runs"))  # at most two a sentence of the document
     )
-    texts = clashless(documents, "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text", *_key())
-    joined = texts.join(covered, ["doc", "digest"], "left").select(
-        "doc_id", "text", F.col("runs.place").alias("place"), F.col("runs.n").alias("n"), F.col("runs.h").cast("array<string>").alias("h")
+    joined = _numbered(documents).join(covered, ["doc", "digest"], "left").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "text", "copy", F.col("runs.place").alias("place"), F.col("runs.n").alias("n"), F.col("runs.h").cast("array<string>").alias("h")
     )
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _slices(batches):
             out = []
-            for doc, text, place, n, h in zip(*(b[c].array for c in ("doc_id", "text", "place", "n", "h")), strict=True):
+            for doc, text, copy, place, n, h in zip(*(b[c].array for c in ("doc_id", "text", "copy", "place", "n", "h")), strict=True):
                 if not isinstance(text, str):
                     out.append((doc, None, 0, 0, ""))
                     continue
@@ -122,7 +184,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
                 gone = bytearray(len(parts))
                 seen = set()
                 for p, k, name in sorted(zip(place, n, h, strict=True), key=lambda r: r[:2]) if place is not None else ():
-                    if name is not None and name not in seen:
+                    if name is not None and name not in seen and not copy:
                         seen.add(name)  # the first occurrence of all
                         continue
                     gone[p : p + k] = b"\1" * k

@@ -560,8 +560,31 @@ def test_repeated_passages_go_to_their_ends(spark):
     assert got[1] == "".join(docs[1][:1] + docs[1][4:]) and got[2] == "".join(docs[2][:2])
 
 
+def test_passages_inside_longer_sentences_go(spark):
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passages = [" ".join(word() for _ in range(60)) for _ in range(40)]
+    rows = [(i, f"Opening words here. {p}") for i, p in enumerate(passages)]
+    rows += [(100 + i, " ".join(word() for _ in range(1 + i % 15)) + " " + p + " " + " ".join(word() for _ in range(i % 9))) for i, p in enumerate(passages)]
+    got = {x.doc_id: x for x in sentence_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shares = [1 - sum(w in got[100 + i].text.split() for w in p.split()) / 60 for i, p in enumerate(passages)]
+    assert sum(x > 0 for x in shares) >= 38 and sum(shares) / len(shares) > 0.65
+    assert all(got[i].n_removed == 0 for i in range(40))
+
+
+def test_scripts_without_spaces_and_rows_without_ids(spark):
+    sign = lambda seed, n: "".join(chr(0x4E00 + random.Random(seed).randrange(5000) + i % 7) for i in range(n))
+    passage = "。".join("".join(random.Random(i).choices([chr(c) for c in range(0x4E00, 0x5E00)], k=12)) for i in range(5)) + "。"
+    english = " ".join(f"Sentence number {i} of a passage that is repeated here." for i in range(4))
+    rows = [(1, f"{sign(1, 8)}。{passage}"), (2, f"{sign(2, 9)}。{passage}{sign(3, 5)}。"), (None, english), (None, english), (None, f"Another. {english}"), (None, None), (5, None)]
+    got = sentence_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    by = {x.doc_id: x for x in got if x.doc_id}
+    assert by[1].n_removed == 0 and by[2].text == f"{sign(2, 9)}。{sign(3, 5)}。" and by[5].text is None
+    assert sorted(len(x.text) for x in got if x.doc_id is None and x.text is not None)[:2] in ([0, 9], [0, 0]) and sum(x.n_removed > 0 for x in got) == 3
+
+
 @settings(max_examples=100, deadline=None)
-@given(text=st.text("ab ,.;!?\n", max_size=300))
+@given(text=st.text("ab ,.;!?\n。、漢字 ", max_size=300))
 def test_sentences_lose_nothing(text):
     assert "".join(sentence_dedup.sentences(text)) == text
 
