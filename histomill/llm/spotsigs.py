@@ -1,7 +1,9 @@
 """Document fingerprints from spot signatures.
 
-A signature is a common word (anchor) with the content words that follow it, up to ``CHAIN``
-and no further than the next anchor; the start of a line is an anchor too. A document's
+A signature is an anchor with the ``CHAIN`` content words that follow it, anchors between them being
+skipped (fewer only at the text's end). Anchors are common words of several languages, all words
+of one or two letters, and the starts of lines and sentences, so texts in other languages have
+signatures too; signs of scripts without spaces are words of their own. A document's
 fingerprint is its set of signatures. Likeness is the Jaccard similarity of two sets.
 
 ``near_duplicates`` compares sets without comparing all: sets are partitioned by length (two
@@ -10,8 +12,10 @@ under its rarest signatures only (two sets at similarity ``t`` share one of the
 ``|A| - ceil(t |A|) + 1``), and a pair is verified on the whole sets. DataFrame functions only.
 
 Defined results: null text is empty; a text without words has the empty set; two empty sets
-have likeness 1, an empty and another 0; rows are ordered by ``doc_id``, nulls first, and then
-by text; repeated rows are neighbours; other columns are ignored.
+have likeness 1, an empty and another 0; rows are ordered by ``doc_id``, nulls first, then by a
+digest of the text, then by text; repeated rows are neighbours; ids that are no whole numbers
+count as null; very long texts are taken whole; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,25 +34,39 @@ SIMILARITY = 0.8
 BUCKET_ROWS = 2_048
 MOST_RANGES = 50_000
 
-# The anchors, the most common words of four languages.
+# The anchors, the most common words of several languages.
 ANCHORS = (
-    "a an and are as at be by for from in is it not of on or that the this to was with "
-    "der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch "
-    "le la les de et à un une du dans est pour qui que sur pas par au avec "
-    "el los las y en con por para se del al su lo es no"
-).split()
-
-_ANCHOR = "(?:" + "|".join(sorted(set(ANCHORS))) + ")"
-_PATTERN = rf"(?:\n|(?<![^ \n]){_ANCHOR})(?: (?!{_ANCHOR}(?![^ \n]))[^ \n]+){{1,{CHAIN}}}"
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "that", "the", "this", "to", "was", "with",
+    "der", "die", "das", "und", "den", "von", "zu", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch",
+    "le", "la", "les", "de", "et", "à", "un", "une", "du", "dans", "est", "pour", "qui", "que", "sur", "pas", "par", "au", "avec",
+    "el", "los", "las", "y", "en", "con", "por", "para", "se", "del", "al", "su", "lo", "es", "no",
+    "di", "il", "che", "non", "per", "sono", "het", "een", "van", "dat", "niet", "não", "uma", "com",
+    "и", "в", "не", "на", "с", "что", "как", "по", "это", "но", "из", "за", "от", "для",
+    "的", "了", "是", "在", "不", "和", "有", "の", "は", "に", "を", "が", "と", "で",
+)
+
+_SIGN = r"[\u2e80-\u2fdf\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"  # no spaces between words
+_START, _MARK = "\x02", "\x01"  # starts of lines and sentences, what stands before an anchor
+#: Anchor and chain, found ahead of every place where a word begins, so that chains may overlap.
+_PATTERN = rf"(?<= )(?={_MARK}[^ ])(?=({_MARK}[^ ]+(?:(?: {_MARK}[^ ]+)*+ [^ ]+){{1,{CHAIN}}}))"
 _FIRST = -(1 << 63)
 
 
+def marked(text: Column) -> Column:
+    """The words of a text between single spaces, with a mark before every anchor."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(t, r"[.!?\n。！？]+(?=\s|$)|\n|[。！？]", f" {_START} ")
+    t = F.regexp_replace(t, _SIGN, " $0 ")
+    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{_START}]+", " ")
+    words = F.split(F.trim(F.concat(F.lit(f"{_START} "), F.trim(t))), " ")
+    anchor = lambda w: (F.length(w) <= 2) & ~w.rlike(_SIGN) | w.isin(*ANCHORS)
+    return F.concat(F.lit(" "), F.array_join(F.transform(words, lambda w: F.when(anchor(w), F.concat(F.lit(_MARK), w)).otherwise(w)), " "), F.lit(" "))
+
+
 def signatures(text: Column) -> Column:
     """The sorted set of a text's signatures as 64-bit hashes."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    lines = F.concat(F.lit("\n "), F.regexp_replace(plain, " ?\n[ \n]*", "\n "))
-    found = F.regexp_extract_all(lines, F.lit(_PATTERN), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    found = F.regexp_extract_all(marked(text), F.lit(_PATTERN), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.xxhash64(F.regexp_replace(s, f" {_MARK}[^ ]+", "")))))
 
 
 def digest(sigs: Column) -> Column:
@@ -76,24 +94,31 @@ def _range_of(key: Column, cuts: list[int]) -> Column:
 
 def in_order(documents: DataFrame, rows_a_task: int = BUCKET_ROWS) -> DataFrame:
     """``(doc_id, text, sigs, next_text, next_sigs)``: every document beside the next by
-    ``doc_id``; the last beside the first. Ids are cut into ranges at quantiles; the first row
-    of a range is also dealt to the range before, so no task sees more than its range."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    rows = clashless(documents, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("k"))
-    n, least = rows.agg(F.count(F.lit(1)), F.min("k")).first()
-    ranges = min(MOST_RANGES, max(1, -(-n // rows_a_task)))
-    cuts = rows.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
-    cuts = sorted({c for c in cuts if c > (least if least is not None else 0)})
-    ranges = len(cuts) + 1
-    bucket = _range_of(F.col("k"), cuts)
-    heads = [least, *cuts] if n else []
+    ``doc_id``; the last beside the first. Ids are cut into ranges at quantiles, rows without id
+    at quantiles of the digest; the first row of a range is also dealt to the range before, so
+    no task sees more than its range."""
+    key, text = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(_FIRST)), F.coalesce("text", F.lit(""))
+    rows = clashless(documents, "doc_id", "text").select("doc_id", text.alias("text"), key.alias("k"), F.xxhash64(text).alias("d"))
+    named, nameless = F.col("k") != _FIRST, F.col("k") == _FIRST
+    n, without = rows.select("k").agg(F.count_if(named), F.count_if(nameless)).first()
+
+    def firsts(of: DataFrame, c: str, count: int) -> list[int]:
+        """The least value of every range between quantiles."""
+        ranges = min(MOST_RANGES, -(-count // rows_a_task))
+        cuts = sorted(set(of.agg(F.percentile_approx(c, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0])) if ranges > 1 else []
+        return sorted(r.least for r in of.select(c, _range_of(F.col(c), cuts).alias("range")).groupBy("range").agg(F.min(c).alias("least")).collect()) if count else []
+
+    ids, digests = firsts(rows.where(named), "k", n), firsts(rows.where(nameless), "d", without)
+    ranges = max(1, len(ids) + len(digests))
+    of_id, of_digest = _range_of(F.col("k"), ids[1:]) + len(digests), _range_of(F.col("d"), digests[1:])
+    bucket = F.when(named, of_id).otherwise(of_digest)
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("guest"))
     before = F.struct(F.pmod(bucket + ranges - 1, F.lit(ranges)).alias("bucket"), F.lit(True).alias("guest"))
-    is_head = F.col("k").isin(heads) if heads else F.lit(False)
+    is_head = F.when(named, F.col("k").isin(ids) if ids else F.lit(False)).otherwise(F.col("d").isin(digests) if digests else F.lit(False))
     dealt = rows.select("*", F.explode(F.when(is_head, F.array(own, before)).otherwise(F.array(own))).alias("to"))
-    dealt = dealt.select("doc_id", "k", "text", "to.*").repartition(F.col("bucket"))
+    dealt = dealt.select("doc_id", "k", "d", "text", "to.*").repartition(F.col("bucket"))
     # a guest is the next range's first row; in the last range it is the first row of all
-    order = Window.partitionBy("bucket").orderBy("guest", "k", "text")
+    order = Window.partitionBy("bucket").orderBy("guest", "k", "d", "text")
     told = dealt.withColumn("sigs", signatures(F.col("text")))
     return (
         told.withColumn("next_text", F.lead("text").over(order))
@@ -127,7 +152,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     """``doc_id, class_id`` of every row: the smallest id that chains of likeness of at least
     ``similarity`` reach."""
     sets = materialise(
-        clashless(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), signatures(F.col("text")).alias("sigs")).select(
+        clashless(documents, "doc_id", "text").select(F.col("doc_id").try_cast("long").alias("doc_id"), signatures(F.col("text")).alias("sigs")).select(
             "doc_id", "sigs", F.xxhash64("sigs").alias("node")
         ),
         "sets",

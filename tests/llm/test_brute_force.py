@@ -295,6 +295,44 @@ def test_edited_texts(documents, plain):
         assert got[d].near_next == pytest.approx(len(a & c) / len(a | c) if a | c else 1.0)
 
 
+def slow_signatures(text):
+    """Chains by plain loops: each anchor with the next three words that are no anchors."""
+    t = re.sub(r"[.!?\n。！？]+(?=\s|$)|\n|[。！？]", " \x02 ", (text or "").lower())
+    t = re.sub("([\u3040-\u30ff\u4e00-\u9fff])", r" \1 ", t)
+    words = ["\x02", *"".join(c if c.isalpha() or c.isnumeric() or c == "\x02" else " " for c in t).split()]
+    sign = lambda w: "\u3040" <= w <= "\u9fff"
+    anchor = lambda w: w in spotsigs.ANCHORS or len(w) <= 2 and not sign(w)
+    out = set()
+    for i, w in enumerate(words):
+        if anchor(w):
+            chain = [x for x in words[i + 1 :] if not anchor(x)][:3]
+            if chain:
+                out.add((w, *chain))
+    return out
+
+
+def test_signatures_are_chains_behind_anchors(spark, plain):
+    texts = [*list(plain.values())[:120], "Не знаю, что это. Большая река течёт на юг, а город стоит.", "東京は大きい都市です。私は毎日電車に乗る。", "One. Two! Three?", "no the of", "x" * 5_000,
+             "Completely unrelated words, starting alike", "a|b the table|row stands\nhere now", None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: len(r.sigs) for r in table.select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs")).collect()}
+    assert got == {i: len(slow_signatures(t)) for i, t in enumerate(texts)}
+    hashed = table.sparkSession.createDataFrame([(i, f"\x01{' '.join(s)}") for i, t in enumerate(texts) for s in slow_signatures(t)], "doc_id long, s string")
+    want = {r.doc_id: r.h for r in hashed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.xxhash64("s"))).alias("h")).collect()}
+    assert all(list(r.sigs) == want.get(r.doc_id, []) for r in table.select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs")).collect())
+    assert min(got[i] for i in (120, 121)) >= 3
+
+
+def test_order_of_rows_without_ids(spark):
+    rows = [(None, f"text {i % 30}") for i in range(60)] + [(i // 2, f"other {i}") for i in range(40)] + [(None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.text, r.next_text) for r in spotsigs.in_order(table, 7).collect()]
+    assert sorted((r[0] is not None, r[0] or 0, r[1]) for r in got) == sorted((d is not None, d or 0, t or "") for d, t in rows)
+    one = [(r.doc_id, r.text, r.next_text) for r in spotsigs.in_order(table, 10_000).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, one))
+    assert sorted(r[2] for r in got) == sorted(r[1] for r in got)  # each row is the next of one
+
+
 def test_order_over_ranges(documents):
     one = spotsigs.in_order(documents, 10_000).select("doc_id", "next_text")
     many = spotsigs.in_order(documents, 7).select("doc_id", "next_text")
