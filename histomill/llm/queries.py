@@ -22,14 +22,17 @@ URL_RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Blocked ``host + path`` strings for urls that no rule fits.
-BLOCKED_URLS = [f"{host}.example.net/{lang}/{n}" for host in ("tionsh", "tiontion", "tionble") for lang in ("en", "de", "fr", "es") for n in range(1000)]
+#: Blocked ``host + path`` strings for urls that no rule fits: these hosts, languages and 1,000 numbers.
+BLOCKED_HOSTS, BLOCKED_LANGUAGES = ("tionsh", "tiontion", "tionble"), ("en", "de", "fr", "es")
 RANKS, TOKENS = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the rules and the blocked urls."""
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_URLS)
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    hosts, languages = (F.explode(F.array(*map(F.lit, x))) for x in (BLOCKED_HOSTS, BLOCKED_LANGUAGES))
+    blocked = spark.range(1000).select("id", hosts.alias("h")).select("id", "h", languages.alias("l"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, blocked.select(F.concat("h", F.lit(".example.net/"), "l", F.lit("/"), "id").alias("url")))
 
 
 OP1_SQL = r"""

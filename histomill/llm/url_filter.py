@@ -1,41 +1,42 @@
 """URL rules in a sorted digest array.
 
-Every rule ``(host, path, verdict)`` is filed under the 64-bit XXH64 of its text. The digests
-lie in one sorted array that each worker maps into memory, with the rules' own strings behind
-it in the same order. A url stands for few keys: each suffix of its host at a dot, with each
-length of path that some rule has. All keys of a batch are looked up by one vectorised binary
-search, and a hit counts only if the stored string equals the key, so colliding digests cannot
-decide anything. The longest rule found decides; a url that no rule fits is looked up, whole,
-in a second array of blocked ``host + path`` strings.
-
-Rule tables of more than ``MAPPED_ROWS`` rows are not shipped to the workers: keys and rules
-then meet in a shuffle on the digest, with the same confirmation.
-
-Defined results: a null url or one without ``://`` has empty host and path and fits no rule;
-repeated rows are judged each; equal rules count once, and of rules with equal host and path
-``block`` wins; an empty rule table leaves every verdict to the blocked strings, an empty table
-of those allows; other columns are ignored.
+Every rule ``(host, path, verdict)`` is filed under the 64-bit XXH64 of its text. Rules come as a
+table of any size: Spark sorts it by digest into range-partitioned parts in the shared folder, and
+every executor fetches the parts, whose digests, strings and verdicts its workers map into memory.
+A url stands for few keys: each suffix of its host at a dot, with each length of path that some
+rule has. All keys of a batch are looked up by vectorised binary search, first for the part, then
+within it, and a hit counts only if the stored string equals the key, so colliding digests cannot
+decide anything. The longest rule found decides; a url that no rule fits is looked up, whole, in
+a second array of blocked ``host + path`` strings. The driver holds neither table.
+
+Defined results: a null url or one without ``://`` has empty host and path and fits no rule; very
+long urls are taken whole; repeated rows are judged each; equal rules count once, and of rules with
+equal host and path ``block`` wins; rules with a null host or path and null blocked strings are
+ignored; an empty rule table leaves every verdict to the blocked strings, an empty table of those
+allows; an empty table of pages gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from histomill.llm.common import ascii_lower, clashless, share_file
+from histomill.llm.common import ascii_lower, clashless
+from histomill.storage import claim
 
-#: Most strings of a digest array that is shipped to the workers.
-MAPPED_ROWS = 2_000_000
+#: Strings in a part of a digest array.
+PART_ROWS = 2_000_000
 ALLOW, BLOCK = "allow", "block"
+SEED = 42  # that of Spark's xxhash64, by which the parts are ranged
 
 
 def host_of(url: Column) -> Column:
@@ -46,39 +47,47 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def digests(strings: list[bytes]) -> np.ndarray:
+    """Digests as signed longs, as Spark has them."""
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in strings], np.uint64).view(np.int64)
+
+
 class DigestArray:
-    """Sorted digests of strings, mapped from a file, with the strings for confirmation."""
+    """Sorted digests of strings, mapped from a file, with the strings for confirmation and a
+    value of each."""
 
     def __init__(self, path: str):
-        n, blob = np.fromfile(path, "<i8", 2)
-        n, blob = int(n), int(blob)
+        n, blob = (int(x) for x in np.fromfile(path, "<i8", 2))
         at = 16
-        self.keys = np.memmap(path, "<u8", "r", at, (n,)) if n else np.empty(0, np.uint64)
+        self.keys = np.memmap(path, "<i8", "r", at, (n,)) if n else np.empty(0, np.int64)
         at += 8 * n
         self.ends = np.memmap(path, "<i8", "r", at, (n + 1,))
         at += 8 * (n + 1)
-        self.blob = np.memmap(path, np.uint8, "r", at, (blob,)) if blob else np.empty(0, np.uint8)
+        self.values = np.memmap(path, np.uint8, "r", at, (n,)) if n else np.empty(0, np.uint8)
+        self.blob = np.memmap(path, np.uint8, "r", at + n, (blob,)) if blob else np.empty(0, np.uint8)
 
     @staticmethod
-    def write(path: str, strings: list[bytes]) -> None:
-        strings = sorted(set(strings), key=lambda s: (xxhash.xxh64_intdigest(s), s))
-        ends = np.concatenate(([0], np.cumsum([len(s) for s in strings], dtype=np.int64))).astype("<i8")
+    def write(path: str, strings: list[bytes], values: Sequence[int] = ()) -> None:
+        keys = digests(strings)
+        order = np.argsort(keys, kind="stable")
+        ends = np.concatenate(([0], np.cumsum([len(strings[i]) for i in order], dtype=np.int64))).astype("<i8")
         with open(path, "wb") as out:
             out.write(np.array([len(strings), int(ends[-1])], "<i8").tobytes())
-            out.write(np.array([xxhash.xxh64_intdigest(s) for s in strings], "<u8").tobytes())
+            out.write(keys[order].astype("<i8").tobytes())
             out.write(ends.tobytes())
-            out.write(b"".join(strings))
+            out.write((np.asarray(values, np.uint8) if len(values) else np.zeros(len(strings), np.uint8))[order].tobytes())
+            out.writelines(strings[i] for i in order)
 
-    def find(self, strings: list[bytes]) -> np.ndarray:
+    def find(self, strings: list[bytes], wanted: np.ndarray | None = None) -> np.ndarray:
         """Place of each string in the array, -1 where it isn't."""
-        wanted = np.array([xxhash.xxh64_intdigest(s) for s in strings], np.uint64)
+        wanted = digests(strings) if wanted is None else wanted
         at = np.searchsorted(self.keys, wanted)
         out = np.full(len(strings), -1)
         inside = at < len(self.keys)
         for i in np.flatnonzero(inside)[self.keys[at[inside]] == wanted[inside]]:
             j = int(at[i])
             while j < len(self.keys) and self.keys[j] == wanted[i]:  # digests that collide
-                if self.blob[self.ends[j] : self.ends[j + 1]].tobytes() == strings[i]:
+                if self.string(j) == strings[i]:
                     out[i] = j
                     break
                 j += 1
@@ -88,42 +97,84 @@ class DigestArray:
         return self.blob[self.ends[place] : self.ends[place + 1]].tobytes()
 
 
+class RangedArrays:
+    """Digest arrays of one table, whose ranges of digests follow each other."""
+
+    def __init__(self, arrays: list[DigestArray]):
+        self.arrays = sorted((a for a in arrays if len(a.keys)), key=lambda a: int(a.keys[0]))
+        self.firsts = np.array([a.keys[0] for a in self.arrays], np.int64)
+
+    def find(self, strings: list[bytes]) -> np.ndarray:
+        """Value of each string, -1 where it isn't there."""
+        out = np.full(len(strings), -1)
+        if not strings or not self.arrays:
+            return out
+        wanted = digests(strings)
+        part = np.searchsorted(self.firsts, wanted, "right") - 1
+        for k in np.unique(part[part >= 0]):
+            of = np.flatnonzero(part == k)
+            places = self.arrays[k].find([strings[i] for i in of], wanted[of])
+            hit = places >= 0
+            out[of[hit]] = self.arrays[k].values[places[hit]]
+        return out
+
+
 def suffixes(host: str) -> list[str]:
     """The host and every part of it behind a dot."""
     return [host, *(host[i + 1 :] for i, c in enumerate(host) if c == ".")] if host else []
 
 
-def _ship(spark: SparkSession, strings: list[bytes]) -> str:
-    """Put a digest array into the shared folder, from where workers fetch it; its name there."""
-    name = f"digests-{uuid.uuid4().hex}.bin"
-    with tempfile.TemporaryDirectory() as folder:
-        DigestArray.write(path := os.path.join(folder, name), strings)
-        spark.sparkContext.addFile(share_file(spark, path, name))
-    return name
+def _ship(strings: DataFrame) -> list[str]:
+    """Write a table ``(s, value)`` of different strings in parts by range of their digests, from
+    where every executor fetches them; the parts' names."""
+    spark = strings.sparkSession
+    parts = max(1, -(-strings.count() // PART_ROWS))
+    path = claim(spark, f"digests-{uuid.uuid4().hex}")
+    strings.select("s", F.col("value").cast("int").alias("value"), F.xxhash64("s").alias("k")).repartitionByRange(parts, "k").select("s", "value").write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    files = [f.getPath() for f in listed if f.getPath().getName().startswith("part-")]
+    for f in files:
+        spark.sparkContext.addFile(f.toString())
+    return [f.getName() for f in files]
+
+
+def _mapped(names: list[str]) -> RangedArrays:
+    """The arrays of a table's parts on this executor; the first worker lays each out for mapping
+    beside the file that Spark has fetched."""
+    arrays = []
+    for name in names:
+        fetched = SparkFiles.get(name)
+        if not os.path.exists(path := f"{fetched}.digests"):
+            part = pq.read_table(fetched)
+            own = f"{path}-{uuid.uuid4().hex}"
+            DigestArray.write(own, [s.encode() for s in part["s"].to_pylist()], part["value"].to_numpy())
+            os.replace(own, path)
+        arrays.append(DigestArray(path))
+    return RangedArrays(arrays)
 
 
 def _spell(host: str, path: str) -> bytes:
     return f"{host}\n{path}".encode()
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[str] = (), mapped_rows: int = MAPPED_ROWS) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` of every row."""
+def judge(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]], blocked: DataFrame | Sequence[str] = ()) -> DataFrame:
+    """``page_id, host, path, rule, verdict`` of every row. ``rules`` has the columns ``host``,
+    ``path``, ``verdict``, and ``blocked`` the column ``url`` with ``host + path``."""
     spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    if not isinstance(blocked, DataFrame):
+        blocked = spark.createDataFrame([(b,) for b in blocked], "url string")
     rows = clashless(pages, "page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    verdicts: dict[tuple[str, str], str] = {}
-    for host, path, verdict in rules:
-        key = (host.translate({c: c + 32 for c in range(65, 91)}), path)
-        verdicts[key] = BLOCK if BLOCK in (verdict, verdicts.get(key)) else ALLOW
-    if len(verdicts) > mapped_rows or len(blocked) > mapped_rows:
-        return judge_by_shuffle(rows, verdicts, list(blocked))
-    lengths = sorted({len(path) for _, path in verdicts})
-    allowed = _ship(spark, [_spell(*k) for k, v in verdicts.items() if v == ALLOW])
-    barred = _ship(spark, [_spell(*k) for k, v in verdicts.items() if v == BLOCK])
-    listed = _ship(spark, [b.encode() for b in blocked])
+    rules = rules.where("host IS NOT NULL AND path IS NOT NULL").select(ascii_lower(F.col("host")).alias("host"), "path", (F.col("verdict") == BLOCK).alias("bad"))
+    lengths = sorted(r.n for r in rules.select(F.length("path").alias("n")).distinct().collect())  # no more than paths are long
+    spelled = F.concat_ws("\n", "host", "path")
+    filed = _ship(rules.groupBy(spelled.alias("s")).agg(F.max(F.coalesce("bad", F.lit(True))).cast("int").alias("value")))
+    listed = _ship(blocked.where("url IS NOT NULL").select(F.col("url").alias("s"), F.lit(1).alias("value")).distinct())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        arrays = [(DigestArray(SparkFiles.get(name)), verdict) for name, verdict in ((allowed, ALLOW), (barred, BLOCK))]
-        urls = DigestArray(SparkFiles.get(listed))
+        array, urls = _mapped(filed), _mapped(listed)
         for b in batches:
             hosts, paths = b["host"].tolist(), b["path"].tolist()
             of, keys = [], []
@@ -135,12 +186,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[str
                         of.append(i)
                         keys.append((suffix, path[:n]))
             best: dict[int, tuple] = {}
-            encoded = [_spell(*k) for k in keys]
-            for array, verdict in arrays:
-                for j in np.flatnonzero(array.find(encoded) >= 0):
-                    host, path = keys[j]
-                    best[of[j]] = max(best.get(of[j], ()), (len(host) + len(path), len(host), verdict, host + path))
-            bad = urls.find([(h + p).encode() for h, p in zip(hosts, paths, strict=True)]) >= 0
+            found = array.find([_spell(*k) for k in keys])
+            for j in np.flatnonzero(found >= 0):
+                host, path = keys[j]
+                best[of[j]] = max(best.get(of[j], ()), (len(host) + len(path), len(host), BLOCK if found[j] else ALLOW, host + path))
+            open_ = [i for i in range(len(hosts)) if i not in best]
+            bad = dict(zip(open_, (urls.find([(hosts[i] + paths[i]).encode() for i in open_]) >= 0).tolist(), strict=True))
             b["rule"] = [best[i][3] if i in best else None for i in range(len(b))]
             b["verdict"] = [best[i][2] if i in best else BLOCK if bad[i] else ALLOW for i in range(len(b))]
             yield b
@@ -150,40 +201,3 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], blocked: list[str
         run, "page_id string, host string, path string, rule string, verdict string"
     )
     return judged.withColumn("page_id", F.col("page_id").cast(kind))
-
-
-def judge_by_shuffle(rows: DataFrame, verdicts: dict[tuple[str, str], str], blocked: list[str]) -> DataFrame:
-    """The same verdicts by joins on the digest, for rules that no worker should hold whole.
-    Urls are judged once for each distinct host and path, so a hot host is no hot key."""
-    spark = rows.sparkSession
-    rule_rows = spark.createDataFrame([(h, p, v) for (h, p), v in verdicts.items()], "rule_host string, rule_path string, rule_verdict string")
-    list_rows = spark.createDataFrame([(b,) for b in dict.fromkeys(blocked)], "listed string")
-    lengths = [r[0] for r in rule_rows.select(F.length("rule_path")).distinct().collect()]
-    urls = rows.select("host", "path").distinct()
-    parts = F.split("host", r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    heads = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
-    keys = urls.where("host <> ''").select("host", "path", F.explode(ends).alias("h"), heads.alias("heads"))
-    keys = keys.select("host", "path", "h", F.explode("heads").alias("p")).where("p IS NOT NULL")
-    rank = F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), F.length("rule_host").alias("m"), "rule_verdict", F.concat("rule_host", "rule_path").alias("rule"))
-    found = (
-        keys.join(
-            rule_rows,
-            (F.xxhash64("h", "p") == F.xxhash64("rule_host", "rule_path")) & (F.col("h") == F.col("rule_host")) & (F.col("p") == F.col("rule_path")),
-        )
-        .groupBy("host", "path")
-        .agg(F.max(rank).alias("best"))
-    )
-    whole = F.concat("host", "path")
-    bad = urls.join(list_rows, (F.xxhash64(whole) == F.xxhash64("listed")) & (whole == F.col("listed")), "left_semi").withColumn("bad", F.lit(True))
-    return (
-        rows.join(found, ["host", "path"], "left")
-        .join(bad, ["host", "path"], "left")
-        .select(
-            "page_id",
-            "host",
-            "path",
-            F.col("best.rule").alias("rule"),
-            F.coalesce("best.rule_verdict", F.when(F.col("bad"), BLOCK).otherwise(ALLOW)).alias("verdict"),
-        )
-    )

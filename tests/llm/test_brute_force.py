@@ -703,17 +703,35 @@ def test_labellers_accuracies_are_found():
 # --- urls
 
 
-def test_rules_and_shuffled_rules(spark, monkeypatch):
+def slow_judge(url, rules, blocked):
+    host, path = "", ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fit = [(len(h) + len(p), len(h), v, h + p) for h, p, v in rules if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *((max(fit)[3], max(fit)[2]) if fit else (None, "block" if host + path in blocked else "allow"))
+
+
+@pytest.mark.parametrize("part", [7, 2_000_000])
+def test_rules_and_blocked_urls(spark, monkeypatch, part):
+    monkeypatch.setattr(url_filter, "PART_ROWS", part)  # several parts, and one
     urls = [None, "", "no scheme", "http://A.org", "http://x.A.org/p/q?z", "https://b.com/p", "b.com/p", "ftp://xa.org/p/", "http://a.org/pq#f", "http://c.net/bad?x=1", "HTTP://a.org/p/q/r"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     rules = [("a.org", "/", "allow"), ("a.org", "/p", "block"), ("x.a.org", "/p/q", "allow"), ("b.com", "", "block"), ("a.org", "/p/q/", "allow"), ("a.org", "/p/q/", "block")]
-    mapped = {r.page_id: tuple(r) for r in url_filter.judge(pages, rules, ["c.net/bad"]).collect()}
-    shuffled = {r.page_id: tuple(r) for r in url_filter.judge(pages, rules, ["c.net/bad"], mapped_rows=0).collect()}
-    assert mapped == shuffled
-    assert [mapped[i][3:] for i in (3, 4, 5, 7, 8, 9, 10)] == [
-        (None, "allow"), ("x.a.org/p/q", "allow"), ("b.com", "block"), (None, "allow"), ("a.org/p", "block"), (None, "block"), ("a.org/p/q/", "block")
-    ]
-    assert mapped[0][1:] == mapped[2][1:] == ("", "", None, "allow")
+    r = random.Random(8)
+    hosts = [f"{a}{b}.{c}" for a in ("", "www.", "m.x.") for b in ("alpha", "beta", "gam") for c in ("org", "com")]
+    urls += [f"http://{r.choice(hosts)}/{r.choice('abc')}/{r.choice('abc')}?q" for _ in range(300)] + ["http://long.net/" + "y" * 50_000]
+    rules += [(r.choice(hosts), f"/{r.choice('abc')}/"[: r.randint(0, 3)], r.choice(["allow", "block"])) for _ in range(20)]
+    blocked = ["c.net/bad", *{f"{h}/{a}/{b}" for h in hosts for a in "abc" for b in "ab"}, "long.net/" + "y" * 50_000]
+    held = {}
+    for h, p, v in rules:
+        held[h, p] = "block" if "block" in (v, held.get((h, p))) else "allow"
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: tuple(x)[1:] for x in url_filter.judge(pages, rules, blocked).collect()}
+    assert got == {i: slow_judge(u, [(*k, v) for k, v in held.items()], set(blocked)) for i, u in enumerate(urls)}
+    assert {url_filter.ALLOW, url_filter.BLOCK} == {x[3] for x in got.values() if x[2] is None}
+    assert {x[3] for x in url_filter.judge(pages, []).collect()} == {None}
 
 
 def test_colliding_digests_do_not_decide(tmp_path, monkeypatch):
