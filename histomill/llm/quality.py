@@ -9,14 +9,19 @@ hashed features is trained; the scorer judges every document.
 Features are transitions between runs of character classes, counted over the whole text, and
 the labellers' measures in steps, hashed to ``DIMENSIONS``.
 
+A text without spaces between words is measured by its signs. The labeller that looks for known
+function words does not vote on other scripts than Latin and Cyrillic.
+
 Defined results: null or blank text has no votes, gets the score of its (empty) features and
-is kept or rejected like any other; repeated rows are judged each; an empty table gives no
-rows; other columns are ignored.
+is kept or rejected like any other; very long texts are measured whole; repeated rows are judged
+each; ids that are no whole numbers become null in the result; an empty table gives no rows;
+other columns are ignored, and kept by :func:`keep_good`.
 """
 
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +46,9 @@ FUNCTION_WORDS = frozenset(
     "the of and to a in is it that for on with as was be by are this at from or an not "
     "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als "
     "le la les de des et à un une du en que qui dans pour par sur est au pas avec "
-    "el los las y en que de un una con no por para se del al su lo es".split()
+    "el los las y en que de un una con no por para se del al su lo es "
+    "di il che non per sono della un è si het een van dat niet op te zijn não uma os do da em com mais "
+    "i w na z do nie to jest się że и в не на с что как по это но из за от для он она они к у же бы ve bir bu da için".split()
 )
 _SYMBOLS = "#$%&*@^~<>{}[]\\=+_`"
 
@@ -75,15 +82,31 @@ _STEP = 128
 _HASHED = np.array([xxhash.xxh32_intdigest(i.to_bytes(4, "little")) % DIMENSIONS for i in range(_STEP * _STEP)], np.int64)
 
 
+_SIGN = r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"  # no spaces between words
+_WORD, _HAS_SIGN = re.compile(rf"{_SIGN}|[^\s\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+"), re.compile(_SIGN)
+#: Words in which repetition is measured, so that it does not grow with a text's length.
+STRETCH = 100
+
+
+def sameness(words: list[str]) -> float:
+    """Share of words that have occurred before in their stretch of the text."""
+    n = len(words)
+    stretches = max(1, n // STRETCH)  # the last one is longer
+    ends = [*range(STRETCH, STRETCH * stretches, STRETCH), n]
+    return 1 - sum(len(set(words[s:e])) for s, e in zip([0, *ends], ends, strict=False)) / n
+
+
 def measures(text: str) -> list[float] | None:
     """The labellers' measures; None if the text has too few words to vote on."""
-    words = text.split()
+    signs = _HAS_SIGN.search(text) is not None
+    words = _WORD.findall(text) if signs else text.split()
     n = len(words)
     if n < LEAST_WORDS:
         return None
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
     kind = _CLASS[np.minimum(codes, 0x24F)]
-    letters = max(1, int(((kind == _LETTER) | (kind == _CAPITAL)).sum()))
+    letters = max(1, int(((kind == _LETTER) | (kind == _CAPITAL)).sum()))  # all signs from 0x24F on among them
+    known = int((((kind == _LETTER) | (kind == _CAPITAL)) & (codes < 0x24F) | (codes >= 0x400) & (codes < 0x530)).sum())
     lowered = [w.strip(".,;:!?").lower() for w in words]
     return [
         sum(map(text.count, _SYMBOLS)) / len(text),
@@ -91,8 +114,8 @@ def measures(text: str) -> list[float] | None:
         int((kind == _CAPITAL).sum()) / letters,
         sum(w.endswith("!") for w in words) / n,
         sum(map(operator.eq, lowered, lowered[1:])) / n,
-        1 - len(set(lowered)) / n if n >= 40 else 0.5,
-        1 - sum(map(FUNCTION_WORDS.__contains__, lowered)) / n if n >= 20 else 0.95,
+        sameness(lowered) if n >= 40 else 0.5,
+        1 - sum(map(FUNCTION_WORDS.__contains__, lowered)) / n if n >= 20 and 2 * known > letters else 0.95,
     ]
 
 
@@ -119,7 +142,7 @@ def features(text: str, found: list[float] | None) -> tuple[list[int], list[floa
 
 
 def describe(documents: DataFrame) -> DataFrame:
-    """``doc_id, votes, at, value`` of every row."""
+    """``doc_id, digest, votes, at, value`` of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -128,14 +151,16 @@ def describe(documents: DataFrame) -> DataFrame:
             hashed = [features(t, m) for t, m in zip(texts, found, strict=True)]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"],
+                "digest": b["digest"],
                 "votes": [vote(m) for m in found],
                 "at": [at for at, _ in hashed],
                 "value": [value for _, value in hashed],
             })
 
     # ids pass through as text: pandas would turn longs beside nulls into floats
-    rows = clashless(documents, "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "doc_id string, votes string, at array<int>, value array<float>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = clashless(documents, "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    described = rows.mapInPandas(run, "doc_id string, digest long, votes string, at array<int>, value array<float>")
+    return described.withColumn("doc_id", F.col("doc_id").try_cast("long"))
 
 
 def estimate(patterns: dict[str, int], iterations: int = ITERATIONS) -> tuple[dict[str, float], np.ndarray]:
@@ -199,9 +224,9 @@ def fit(described: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
     # a share by hash first: otherwise every task would send the driver a whole sample
     steps = 1 << 24
     share = min(steps, -(-steps * 2 * training_rows // max(1, sum(patterns.values()))))
-    key = F.xxhash64("doc_id")
-    drawn = described.where(F.pmod(key, F.lit(steps)) < share).select("at", "value", "votes", key.alias("k"), "doc_id")
-    sample = drawn.orderBy("k", "doc_id", "votes").limit(training_rows).collect()
+    key = F.xxhash64("doc_id", "digest")
+    drawn = described.where(F.pmod(key, F.lit(steps)) < share).select("at", "value", "votes", key.alias("k"))
+    sample = drawn.orderBy("k", "votes").limit(training_rows).collect()
     weights, intercept = train([(r["at"], r["value"], posteriors[r.votes]) for r in sample])
     return Model(weights, intercept, posteriors, accuracies)
 

@@ -700,6 +700,67 @@ def test_labellers_accuracies_are_found():
     assert np.mean([(posterior[v] > 0.5) == t for v, t in zip(votes, truth, strict=True)]) > 0.93
 
 
+def slow_estimate(patterns, rounds):
+    """Expectation and maximisation vote by vote."""
+    names = sorted(patterns)
+    good = {p: 0.2 if "-" in p else 0.9 for p in names}
+    for _ in range(rounds):
+        total = sum(patterns.values())
+        prior = min(0.99, max(0.01, sum(patterns[p] * good[p] for p in names) / total))
+        given_ = [[], []]
+        for c in (0, 1):
+            for k in range(len(names[0])):
+                share = lambda p: good[p] if c else 1 - good[p]  # noqa: B023, E731
+                plus = sum(patterns[p] * share(p) for p in names if p[k] == "+")
+                voted = sum(patterns[p] * share(p) for p in names if p[k] != "0")
+                given_[c].append((plus + 1) / (voted + 2))
+        for p in names:
+            odds = [1 - prior, prior]
+            for c in (0, 1):
+                for k, v in enumerate(p):
+                    odds[c] *= 1 if v == "0" else given_[c][k] if v == "+" else 1 - given_[c][k]
+            good[p] = odds[1] / sum(odds)
+    return good, given_
+
+
+def test_estimation_against_plain_loops():
+    r = random.Random(3)
+    patterns = {"".join(r.choices("+-0", [5, 2, 3], k=len(quality.LABELLERS))): r.randint(1, 50) for _ in range(30)}
+    good, given_ = quality.estimate(patterns, 10)
+    want, want_given = slow_estimate(patterns, 10)
+    assert all(math.isclose(good[p], want[p], rel_tol=1e-6, abs_tol=1e-9) for p in patterns)
+    assert np.allclose(given_, want_given)
+
+
+def test_training_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(quality, "DIMENSIONS", 6)
+    r = random.Random(4)
+    rows = []
+    for _ in range(40):
+        at = sorted(r.sample(range(6), r.randint(0, 4)))
+        rows.append((at, [r.random() for _ in at], r.random()))
+    weights, intercept = quality.train(rows, steps=25)
+    dense = [[dict(zip(at, v, strict=True)).get(i, 0.0) for i in range(6)] + [1.0] for at, v, _ in rows]
+    rate = 4 / max(sum(x * x for x in row) for row in dense)
+    w, speed = [0.0] * 7, [0.0] * 7
+    for k in range(25):
+        ahead = [a + k / (k + 3) * b for a, b in zip(w, speed, strict=True)]
+        gaps = [1 / (1 + math.exp(-sum(a * x for a, x in zip(ahead, row, strict=True)))) - y for row, (*_, y) in zip(dense, rows, strict=True)]
+        after = [a - rate * (sum(g * row[i] for g, row in zip(gaps, dense, strict=True)) / len(rows) + 1e-4 * a) for i, a in enumerate(ahead)]
+        speed, w = [a - b for a, b in zip(after, w, strict=True)], after
+    assert np.allclose([*weights, intercept], w, atol=1e-3)
+
+
+def test_labellers_on_other_scripts_and_long_texts(plain):
+    russian = "Большая река течёт на юг через поля и леса, а старый город стоит на её берегу. Люди живут здесь давно, и они любят этот тихий край. "
+    chinese = "东京是一个很大的城市，每天有很多人坐电车去工作。春天的时候公园里开满了花，孩子们在树下玩，老人在旁边喝茶。"
+    for text in (russian, russian * 3, chinese, chinese * 2, "GDP 与 GNP 不同，" + chinese):
+        assert "-" not in quality.vote(quality.measures(text)), text
+    words = [w for t in plain.values() if t for w in t.split()]
+    assert quality.sameness(["a"] * 1000) == 0.99 and quality.sameness([str(i) for i in range(1000)]) == 0
+    assert abs(quality.sameness(words[:2000]) - quality.sameness(words[:40_000])) < 0.1  # not by length
+
+
 # --- urls
 
 
