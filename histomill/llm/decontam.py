@@ -13,8 +13,9 @@ and one more, have their lists read: one of these is hit by every match, whichev
 
 Defined results: null or empty text has no words and is clean; an item without words has no
 window; an item shorter than a window is one window; repeated rows are judged each; a null
-``doc_id`` or ``item_id`` is a value like any other (a null item id is written as ``null``);
-other columns are ignored.
+``doc_id`` or ``item_id`` is a value like any other (a null item id is written as ``null``); very
+long texts are indexed whole; empty documents give no rows, an empty benchmark no hits; other
+columns are ignored, and kept by :func:`clean_only`.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from histomill.llm.common import ascii_lower, clashless, materialise, small_side
+from histomill.llm.common import ascii_lower, clashless, join_hot, materialise, small_side
 
 #: Fixed by the operator's contract: what separates words once A-Z are lower-cased; A-Z are
 #: word characters before that.
@@ -32,8 +33,9 @@ WINDOW = 10
 ANCHORS = 3
 #: Of these, the lists that are intersected: the shortest ones in the training text.
 INTERSECTED = 2
-#: Most distinct benchmark terms or windows that are broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Most distinct benchmark terms or windows that are broadcast; beyond it, or beyond the bytes that
+#: ``small_side`` allows, joins shuffle, split at hot terms.
+BROADCAST_ROWS = 500_000
 #: Share of a window's distinct words that a proximity match holds.
 SHARE = 0.8
 #: Words on either side of a window's place in which proximity matches are sought, if they are.
@@ -78,7 +80,7 @@ def anchored(grams: DataFrame, terms: int = ANCHORS) -> DataFrame:
     held = places.groupBy("t").agg(F.countDistinct("window_id").alias("held"))
     rank = F.struct("held", (-F.length("t")).alias("length"), "off", folded(F.col("t")).alias("term_id"))
     return (
-        places.join(held, "t")
+        places.join(small_side(materialise(held, "held"), BROADCAST_ROWS), "t")
         .groupBy("window_id")
         .agg(F.slice(F.array_sort(F.collect_list(rank)), 1, terms).alias("r"))
         .select("window_id", F.transform("r", lambda x: F.struct(x["off"].alias("off"), x["term_id"].alias("term_id"))).alias("anchors"))
@@ -95,7 +97,7 @@ def near_lists(grams: DataFrame, share: float = SHARE) -> DataFrame:
     rank = F.struct("held", (-F.length("t")).alias("length"), folded(F.col("t")).alias("term_id"), "t")
     need = F.ceil(F.size("r") * share).cast("int")
     return (
-        places.join(held, "t")
+        places.join(small_side(materialise(held, "held"), BROADCAST_ROWS), "t")
         .groupBy("window_id")
         .agg(F.array_sort(F.collect_list(rank)).alias("r"))
         .select(F.struct("window_id", F.col("r.t").alias("terms"), need.alias("need")).alias("win"), F.explode(F.array_distinct(F.slice(F.col("r.term_id"), F.lit(1), F.size("r") - need + 1))).alias("term_id"))
@@ -136,18 +138,27 @@ def candidates(postings: DataFrame, anchors: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "off", "term_id"))).alias("r"))
         .where(F.col("r")[0]["tf"] > 0)
         .select("window_id", F.least(F.size("r"), F.lit(INTERSECTED)).alias("k"), F.explode(F.slice("r", 1, INTERSECTED)).alias("a"))
-        .select("window_id", "k", "a.off", "a.term_id")
+        .select("window_id", "k", "a.off", "a.term_id", "a.tf")
     )
-    ranked = materialise(ranked, "lists")
+    # a list's windows with its length, so that each term is there once
+    read = ranked.groupBy("term_id").agg(F.first("tf").alias("tf"), F.collect_list(F.struct("window_id", "k", "off")).alias("wins"))
     named = (
-        postings.join(small_side(ranked, BROADCAST_ROWS), "term_id")
-        .select("doc_id", "digest", "window_id", "k", (F.col("pos") - F.col("off")).alias("start"))
+        join_split(postings, materialise(read, "lists"), "term_id", "tf")
+        .select("doc_id", "digest", "pos", F.explode("wins").alias("w"))
+        .select("doc_id", "digest", "w.window_id", "w.k", (F.col("pos") - F.col("w.off")).alias("start"))
         .where("start >= 0")
     )
     places = named.groupBy("doc_id", "digest", "window_id", "start").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
     return places.where(F.col("n") >= F.col("k")).select("doc_id", "digest", "window_id", "start")
 
 
+def join_split(big: DataFrame, unique: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join with a stored table that has each key once: by broadcast if it is proven small,
+    otherwise by a shuffle that is split at hot keys."""
+    side = small_side(unique, BROADCAST_ROWS)
+    return join_hot(big, unique, key, rows) if side is unique else big.join(side, key)
+
+
 def _same(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
 

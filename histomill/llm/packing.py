@@ -11,9 +11,9 @@ packs numbers of bins by fill, of which there are fewer than ``capacity``. Its p
 which ranks of which fill share which bins, and the bins find their places by their rank in a
 join whose keys hold at most ``CHUNK`` rows.
 
-Defined results: null text is empty, and an empty document is the end token alone; repeated
-rows are packed each; a null ``doc_id`` stays null; an empty table gives no rows; other
-columns are ignored.
+Defined results: null text is empty, and an empty document is the end token alone; very long texts
+are cut like others; repeated rows are packed each; a null ``doc_id``, and one that is no whole
+number, is null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def pieces(documents: DataFrame, ranks_path: str, tokens_path: str, capacity: in
                     fills.append(length)
             yield pd.DataFrame({"fill": fills, "members": members, "done": [f == capacity for f in fills]})
 
-    rows = clashless(documents, "doc_id", "text").select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
+    rows = clashless(documents, "doc_id", "text").select(F.col("doc_id").try_cast("long").cast("string").alias("doc_id"), "text")
     return rows.mapInPandas(tokenise, "fill int, members binary, done boolean")
 
 

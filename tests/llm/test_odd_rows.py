@@ -79,3 +79,36 @@ def test_defined_values(spark, odd):
     assert scans[1].base_spans == scans[2].base_spans == "" and scans[10].n_access == 1
     empty = hashlib.sha256(b"").hexdigest()
     assert {r.digest for r in licenses.scan(odd).where("doc_id in (1, 2, 3)").collect()} == {empty}
+
+
+def test_decontamination_beyond_the_broadcast(spark, odd, monkeypatch):
+    want = sorted(map(str, decontam.decontaminate(odd, bench(spark), slop=2).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)  # every join shuffles
+    assert sorted(map(str, decontam.decontaminate(odd, bench(spark), slop=2).collect())) == want
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_documents_through_the_pipeline(spark, odd, none, tmp_path, empty):
+    """Stages keep columns and types whatever the rows hold, with ``text`` in any place."""
+    import corpus_pipeline
+
+    docs = (none if empty else odd).select("n", "lang", "doc_id", "digest", "text", "fp", "votes", "w", F.length("text").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["n", "lang", "doc_id", "digest", "text", "fp", "votes", "w", "n_chars"], name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.count() <= before and docs.where("text IS NOT NULL AND n_chars <> length(text)").isEmpty(), name
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert (not rows) if empty else {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("a", "one two three"), ("7", "one two three"), (None, "x")], "doc_id string, text string")
+    assert {r.doc_id for r in packing.pack(docs, RANKS, TOKENS).collect()} == {None, 7}
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).where("digest IS NOT NULL").collect()} >= {(7, 7), (None, 7)}
+    assert {r.doc_id for r in quality.classify(docs).collect()} == {r.doc_id for r in sentence_dedup.deduplicate(docs).collect()} == {None, 7}
+    assert spotsigs.fingerprint(docs).count() == 3 == decontam.decontaminate(docs, bench(spark)).count() == secrets.find_secrets(docs).count()
+    assert simhash.keep_one(docs).count() == 2
