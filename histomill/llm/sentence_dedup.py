@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,7 +35,9 @@ SENTENCES = 2
 WORDS = 20
 LONGEST = 16
 #: One word in so many is one behind which long sentences are cut.
-EVERY = 6
+EVERY = 8
+#: Words of which a worker keeps whether the hash names them.
+CACHED_WORDS = 250_000
 #: Documents that a worker holds at a time: their runs take many times the memory of their texts.
 ROWS = 200
 _STOPS = ".!?\n。！？｡"
@@ -47,15 +50,30 @@ _HAS_SIGN = re.compile(f"[{_SIGN}]")
 _LAST = (1 << 63) - 1
 
 
-def words_of(part: str) -> list[str]:
-    """The words of a part of a text, lower-cased."""
-    if _HAS_SIGN.search(part):
-        return [w.strip().lower() for w in _WORD.findall(part)]
-    return part.lower().split()
+def has_signs(text: str) -> bool:
+    return not text.isascii() and _HAS_SIGN.search(text) is not None
 
 
-def _long(part: str) -> bool:
-    return (part.count(" ") >= LONGEST or not part.isascii()) and len(words_of(part)) > LONGEST
+def words_of(part: str, signs: bool) -> list[str]:
+    """The words of a part of a text, lower-cased; ``signs`` tells whether the text has signs."""
+    return [w.strip().lower() for w in _WORD.findall(part)] if signs else part.lower().split()
+
+
+def _long(part: str, signs: bool) -> bool:
+    return (signs or part.count(" ") >= LONGEST) and len(words_of(part, signs)) > LONGEST
+
+
+class _Anchors(dict):
+    """Whether the hash names a word, with the space around it."""
+
+    def __missing__(self, word: str) -> bool:
+        named = zlib.crc32(word.strip().lower().encode()) % EVERY == 0
+        if len(self) < CACHED_WORDS:
+            self[word] = named
+        return named
+
+
+_ANCHORS = _Anchors()
 
 
 def _at_anchors(part: str) -> list[str]:
@@ -63,7 +81,7 @@ def _at_anchors(part: str) -> list[str]:
     out, held = [], []
     for w in _WORD.findall(part):
         held.append(w)
-        if zlib.crc32(w.strip().lower().encode()) % EVERY == 0:
+        if _ANCHORS[w]:
             out.append("".join(held))
             held.clear()
     return [*out, "".join(held)] if held else out
@@ -71,21 +89,23 @@ def _at_anchors(part: str) -> list[str]:
 
 def sentences(text: str) -> list[str]:
     """Parts that make up the text when joined."""
+    signs = has_signs(text)
     out = []
     for s in _SENTENCE.findall(text):
-        if not _long(s):
+        if not _long(s, signs):
             out.append(s)
             continue
         for c in _CLAUSE.findall(s):
-            out += _at_anchors(c) if _long(c) else [c]
+            out += _at_anchors(c) if _long(c, signs) else [c]
     return out
 
 
-def runs(text: str) -> list[tuple[int, int, int]]:
+def runs(text: str) -> list[tuple[bytes, int, int]]:
     """``(hash, place, number of sentences)`` of the shortest run from every sentence and of the
     shortest run up to every sentence. Of a longer run that is found elsewhere, every sentence
     lies in one of these that is found there too."""
-    words = [words_of(s) for s in sentences(text)]
+    signs = has_signs(text)
+    words = [words_of(s, signs) for s in sentences(text)]
     full = [i for i, w in enumerate(words) if w]
     joined = [" ".join(words[i]).encode() for i in full]
     ends, end, held = [], 0, 0  # where the shortest run from each sentence ends
@@ -100,19 +120,14 @@ def runs(text: str) -> list[tuple[int, int, int]]:
     out = []
     for start, end in enumerate(ends):
         run = xxhash.xxh3_128(b" ".join(joined[start:end]))
-        out.append((run.intdigest(), full[start], full[end - 1] - full[start] + 1))
+        out.append((run.digest(), full[start], full[end - 1] - full[start] + 1))
         # ends that the next sentence's run does not reach: the shortest runs up to them start here
         for last in range(end, ends[start + 1] - 1 if start + 1 < len(ends) else len(full)):
             run.update(b" " + joined[last])
-            out.append((run.intdigest(), full[start], full[last] - full[start] + 1))
+            out.append((run.digest(), full[start], full[last] - full[start] + 1))
     return out
 
 
-def _signed(value: int, bits: int) -> int:
-    value &= (1 << bits) - 1
-    return value - (1 << bits) if value >> (bits - 1) else value
-
-
 def _slices(batches: Iterator[pd.DataFrame], rows: int = ROWS) -> Iterator[pd.DataFrame]:
     for b in batches:
         for at in range(0, len(b), rows):
@@ -125,12 +140,17 @@ def spans(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _slices(batches):
-            rows = [
-                (_signed(h, 64), _signed(h >> 64, 32), d, g, p, n)
-                for t, d, g in zip(b["text"].array, b["doc"].array, b["digest"].array, strict=True)
-                for h, p, n in runs(t)
-            ]
-            yield pd.DataFrame(rows, columns=["h", "g", "doc", "digest", "place", "n"])
+            found = [runs(t) for t in b["text"].array]
+            times = [len(x) for x in found]
+            hashes = np.frombuffer(b"".join(h for x in found for h, _, _ in x), ">u8").reshape(-1, 2)
+            yield pd.DataFrame({
+                "h": hashes[:, 1].astype(np.uint64).view(np.int64),
+                "g": (hashes[:, 0] & 0xFFFFFFFF).astype(np.uint32).view(np.int32),
+                "doc": np.repeat(b["doc"].to_numpy(), times),
+                "digest": np.repeat(b["digest"].to_numpy(), times),
+                "place": np.array([p for x in found for _, p, _ in x], np.int32),
+                "n": np.array([n for x in found for _, _, n in x], np.int32),
+            })
 
     rows = clashless(documents, "doc_id", "text").select(*_key(), "text").where("text IS NOT NULL")
     return rows.mapInPandas(run, "h long, g int, doc long, digest long, place int, n int")
@@ -165,26 +185,27 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     covered = (
         join_hot(again, first, "h", "times")
         .where("g = first_g")
-        .select("doc", "digest", F.struct("place", "n", F.when(here, F.col("h")).alias("h")).alias("run"))
+        .select("doc", "digest", F.struct("place", "n", "h", here.alias("own")).alias("run"))
         .groupBy("doc", "digest")
         .agg(F.collect_set("run").alias("runs"))  # at most two a sentence of the document
     )
     joined = _numbered(documents).join(covered, ["doc", "digest"], "left").select(
-        F.col("doc_id").cast("string").alias("doc_id"), "text", "copy", F.col("runs.place").alias("place"), F.col("runs.n").alias("n"), F.col("runs.h").cast("array<string>").alias("h")
+        F.col("doc_id").cast("string").alias("doc_id"), "text", "copy", F.col("runs.place").alias("place"), F.col("runs.n").alias("n"), F.col("runs.h").alias("h"), F.col("runs.own").alias("own")
     )
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _slices(batches):
             out = []
-            for doc, text, copy, place, n, h in zip(*(b[c].array for c in ("doc_id", "text", "copy", "place", "n", "h")), strict=True):
+            for doc, text, copy, *held in zip(*(b[c].array for c in ("doc_id", "text", "copy", "place", "n", "h", "own")), strict=True):
                 if not isinstance(text, str):
                     out.append((doc, None, 0, 0, ""))
                     continue
                 parts = sentences(text)
                 gone = bytearray(len(parts))
                 seen = set()
-                for p, k, name in sorted(zip(place, n, h, strict=True), key=lambda r: r[:2]) if place is not None else ():
-                    if name is not None and name not in seen and not copy:
+                found = zip(*(x.tolist() for x in held), strict=True) if held[0] is not None else ()
+                for p, k, name, own in sorted(found):
+                    if own and name not in seen and not copy:
                         seen.add(name)  # the first occurrence of all
                         continue
                     gone[p : p + k] = b"\1" * k
