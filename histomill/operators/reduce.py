@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from histomill.errors import InvalidParameterError, NoEmbeddingError, require_column
+from histomill.errors import InvalidParameterError, NoEmbeddingError, listing, require_column
 from histomill.functions import vectors
 from histomill.model import VALUES, Cohort
 from histomill.operators import neighbours, spatial
@@ -264,12 +264,20 @@ def cluster_validation(cohort: Cohort, cluster_key: str = "cluster", use_rep: st
     return per.agg(F.avg(F.coalesce(score, F.lit(0.0))).alias("silhouette"), F.count(F.lit(1)).alias("n_pixels")).withColumn("n_clusters", F.lit(clusters))
 
 
+def _without_nulls(cohort: Cohort, *columns: str) -> None:
+    """A pixel of no batch can neither be corrected nor left out silently."""
+    missing = cohort.pixels.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    if bad := [c for c in columns if missing[c]]:
+        raise InvalidParameterError(f"{listing(bad)} must not be null; {max(missing[c] for c in bad)} pixels have none.")
+
+
 def correct_batches(cohort: Cohort, batch_key: str, covariates: Sequence[str] = (), n_comps: int | None = None) -> Cohort:
     """ComBat (parametric empirical Bayes). A feature's model needs only its count, sum and sum
     of squares in every combination of batch and covariates; pixels are then shifted and scaled
     where they lie."""
     for c in (batch_key, *covariates):
         require_column(cohort.pixels.columns, c)
+    _without_nulls(cohort, batch_key, *covariates)
     layer, p = cohort.analysis_layer(), len(cohort.names)
     keys = [batch_key, *covariates]
     cells = cohort.pixels.groupBy(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))
@@ -342,6 +350,8 @@ def run_harmony(cohort: Cohort, batch_key: str, rep: str = "pca", n_clusters: in
     in every cluster; the corrected components are column ``pca_harmony``. A round gathers sums
     by cluster and batch only."""
     require_column(cohort.pixels.columns, rep, NoEmbeddingError)
+    require_column(cohort.pixels.columns, batch_key)
+    _without_nulls(cohort, batch_key)
     key = pixel_key()
     rows = stored(cohort.pixels.select(key.alias("id"), F.col(rep).alias("z"), F.col(rep).alias("y"), F.col(batch_key).cast("string").alias("b")), "harmony")
     counts = {r.b: r.n for r in rows.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}

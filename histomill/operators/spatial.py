@@ -18,6 +18,7 @@ from histomill.functions.ranks import with_bh
 from histomill.model import Cohort
 from histomill.operators import neighbours
 from histomill.operators.samples import Samples, _carried, sizes
+from histomill.storage import stored
 
 FLOOR = 1e-12
 METRICS = ("morans_i", "entropy", "gini", "hotspot_fraction")
@@ -56,28 +57,57 @@ def _in_weights(edges: DataFrame) -> DataFrame:
     return edges.groupBy("section", F.col("j").alias("id")).agg(F.sum("w").alias("c"))
 
 
-def _feature_rows(lag: DataFrame, *keys: str) -> DataFrame:
-    zipped = F.arrays_zip(F.col("values").alias("v"), F.col("lag").alias("l"))
-    return lag.select(*keys, F.posexplode(zipped).alias("feature_idx", "f")).select(*keys, "feature_idx", F.col("f")["values"].alias("v"), F.col("f")["lag"].alias("l"))
+def _centred_sums(lag: DataFrame, p: int, by_section: bool) -> DataFrame:
+    """``[section,] feature_idx, n, d, num, q`` of ``section, values, lag, c``: sums of squares of the
+    centred values, of their products with the centred lags, and of squares weighted by 1 + c.
+
+    Every batch adds up its rows around its own means, as arrays over the features, and the batches'
+    rows are merged around the common mean; so one shuffle of panel-sized rows is all there is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for section, b in batch.groupby("section" if by_section else (lambda _: ""), sort=False):
+                v, near = (np.array([np.asarray(x, float) for x in b[c]]).reshape(len(b), p) for c in ("values", "lag"))
+                c = b["c"].to_numpy(float)
+                known = ~np.isnan(v)
+                held = known.sum(axis=0)
+                mean = np.where(known, v, 0).sum(axis=0) / np.maximum(held, 1)
+                x = np.where(known, v - mean, 0)
+                y_known = known & ~np.isnan(near)
+                middle = np.where(y_known, near, 0).sum(axis=0) / np.maximum(y_known.sum(axis=0), 1)
+                y = np.where(y_known, near - middle, 0)
+                weight = np.where(known, c[:, None], 0)
+                sums = (held, mean, middle, (x * x).sum(axis=0), (x * y).sum(axis=0), weight.sum(axis=0), (weight * x).sum(axis=0), (weight * x * x).sum(axis=0))
+                yield pd.DataFrame([(section, len(b), *(s.astype(float) for s in sums))], columns=["section", "rows", *_SUMS])
+
+    arrays = ", ".join(f"{c} array<double>" for c in _SUMS)
+    parts = lag.select("section", "values", "lag", "c").mapInPandas(run, f"section string, rows long, {arrays}")
+    keys = ["section", "feature_idx"] if by_section else ["feature_idx"]
+    rows = parts.select("section", "rows", F.posexplode(F.arrays_zip(*_SUMS)).alias("feature_idx", "s")).select("section", "feature_idx", "rows", "s.*")
+    group = Window.partitionBy(*keys)  # a row a batch
+    gap, far = F.col("mean") - F.col("m"), F.col("middle") - F.col("m")
+    return (
+        rows.withColumn("m", F.sum(F.col("held") * F.col("mean")).over(group) / F.sum("held").over(group))
+        .groupBy(*keys)
+        .agg(
+            F.sum("rows").alias("n"),
+            F.sum(F.col("xx") + F.col("held") * gap * gap).alias("d"),
+            F.sum(F.col("xy") + F.col("held") * gap * far).alias("num"),
+            F.sum(F.col("xx") + F.col("held") * gap * gap + F.col("cxx") + 2 * gap * F.col("cx") + gap * gap * F.col("c")).alias("q"),
+        )
+    )
+
+
+_SUMS = ("held", "mean", "middle", "xx", "xy", "c", "cx", "cxx")
 
 
 def autocorrelation(cohort: Cohort, edges: DataFrame, layer: str, by_section: bool = False) -> DataFrame:
-    """``[section,] feature_idx, n, morans_i, z_score, geary_c, geary_z_score`` from one lag join
-    and two grouped passes: means, then sums of centred products."""
+    """``[section,] feature_idx, n, morans_i, z_score, geary_c, geary_z_score`` from one lag join and
+    one grouped pass. ``edges`` is read several times: pass a stored table."""
     keys = ["section"] if by_section else []
     edges = edges.select("section", "i", "j", "w")
-    zipped = lagged(cohort, edges, layer).join(_in_weights(edges), ["section", "id"], "left")
-    pairs = F.arrays_zip(F.col("values").alias("v"), F.col("lag").alias("l"))
-    rows = zipped.select(*keys, F.coalesce("c", F.lit(0.0)).alias("c"), F.posexplode(pairs).alias("feature_idx", "f"))
-    rows = rows.select(*keys, "feature_idx", "c", F.col("f")["v"].alias("v"), F.col("f")["l"].alias("l"))
-    means = cohort.long(*([F.coalesce(F.col("section").cast("string"), F.lit("")).alias("section")] if by_section else []), layer=layer)
-    means = means.groupBy(*keys, "feature_idx").agg(F.avg("value").alias("m"))
-    x, lag = F.col("v") - F.col("m"), F.col("l") - F.col("m")
-    sums = (
-        rows.join(F.broadcast(means) if not by_section else means, [*keys, "feature_idx"])
-        .groupBy(*keys, "feature_idx")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(x * x).alias("d"), F.sum(x * lag).alias("num"), F.sum(x * x * (1 + F.col("c"))).alias("q"))
-    )
+    lag = lagged(cohort, edges, layer).join(_in_weights(edges), ["section", "id"], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
+    sums = _centred_sums(lag, len(cohort.names), by_section)
     weights = weight_sums(edges, *keys)
     t = sums.join(weights, keys) if keys else sums.crossJoin(F.broadcast(weights))  # one row
     n, s0 = F.col("n").cast("double"), F.col("n").cast("double")
@@ -95,7 +125,7 @@ def autocorrelation(cohort: Cohort, edges: DataFrame, layer: str, by_section: bo
 
 def spatial_autocorrelation(cohort: Cohort, n_neighbors: int = 6, section: str = "section", layer: str | None = None) -> DataFrame:
     """Moran's I and Geary's C of every feature, one-sided p-values, and FDR for both."""
-    edges = neighbours.spatial_edges(cohort, n_neighbors, section)
+    edges = stored(neighbours.spatial_edges(cohort, n_neighbors, section), "edges")
     table = autocorrelation(cohort, edges, layer or cohort.analysis_layer())
     table = table.withColumn("pval", special.normal_sf_udf("z_score")).withColumn("geary_pval", special.normal_sf_udf("geary_z_score"))
     table = with_bh(with_bh(table), "geary_pval", "geary_pval_adj")
@@ -110,10 +140,10 @@ def with_autocorrelation(cohort: Cohort, table: DataFrame) -> Cohort:
     return cohort.describe_features("morans_i", [found.get(n) for n in cohort.names])
 
 
-def spatial_de(cohort: Cohort, n_top: int = 50, use_fdr: bool = True, **options) -> DataFrame:
-    """The most autocorrelated features of those with p below 0.05."""
+def spatial_de(cohort: Cohort, n_top: int = 50, use_fdr: bool = True, alpha: float = 0.05, **options) -> DataFrame:
+    """The most autocorrelated features of those with p below ``alpha``."""
     table = spatial_autocorrelation(cohort, **options)
-    return table.where(F.col("pval_adj" if use_fdr else "pval") < 0.05).orderBy(F.desc("morans_i"), "metabolite").limit(n_top)
+    return table.where(F.col("pval_adj" if use_fdr else "pval") < alpha).orderBy(F.desc("morans_i"), "metabolite").limit(n_top)
 
 
 def _single(cohort: Cohort, metabolite: str, layer: str | None) -> Cohort:
@@ -190,14 +220,15 @@ def gini_table(long: DataFrame, *keys: str) -> DataFrame:
 def hotspot_table(cohort: Cohort, edges: DataFrame, layer: str, n_neighbors: int) -> DataFrame:
     """``section, feature_idx, hotspot_fraction``: pixels whose Gi* exceeds 1.96."""
     own = neighbours.points(cohort).select("section", F.col("id").alias("i"), F.col("id").alias("j"))
-    lag = lagged(cohort, edges.select("section", "i", "j").unionByName(own), layer)
-    rows = lag.select("section", F.posexplode("lag").alias("feature_idx", "l"))
-    long = cohort.long(F.coalesce(F.col("section").cast("string"), F.lit("")).alias("section"), layer=layer)
-    moments = long.groupBy("section", "feature_idx").agg(
-        F.avg("value").alias("m"), F.sqrt(F.greatest(F.var_pop("value"), F.lit(FLOOR))).alias("s"), F.count(F.lit(1)).cast("double").alias("n")
+    lag = stored(lagged(cohort, edges.select("section", "i", "j").unionByName(own), layer), "lag")
+    moments = lag.select("section", F.posexplode("values").alias("f", "v")).groupBy("section", "f").agg(
+        F.avg("v").alias("m"), F.sqrt(F.greatest(F.var_pop("v"), F.lit(FLOOR))).alias("s"), F.count(F.lit(1)).cast("double").alias("n")
     )
-    gi = _gi_star(F.col("l"), F.col("m"), F.col("s"), F.col("n"), n_neighbors + 1)
-    return rows.join(moments, ["section", "feature_idx"]).groupBy("section", "feature_idx").agg(F.avg((gi > 1.96).cast("double")).alias("hotspot_fraction"))
+    # a row a section, with what a lag must exceed by feature
+    above = F.col("m") + 1.96 * F.col("s") * F.sqrt(F.greatest((F.col("n") / (n_neighbors + 1) - 1) / (F.col("n") - 1), F.lit(FLOOR)))
+    bars = moments.select("section", "f", above.alias("bar")).groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "bar"))), lambda r: r["bar"]).alias("bars"))
+    hot = lag.join(bars, "section").select("section", F.posexplode(F.zip_with("lag", "bars", lambda v, b: F.when(v > b, 1.0).otherwise(0.0))).alias("feature_idx", "hot"))
+    return hot.groupBy("section", "feature_idx").agg(F.avg("hot").alias("hotspot_fraction"))
 
 
 def spatial_organization(
@@ -222,7 +253,7 @@ def spatial_organization(
     own = Cohort(kept, cohort.names, cohort.about, cohort.steps)
     layer = layer or own.analysis_layer()
     long = own.long("section", layer=layer)
-    edges = neighbours.spatial_edges(own, n_neighbors) if {"morans_i", "hotspot_fraction"} & set(metrics) else None
+    edges = stored(neighbours.spatial_edges(own, n_neighbors), "edges") if {"morans_i", "hotspot_fraction"} & set(metrics) else None
     tables = {
         "morans_i": lambda: autocorrelation(own, edges, layer, by_section=True).select("section", "feature_idx", "morans_i"),
         "entropy": lambda: entropy_table(long, "section", "feature_idx"),
@@ -266,8 +297,9 @@ def _random_labelling(sizes: dict[str, int], n: int, edges: int, adjacent: int)
     return out
 
 
-def neighborhood_enrichment(cohort: Cohort, edges: DataFrame, cluster_key: str = "cluster", n_permutations: int = 1000, random_state: int = 0) -> DataFrame:
-    """Observed label pairs against permuted labels: expectation, z, p.
+def neighborhood_enrichment(cohort: Cohort, edges: DataFrame, cluster_key: str = "cluster", n_permutations: int = 1000, random_state: int = 0, null: str | None = None) -> DataFrame:
+    """Observed label pairs against permuted labels: expectation, z, p. ``null`` is ``permuted``,
+    ``exact``, or by the graph's size.
 
     A permutation relabels every pixel by the rank of a hash of (seed, permutation, pixel): a
     task holds a permutation's labels, edges and labels being shipped once. For graphs beyond
@@ -277,7 +309,9 @@ def neighborhood_enrichment(cohort: Cohort, edges: DataFrame, cluster_key: str =
     observed = neighborhood_counts(cohort, edges, cluster_key)
     once = edges.where("i < j")
     spark = cohort.pixels.sparkSession
-    if once.limit(SHIPPED_EDGES + 1).count() > SHIPPED_EDGES:
+    if null not in (None, "permuted", "exact"):
+        raise InvalidParameterError(f"null must be permuted or exact, got {null!r}.")
+    if null == "exact" or null is None and once.limit(SHIPPED_EDGES + 1).count() > SHIPPED_EDGES:
         counts = cohort.pixels.groupBy(F.col(cluster_key).cast("string").alias("label")).count().collect()
         ends = once.select("section", F.explode(F.array("i", "j")).alias("id")).groupBy("section", "id").count()
         total, adjacent = ends.agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1))).first()
@@ -328,12 +362,12 @@ def co_occurrence(cohort: Cohort, cluster_key: str = "cluster", n_bins: int = 25
     pts = neighbours.points(cohort, section)
     if max_dist is None:
         max_dist = neighbours.knn(pts, 1).agg(F.median(F.sqrt("d2"))).first()[0] * n_bins
-    labels = cohort.pixels.select(F.coalesce(F.col(section).cast("string"), F.lit("")).alias("section"), F.col("pixel_id").alias("id"), F.col(cluster_key).cast("string").alias("label"))
-    pairs = neighbours.within_distance(pts, max_dist)
+    labels = cohort.pixels.select(F.col(cluster_key).cast("string").alias("label"))
+    told = neighbours.points(cohort, section, F.col(cluster_key).cast("string").alias("label"))
+    pairs = neighbours.within_distance(told, max_dist, "label")
     width = max_dist / n_bins
     counts = (
-        pairs.join(labels.select("section", F.col("id").alias("i"), F.col("label").alias("cluster_a")), ["section", "i"])
-        .join(labels.select("section", F.col("id").alias("j"), F.col("label").alias("cluster_b")), ["section", "j"])
+        pairs.select(F.col("label_i").alias("cluster_a"), F.col("label_j").alias("cluster_b"), "d")
         .groupBy("cluster_a", "cluster_b", F.least(F.floor(F.col("d") / width), F.lit(n_bins - 1)).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

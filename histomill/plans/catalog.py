@@ -124,15 +124,15 @@ def filter_by_score(spark, sf_dir):
 
 def _part_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_name").alias("metabolite")).distinct(), p.where("p_size < 10").select(F.upper("p_name").alias("name"))
+    return p.select(F.col("p_name").alias("metabolite")).distinct(), p.where("length(p_name) % 2 = 0").select(F.upper("p_name").alias("name"))
 
 
-@query("SELECT DISTINCT p_name AS metabolite, false AS endogenous FROM part WHERE lower(trim(p_name)) IN (SELECT lower(trim(p_name)) FROM part WHERE p_size < 10)")
+@query("SELECT DISTINCT p_name AS metabolite, false AS endogenous FROM part WHERE lower(trim(p_name)) IN (SELECT lower(trim(p_name)) FROM part WHERE length(p_name) % 2 = 0)")
 def drug_matches(spark, sf_dir):
     return filters.drug_matches(*_part_names(spark, sf_dir))
 
 
-@query("SELECT DISTINCT p_name AS metabolite FROM part WHERE lower(trim(p_name)) NOT IN (SELECT lower(trim(p_name)) FROM part WHERE p_size < 10 AND p_name IS NOT NULL)")
+@query("SELECT DISTINCT p_name AS metabolite FROM part WHERE lower(trim(p_name)) NOT IN (SELECT lower(trim(p_name)) FROM part WHERE length(p_name) % 2 = 0)")
 def without_drugs(spark, sf_dir):
     return filters.without_drugs(*_part_names(spark, sf_dir))
 
@@ -434,15 +434,41 @@ def enrichment_scores(spark, sf_dir):
 @query()
 def metabolite_set_enrichment(spark, sf_dir):
     fx = _effects(spark, sf_dir)
-    out = annotate.metabolite_set_enrichment(fx, fx.select(F.col("brand").alias("set_name"), F.col("metabolite").alias("member")), n_permutations=100)
+    out = annotate.metabolite_set_enrichment(fx, fx.select(F.col("brand").alias("set_name"), F.col("metabolite").alias("member")), n_permutations=1000)
     return out.select("pathway", "n_found", r6("es"), r6("nes"), r6("pval"), r6("pval_adj"), "leading_edge")
 
 
-@query()
+def _rules_sql() -> str:
+    """The classifier's rules as SQL, from its tables."""
+    text = lambda v: "'" + v.replace("'", "''") + "'"
+    table_of = lambda pairs: ", ".join(f"({text(n)}, {text(c)})" for n, c in pairs)
+    whole = {n: c for c, group in annotate.NAMES.items() for n in group}
+    core = "trim(metabolite)"
+    for _ in range(4):
+        core = f"regexp_replace({core}, {text(annotate.DESCRIPTOR)}, '', 'i')"
+    bare = "lower(core)"
+    for prefix in annotate.PREFIXES:
+        bare = f"regexp_replace({bare}, {text(prefix)}, '')"
+    patterns = " ".join(f"WHEN regexp_matches(plain, {text(x)}, 'i') THEN {text(c)}" for c, x in annotate.PATTERNS)
+    suffixes = " ".join(f"WHEN ends_with(plain, {text(x)}) THEN {text(c)}" for x, c in annotate.SUFFIXES)
+    return f"""WITH wn(n, c) AS (VALUES {table_of(whole.items())}), hd(h, c) AS (VALUES {table_of(annotate.LIPID_HEADS.items())}),
+nm AS (SELECT DISTINCT metabolite FROM (SELECT p_name AS metabolite FROM part UNION ALL SELECT upper(n) FROM wn UNION ALL SELECT 'N-acetyl-' || n FROM wn
+  UNION ALL SELECT upper(h) || '(34:1)' FROM hd UNION ALL SELECT p_name || ' acid' FROM part)),
+co AS (SELECT metabolite, {core} AS core FROM nm),
+ba AS (SELECT metabolite, core, lower(core) AS plain, {bare} AS bare, lower(regexp_extract(core, {text(annotate.SHORTHAND)}, 1, 'i')) AS head FROM co)
+SELECT metabolite, coalesce(w.c, b.c, hd.c, CASE {patterns} END, CASE {suffixes} END, {text(annotate.CHEMICAL_CLASSES[-1])}) AS chemical_class
+FROM ba LEFT JOIN wn w ON w.n = plain LEFT JOIN wn b ON b.n = bare LEFT JOIN hd ON hd.h = head AND head <> ''"""
+
+
+@query(_rules_sql())
 def classify_names(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("metabolite")).distinct()
-    known = spark.createDataFrame([(n, c) for c, group in annotate.NAMES.items() for n in group.split(", ")], "metabolite string, want string")
-    return annotate.classify_names(names.unionByName(known.select("metabolite")))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("metabolite"))
+    known = spark.createDataFrame([(n,) for group in annotate.NAMES.values() for n in group], "n string")
+    heads = spark.createDataFrame([(h,) for h in annotate.LIPID_HEADS], "h string")
+    more = [known.select(F.upper("n")), known.select(F.concat(F.lit("N-acetyl-"), "n")), heads.select(F.concat(F.upper("h"), F.lit("(34:1)"))), names.select(F.concat("metabolite", F.lit(" acid")))]
+    for m in more:
+        names = names.union(m)
+    return annotate.classify_names(names.distinct())
 
 
 def _two_results(spark, sf_dir):
@@ -478,6 +504,17 @@ def signature_readings(spark, sf_dir):
     return spark.createDataFrame([(round(one["rho"], 6), one["n"], one["reading"], two["verdict"])], "rho double, n long, reading string, verdict string")
 
 
+#: ``lf``: logarithms of the odd numbers' running products, by which a normal tail is summed.
+_TAILS = "lf AS (SELECT k, sum(ln(2 * k + 1)) OVER (ORDER BY k) AS l FROM (SELECT CAST(unnest(range(260)) AS DOUBLE) AS k))"
+
+
+def _tail(z: str) -> str:
+    """Upper tail of the standard normal distribution at ``z`` in SQL: half less the density times
+    the sum of z^(2k+1) over the products of the odd numbers up to 2k+1."""
+    added = f"(SELECT sum(exp((2 * k + 1) * ln(abs({z}) + 1e-300) - l)) FROM lf)"
+    return f"CASE WHEN abs({z}) > 12 THEN CASE WHEN {z} > 0 THEN 0e0 ELSE 1e0 END ELSE 0.5e0 - sign({z}) * exp(-{z} * {z} / 2e0) / sqrt(2e0 * pi()) * {added} END"
+
+
 # --- spatial statistics ----------------------------------------------------------------------
 
 _KNN = """nn AS (SELECT section, i, j, d2, r FROM (SELECT a.section, a.pixel_id AS i, b.pixel_id AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2,
@@ -531,7 +568,12 @@ def spatial_autocorrelation(spark, sf_dir):
     return out.select("metabolite", r6("morans_i"), z5("z_score"), r6("geary_c"), z5("geary_z_score"))
 
 
-@query()
+@query(f"""WITH {PIXELS_SQL}, {_TAILS}, {_KNN}, {_LAG}, {_MORAN.format(k="", lk="", g="metabolite", gs="", js=", s1, s2")},
+z AS (SELECT metabolite, i, (i - e) / sqrt(greatest((n * n * s1 - n * s2 + 3e0 * n * n) / ((n * n - 1) * n * n) - e * e, 1e-12)) AS z FROM st),
+p AS (SELECT metabolite, i, {_tail("z")} AS pval FROM z),
+r AS (SELECT *, row_number() OVER (ORDER BY pval) AS rk, count(*) OVER () AS m FROM p),
+a AS (SELECT *, min(least(1e0, pval * m / rk)) OVER (ORDER BY pval RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adj FROM r)
+SELECT metabolite, round(i, 6) + 0e0 AS morans_i, round(pval, 6) + 0e0 AS pval, round(adj, 6) + 0e0 AS pval_adj FROM a WHERE pval < 0.05 ORDER BY i DESC, metabolite LIMIT 50""")
 def spatial_de(spark, sf_dir):
     return spatial.spatial_de(pixel_cohort(spark, sf_dir), use_fdr=False).select("metabolite", r6("morans_i"), r6("pval"), r6("pval_adj"))
 
@@ -547,10 +589,24 @@ def spatial_organization(spark, sf_dir):
     return spatial.spatial_organization(pixel_cohort(spark, sf_dir)).values.select("sample", "metric", "metabolite", r6("value"))
 
 
-@query()
+@query(f"""WITH {PIXELS_SQL}, {_KNN}, {_LAG}, {_MORAN.format(k="section, ", lk="la.section, ", g="section, metabolite", gs="GROUP BY section", js="JOIN s1 USING (section) JOIN s2 USING (section)")},
+o AS (SELECT metabolite, i, response FROM st JOIN (SELECT DISTINCT section, response FROM px) USING (section)),
+d AS (SELECT a.metabolite, avg(sign(a.i - b.i)) AS delta FROM o a JOIN o b ON a.metabolite = b.metabolite AND a.response = 'R' AND b.response = 'NR' GROUP BY 1),
+me AS (SELECT metabolite, median(i) FILTER (WHERE response = 'R') AS m1, median(i) FILTER (WHERE response = 'NR') AS m2 FROM o GROUP BY 1)
+SELECT metabolite, round(delta, 6) + 0e0 AS delta, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude,
+  round(m1, 6) + 0e0 AS median_group1, round(m2, 6) + 0e0 AS median_group2, round(CASE WHEN m1 >= 0 AND m2 >= 0 THEN log2((m1 + 1e-9) / (m2 + 1e-9)) END, 5) + 0e0 AS log2fc_metric FROM d JOIN me USING (metabolite)""")
 def differential_spatial_organization(spark, sf_dir):
+    return _organization(spark, sf_dir).select("metabolite", r6("delta"), "magnitude", r6("median_group1"), r6("median_group2"), (F.round("log2fc_metric", 5) + 0.0).alias("log2fc_metric"))
+
+
+def _organization(spark, sf_dir):
     o = spatial.spatial_organization(pixel_cohort(spark, sf_dir), metrics=("morans_i",))
-    return difference.differential_spatial_organization(o, "response", "R", "NR").select("metabolite", r6("delta"), r6("log2fc_metric"), r6("pval"), r6("pval_adj"))
+    return difference.differential_spatial_organization(o, "response", "R", "NR")
+
+
+@query()
+def differential_spatial_organization_pvalues(spark, sf_dir):
+    return _organization(spark, sf_dir).select("metabolite", r6("pval"), r6("pval_adj"))
 
 
 _ONE = "lo AS (SELECT * FROM la WHERE metabolite = 'm007'), mo AS (SELECT avg(value) AS m, stddev_pop(value) AS s, count(*) AS n FROM lo)"
@@ -568,14 +624,22 @@ def getis_ord_gi(spark, sf_dir):
     return spatial.getis_ord_gi(pixel_cohort(spark, sf_dir), "m007").select("pixel_id", r6("gi_star"))
 
 
-@query()
+@query(f"""WITH {PIXELS_SQL}, {_TAILS}, {_KNN}, {_LAG}, {_ONE},
+z AS (SELECT pixel_id, (value - m) / (s + 1e-12) AS z, (lag - m) / (s + 1e-12) AS zl, ((6e0 * lag + value) / 7e0 - m) / (s * sqrt(greatest((n / 7e0 - 1e0) / (n - 1), 1e-12))) AS gi FROM lo, mo),
+l AS (SELECT avg(z * zl) AS mi, stddev_pop(z * zl) AS si FROM z), t AS (SELECT z.*, abs((z * zl - mi) / (si + 1e-12)) AS zi, abs(gi) AS ag FROM z, l),
+p AS (SELECT *, 2e0 * ({_tail("zi")}) AS pval, 2e0 * ({_tail("ag")}) AS gi_pval FROM t)
+SELECT pixel_id, round(pval, 6) + 0e0 AS pval, CASE WHEN pval >= 0.05 THEN 'NS' WHEN z > 0 AND zl > 0 THEN 'HH' WHEN z < 0 AND zl < 0 THEN 'LL' WHEN z > 0 AND zl < 0 THEN 'HL' WHEN z < 0 AND zl > 0 THEN 'LH' ELSE 'NS' END AS lisa_type,
+  round(gi_pval, 6) + 0e0 AS gi_pval, CASE WHEN gi_pval >= 0.05 THEN 'NS' WHEN gi > 0 THEN 'hot' WHEN gi < 0 THEN 'cold' ELSE 'NS' END AS hotspot_type FROM p""")
 def local_types(spark, sf_dir):
     c = pixel_cohort(spark, sf_dir)
     a = spatial.local_moran(c, "m007").select("pixel_id", r6("pval"), "lisa_type")
     return a.join(spatial.getis_ord_gi(c, "m007").select("pixel_id", r6("pval", "gi_pval"), "hotspot_type"), "pixel_id")
 
 
-@query()
+@query(f"""WITH {PIXELS_SQL}, {_KNN}, {_LAG},
+mo AS (SELECT section, metabolite, avg(value) AS m, sqrt(greatest(var_pop(value), 1e-12)) AS s, count(*) AS n FROM lg GROUP BY 1, 2),
+g AS (SELECT la.section, metabolite, ((6e0 * lag + value) / 7e0 - m) / (s * sqrt(greatest((n / 7e0 - 1e0) / (n - 1), 1e-12))) AS gi FROM la JOIN mo USING (section, metabolite))
+SELECT section AS sample, metabolite, round(avg(CASE WHEN gi > 1.96 THEN 1e0 ELSE 0e0 END), 6) AS value FROM g GROUP BY 1, 2""")
 def hotspot_fraction(spark, sf_dir):
     return spatial.spatial_organization(pixel_cohort(spark, sf_dir), metrics=("hotspot_fraction",)).values.select("sample", "metabolite", r6("value"))
 
@@ -590,10 +654,27 @@ def neighborhood_counts(spark, sf_dir):
 @query()
 def neighborhood_enrichment(spark, sf_dir):
     c = pixel_cohort(spark, sf_dir)
-    out = spatial.neighborhood_enrichment(c, neighbours.spatial_neighbors(c), n_permutations=200)
+    out = spatial.neighborhood_enrichment(c, neighbours.spatial_neighbors(c), n_permutations=1000)
     return out.select("cluster_a", "cluster_b", "observed", r6("expected"), r6("zscore"), r6("pval"))
 
 
+@query(f"""WITH {PIXELS_SQL}, {_TAILS}, {_KNN}, un AS (SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM nn),
+ob AS (SELECT least(a.cluster, b.cluster) AS ca, greatest(a.cluster, b.cluster) AS cb, count(*) AS o FROM un JOIN px a ON a.pixel_id = i JOIN px b ON b.pixel_id = j GROUP BY 1, 2),
+sz AS (SELECT cluster AS c, CAST(count(*) AS DOUBLE) AS x FROM px GROUP BY 1),
+dg AS (SELECT p, count(*) AS d FROM (SELECT i AS p FROM un UNION ALL SELECT j FROM un) GROUP BY 1),
+t AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM px) AS n, (SELECT CAST(count(*) AS DOUBLE) FROM un) AS e, (SELECT CAST(sum(d * (d - 1)) AS DOUBLE) FROM dg) AS adj),
+w AS (SELECT a.c AS ca, b.c AS cb, n, e, adj, CASE WHEN a.c = b.c THEN a.x * (a.x - 1) ELSE 2 * a.x * b.x END AS one,
+  CASE WHEN a.c = b.c THEN a.x * (a.x - 1) * (a.x - 2) ELSE a.x * b.x * (a.x + b.x - 2) END AS two,
+  CASE WHEN a.c = b.c THEN a.x * (a.x - 1) * (a.x - 2) * (a.x - 3) ELSE 4 * a.x * (a.x - 1) * b.x * (b.x - 1) END AS apart FROM sz a JOIN sz b ON a.c <= b.c, t),
+m AS (SELECT *, e * one / (n * (n - 1)) AS mean, adj * two / (n * (n - 1) * (n - 2)) + (e * (e - 1) - adj) * apart / (n * (n - 1) * (n - 2) * (n - 3)) AS more FROM w),
+z AS (SELECT ca, cb, coalesce(o, 0) AS o, mean, (coalesce(o, 0) - mean) / (sqrt(mean + more - mean * mean) + 1e-9) AS z FROM m LEFT JOIN ob USING (ca, cb)), az AS (SELECT *, abs(z) AS a FROM z)
+SELECT ca AS cluster_a, cb AS cluster_b, o AS observed, round(mean, 6) AS expected, round(z, 5) + 0e0 AS zscore, round(2e0 * ({_tail("a")}), 6) + 0e0 AS pval FROM az""")
+def neighborhood_enrichment_exact(spark, sf_dir):
+    c = pixel_cohort(spark, sf_dir)
+    out = spatial.neighborhood_enrichment(c, neighbours.spatial_neighbors(c), null="exact")
+    return out.select("cluster_a", "cluster_b", "observed", r6("expected"), (F.round("zscore", 5) + 0.0).alias("zscore"), r6("pval"))
+
+
 @query(f"""WITH {PIXELS_SQL},
 p AS (SELECT a.cluster AS ca, b.cluster AS cb, least(floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.5), 9) AS bin FROM px a JOIN px b ON a.section = b.section AND a.pixel_id <> b.pixel_id
   WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 25),
@@ -632,7 +713,13 @@ def colocalization_cosine(spark, sf_dir):
     return _colocalized(spark, sf_dir, "cosine", 0.9)
 
 
-@query()
+@query(f"""WITH {PIXELS_SQL}, o(d) AS (VALUES (-1), (0), (1)),
+gp AS (SELECT section, pixel_id, CAST(x AS INTEGER) AS gx, CAST(y AS INTEGER) AS gy FROM px),
+ng AS (SELECT a.pixel_id, b.pixel_id AS j FROM gp a, o dx, o dy, gp b WHERE a.section = b.section AND b.gx = least(greatest(a.gx + dx.d, 0), 9) AND b.gy = least(greatest(a.gy + dy.d, 0), 4)),
+md AS (SELECT ng.pixel_id, feature_idx, metabolite, median(value) AS v FROM ng JOIN lg ON lg.pixel_id = ng.j GROUP BY 1, 2, 3),
+ct AS (SELECT pixel_id, feature_idx, metabolite, CASE WHEN v < median(v) OVER (PARTITION BY feature_idx) THEN 0e0 ELSE v END AS v FROM md),
+p AS (SELECT a.metabolite AS source, b.metabolite AS target, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS w FROM ct a JOIN ct b ON a.pixel_id = b.pixel_id AND a.feature_idx < b.feature_idx GROUP BY 1, 2)
+SELECT source, target, round(w, 6) AS weight FROM p WHERE w >= 0.4""")
 def colocalization_median(spark, sf_dir):
     return _colocalized(spark, sf_dir, "cosine_median", 0.4)
 
@@ -672,7 +759,7 @@ def cluster_graph(spark, sf_dir):
 
 @query()
 def spatial_domains_kmeans(spark, sf_dir):
-    return reduce.spatial_domains_kmeans(reduce.run_pca(pixel_cohort(spark, sf_dir), 10), 4, n_init=2).pixels.select("pixel_id", "domain")
+    return reduce.spatial_domains_kmeans(reduce.run_pca(pixel_cohort(spark, sf_dir), 10), 4).pixels.select("pixel_id", "domain")
 
 
 @query()
@@ -687,7 +774,7 @@ def correct_batches(spark, sf_dir):
 
 @query()
 def run_harmony(spark, sf_dir):
-    c = reduce.run_harmony(reduce.run_pca(pixel_cohort(spark, sf_dir), 10), "response", rounds=2)
+    c = reduce.run_harmony(reduce.run_pca(pixel_cohort(spark, sf_dir), 10), "response")
     return c.pixels.select("pixel_id", F.transform("pca_harmony", lambda v: F.round(v, 5)).alias("pca_harmony"))
 
 

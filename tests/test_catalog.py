@@ -45,5 +45,18 @@ def test_entry_imports_without_the_optional_parts(tmp_path):
     import shutil
 
     shutil.copytree(os.path.join(ROOT, "histomill"), tmp_path / "histomill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(os.path.join(ROOT, "tests"), tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "corpus_pipeline.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True, timeout=100)
+    # the rest runs: a query through the driver's entry, and tests of the rest
+    code = (
+        "import __spark_entry__ as e; from pyspark.sql import SparkSession as S; "
+        "s = S.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate(); "
+        "assert e.entry(s).count() and e.queries()['log1p_transform'](s, '/root/testdata/sf0.001').count()"
+    )
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    if os.path.isdir("/root/testdata/sf0.001"):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)
+    tests = ["tests/test_statistics.py", "tests/test_sources.py"]
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", *tests, "-k", "exact or bh or delimiter or number"], cwd=tmp_path, env=env, check=True, timeout=300)

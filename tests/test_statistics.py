@@ -11,7 +11,7 @@ from histomill.errors import InsufficientSamplesError, InvalidParameterError, Ps
 from histomill.functions import special
 from histomill.functions.ranks import with_bh
 from histomill.model import Cohort
-from histomill.operators import annotate, difference, samples, spatial
+from histomill.operators import annotate, difference, neighbours, reduce, samples, spatial
 
 
 def cohort_of(spark, sections, x, y, values, names=None, **obs):
@@ -265,3 +265,50 @@ def test_enrichment_of_graphs_too_large_to_ship(spark, monkeypatch):
         counts = [sum(tuple(sorted((p[i], p[j]))) == pair for i, j in links) for p in every]
         assert q.expected == pytest.approx(np.mean(counts)) and q.observed == sum(tuple(sorted((labels[i], labels[j]))) == pair for i, j in links)
         assert q.zscore == pytest.approx((q.observed - np.mean(counts)) / (np.std(counts) + 1e-9), abs=1e-6)
+
+
+@pytest.mark.parametrize("place", ["lattice", "outlier", "clump", "line", "one place"])
+def test_nearest_points_wherever_they_lie(spark, place):
+    r = np.random.default_rng(5)
+    xy = np.array([(i % 20, i // 20) for i in range(300)], float)
+    if place == "outlier":
+        xy = np.vstack([xy, [(1e6, 1e6)]])
+    elif place == "clump":  # more points in one cell than are paired, and a few far ones
+        xy = np.vstack([r.random((700, 2)) * 1e-3, r.random((90, 2)) * 1e3])
+    elif place == "line":
+        xy[:, 1] = 0
+        xy[:, 0] = r.permutation(300)
+    elif place == "one place":
+        xy = xy[:60] * 0
+    pts = spark.createDataFrame([("s", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "section string, id long, x double, y double")
+    got = {}
+    for e in neighbours.knn(pts, 4).collect():
+        got.setdefault(e.i, []).append((e.r, e.j))
+    for i in range(len(xy)):
+        d2 = ((xy - xy[i]) ** 2).sum(axis=1)
+        want = sorted((j for j in range(len(xy)) if j != i), key=lambda j: (d2[j], j))[:4]
+        assert [j for _, j in sorted(got[i])] == want
+
+
+def test_moran_of_large_means_and_missing_values(spark):
+    r = np.random.default_rng(6)
+    n = 144
+    x, y = np.arange(n) % 12, np.arange(n) // 12
+    values = np.column_stack([x + r.normal(0, 2, n), 1e7 + x + r.normal(0, 2, n), np.full(n, 3.25)])
+    table = {t.metabolite: t for t in spatial.spatial_autocorrelation(cohort_of(spark, ["s"] * n, x, y, values)).collect()}
+    edges = {}
+    for i in range(n):
+        d2 = (x - x[i]) ** 2 + (y - y[i]) ** 2
+        edges[i] = sorted((j for j in range(n) if j != i), key=lambda j: (d2[j], j))[:6]
+    for f in (0, 1):
+        z = values[:, f] - values[:, f].mean()
+        want = sum(z[i] * z[edges[i]].mean() for i in range(n)) / (z @ z)
+        geary = (n - 1) / (2 * n) * sum(((z[i] - z[edges[i]]) ** 2).mean() for i in range(n)) / (z @ z)
+        assert table[f"m{f:03d}"].morans_i == pytest.approx(want, rel=1e-6) and table[f"m{f:03d}"].geary_c == pytest.approx(geary, rel=1e-6)
+    assert table["m002"].morans_i == 0 and table["m002"].geary_c == 1
+
+
+def test_batches_must_be_known(spark):
+    c = cohort_of(spark, ["s"] * 4, range(4), range(4), np.ones((4, 2)), batch=["a", None, "b", "b"])
+    with pytest.raises(InvalidParameterError, match="batch"):
+        reduce.correct_batches(c, "batch")
