@@ -43,6 +43,26 @@ def spatial_map(cohort: Cohort, name: str, low: float = 0.01, high: float = 0.99
     return rows.crossJoin(F.broadcast(ends))  # one row
 
 
+def ion_images(cohort: Cohort, names: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """``metabolite, section, x, y, value, vmin, vmax``: maps of several features, each feature's
+    panels with the same limits in all sections."""
+    at = [cohort.index_of(n) for n in names]
+    long = cohort.long("section", "x", "y", layer=cohort.analysis_layer()).where(F.col("feature_idx").isin(at))
+    ends = long.groupBy("feature_idx").agg(F.percentile("value", low).alias("vmin"), F.percentile("value", high).alias("vmax"))  # a row a feature
+    return cohort.named(long.join(F.broadcast(ends), "feature_idx")).select("metabolite", "section", "x", "y", "value", "vmin", "vmax")
+
+
+def image_overlay(cohort: Cohort, name: str, **placement: float) -> DataFrame:
+    """``section, image_x, image_y, value`` of a feature's pixels on an image, with the extent of
+    their section there."""
+    from histomill.operators.image import align_image
+
+    placed = align_image(cohort, **placement) if placement or "image_x" not in cohort.pixels.columns else cohort
+    rows = placed.pixels.select("section", "image_x", "image_y", metabolite_values(placed, name).alias("value"))
+    ends = rows.groupBy("section").agg(*[f(f"image_{c}").alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+    return rows.join(ends, "section")
+
+
 def embedding_map(cohort: Cohort, rep: str, colour: str) -> DataFrame:
     require_column(cohort.pixels.columns, rep)
     return cohort.pixels.select(F.get(rep, F.lit(0)).alias("u"), F.get(rep, F.lit(1)).alias("v"), metabolite_values(cohort, colour).alias("colour"))
@@ -65,6 +85,16 @@ def volcano(result: DataFrame, effect: str = "log2fc", effect_cut: float = 1.0,
     return rows.withColumn("label", F.when((F.col("status") != "ns") & (rank <= n_top), F.col("metabolite"))).orderBy("metabolite")
 
 
+def delta_volcano(result: DataFrame, effect_cut: float = 0.474, p_cut: float = 0.05, n_top: int = 10) -> DataFrame:
+    """``metabolite, delta, y, score, status, label``: effects against p as -log10 (which ends at
+    300), and names for the largest products of both."""
+    y = -F.log10(F.greatest("pval_adj", F.lit(1e-300)))
+    far = (F.col("pval_adj") < p_cut) & (F.abs("delta") >= effect_cut)
+    rows = result.select("metabolite", "delta", y.alias("y"), (F.abs("delta") * y).alias("score"), F.when(far & (F.col("delta") > 0), "up").when(far, "down").otherwise("ns").alias("status"))
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "metabolite"))  # a row a feature
+    return rows.withColumn("label", F.when(rank <= n_top, F.col("metabolite"))).orderBy(F.desc("score"), "metabolite")
+
+
 def composition(cohort: Cohort, groupby: str, cluster_key: str = "cluster") -> DataFrame:
     """``group, cluster, n, percent``."""
     counts = cohort.pixels.groupBy(F.col(groupby).cast("string").alias("group"), F.col(cluster_key).cast("string").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))

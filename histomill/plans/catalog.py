@@ -6,6 +6,7 @@ which the tests compare with independent implementations.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from histomill.operators import annotate, cluster, difference, figures, filters, neighbours, reduce, samples, spatial, transform
 from histomill.plans.views import EVENTS_SQL, PIXELS_SQL, event_samples, pixel_cohort, scattered_points, table
-from histomill.sources import pathways
+from histomill.sources import pathways, tables
+from histomill.storage import claim
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,6 +96,13 @@ def unmix_pixels(spark, sf_dir):
     return transform.unmix_pixels(c, spectra).pixels.select("pixel_id", F.transform("unmixed", lambda v: F.round(v, 6)).alias("unmixed"))
 
 
+@query(f"""WITH {PIXELS_SQL}, t AS (SELECT pixel_id, sum(value) AS s FROM lg GROUP BY pixel_id), g AS (SELECT median(s) AS target FROM t)
+SELECT pixel_id, metabolite, round(ln(1e0 + value * target / s), 6) + 0e0 AS value FROM lg JOIN t USING (pixel_id), g""")
+def preprocess(spark, sf_dir):
+    c, _ = transform.preprocess(pixel_cohort(spark, sf_dir), n_comps=5)
+    return c.named(c.long("pixel_id", layer=c.analysis_layer())).select("pixel_id", "metabolite", r6("value"))
+
+
 # --- filters, labels, sets -------------------------------------------------------------------
 
 
@@ -378,6 +387,16 @@ def find_markers_logreg(spark, sf_dir):
     return difference.find_markers(pixel_cohort(spark, sf_dir), method="logreg").select("cluster", "metabolite", r6("score"), "rank")
 
 
+@query(f"""WITH {PIXELS_SQL}, a AS (SELECT cluster, metabolite, avg(value) AS m, var_samp(value) AS v, CAST(count(*) AS DOUBLE) AS n, sum(value) AS s, sum(value * value) AS q FROM lg GROUP BY 1, 2),
+t AS (SELECT metabolite, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM a GROUP BY 1),
+o AS (SELECT a.*, t.n - a.n AS n2, (t.s - a.s) / (t.n - a.n) AS m2, (t.q - a.q - (t.s - a.s) * (t.s - a.s) / (t.n - a.n)) / (t.n - a.n - 1) AS v2 FROM a JOIN t USING (metabolite)),
+w AS (SELECT cluster, metabolite, (m - m2) / sqrt(v / n + v2 / n2) AS score, log2((abs(m) + 1e-9) / (abs(m2) + 1e-9)) AS lf FROM o)
+SELECT cluster, metabolite, round(score, 5) + 0e0 AS score, round(lf, 5) + 0e0 AS log2fc FROM w""")
+def find_markers_ttest(spark, sf_dir):
+    out = difference.find_markers(pixel_cohort(spark, sf_dir), method="t-test", n_top=None)
+    return out.select("cluster", "metabolite", *[(F.round(c, 5) + 0.0).alias(c) for c in ("score", "log2fc")])
+
+
 # --- enrichment ------------------------------------------------------------------------------
 
 
@@ -471,6 +490,29 @@ def classify_names(spark, sf_dir):
     return annotate.classify_names(names.distinct())
 
 
+@query("""WITH k AS (SELECT p_partkey % 7 AS k FROM part) SELECT 'class ' || CAST(k AS VARCHAR) AS chemical_class, count(*) AS n_compounds,
+round(count(*) / CAST((SELECT count(*) FROM part) AS DOUBLE), 6) AS fraction FROM k GROUP BY k""")
+def classification_report(spark, sf_dir):
+    classes = table(spark, sf_dir, "part").select(F.concat(F.lit("class "), (F.col("p_partkey") % 7).cast("string")).alias("chemical_class"))
+    return annotate.classification_report(classes).select("chemical_class", "n_compounds", r6("fraction"))
+
+
+@query(f"""WITH {_EFFECTS_SQL}, id AS (SELECT metabolite, delta, brand, 'C' || CAST(key AS VARCHAR) AS kegg FROM fx WHERE key % 4 > 0),
+d AS (SELECT 'any' AS direction UNION ALL SELECT 'up' UNION ALL SELECT 'down'),
+hit AS (SELECT metabolite, direction, abs(delta) >= 0.474 AND CASE direction WHEN 'up' THEN delta > 0 WHEN 'down' THEN delta < 0 ELSE true END AS hit FROM fx, d),
+t AS (SELECT direction, count(*) AS n, count(*) FILTER (WHERE hit) AS s FROM hit GROUP BY 1),
+g AS (SELECT 'path ' || brand AS pathway, direction, count(*) AS i, count(*) FILTER (WHERE hit) AS h FROM hit JOIN id USING (metabolite) GROUP BY 1, 2)
+SELECT pathway, direction, i AS n_in_set, h AS n_hits, s AS n_shifted, n AS n_background FROM g JOIN t USING (direction) WHERE i >= 3 AND h > 0""")
+def annotate_pathways(spark, sf_dir):
+    fx = _effects(spark, sf_dir)
+    kegg = F.concat(F.lit("C"), F.col("key").cast("string"))
+    identifiers = fx.select(F.col("metabolite").alias("query"), F.when(F.col("key") % 4 > 0, kegg).alias("kegg"))
+    links = fx.select(F.lower(kegg).alias("compound"), F.col("brand").alias("pathway"))
+    names = fx.select(F.col("brand").alias("pathway"), F.concat(F.lit("path "), "brand").alias("name")).distinct()
+    out = annotate.annotate_pathways(fx.select("metabolite", "delta"), identifiers, links, names)
+    return out.select("pathway", "direction", "n_in_set", "n_hits", "n_shifted", "n_background")
+
+
 def _two_results(spark, sf_dir):
     fx = _effects(spark, sf_dir)
     a = fx.select("metabolite", "delta", F.lit(0.01).alias("pval_adj"))
@@ -686,6 +728,16 @@ def co_occurrence(spark, sf_dir):
     return spatial.co_occurrence(pixel_cohort(spark, sf_dir), n_bins=10, max_dist=5.0).select("cluster_a", "cluster_b", "bin", r6("distance"), r6("ratio"))
 
 
+@query(f"""WITH {PIXELS_SQL}, {_KNN}, w AS (SELECT median(sqrt(d2)) AS w FROM nn WHERE r = 1),
+p AS (SELECT a.cluster AS ca, b.cluster AS cb, least(floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / w), 24) AS bin FROM px a JOIN px b ON a.section = b.section AND a.pixel_id <> b.pixel_id, w
+  WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 25 * w),
+t AS (SELECT ca, bin, count(*) AS n FROM p GROUP BY 1, 2), f AS (SELECT cluster AS cb, count(*) / CAST((SELECT count(*) FROM px) AS DOUBLE) AS f FROM px GROUP BY 1), c AS (SELECT ca, cb, bin, count(*) AS n FROM p GROUP BY 1, 2, 3)
+SELECT t.ca AS cluster_a, f.cb AS cluster_b, CAST(t.bin AS INTEGER) AS bin, round((t.bin + 0.5) * w, 6) AS distance, round(coalesce(c.n, 0) / CAST(t.n AS DOUBLE) / f, 6) AS ratio
+FROM w, t CROSS JOIN f LEFT JOIN c ON c.ca = t.ca AND c.cb = f.cb AND c.bin = t.bin""")
+def co_occurrence_default(spark, sf_dir):
+    return spatial.co_occurrence(pixel_cohort(spark, sf_dir)).select("cluster_a", "cluster_b", "bin", r6("distance"), r6("ratio"))
+
+
 @query(f"""WITH {PIXELS_SQL},
 d AS (SELECT a.pixel_id, floor(sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) / 0.8) AS bin FROM px a JOIN px b ON a.section = b.section AND b.cluster = '3' GROUP BY 1
   HAVING sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) < 4)
@@ -815,6 +867,11 @@ def run_paga(spark, sf_dir):
     return cluster.run_paga(c, edges).select("cluster_a", "cluster_b", "edges", r6("expected"), r6("connectivity"))
 
 
+@query()
+def spatially_weighted_nmf(spark, sf_dir):
+    return reduce.spatially_weighted_nmf(pixel_cohort(spark, sf_dir), 4)[1]
+
+
 # --- tables behind figures -------------------------------------------------------------------
 
 
@@ -842,6 +899,30 @@ def figure_spatial_map(spark, sf_dir):
     return figures.spatial_map(pixel_cohort(spark, sf_dir), "m003").select("section", "x", "y", r6("value"), r6("vmin"), r6("vmax"))
 
 
+@query(f"""WITH {PIXELS_SQL}, v AS (SELECT metabolite, section, x, y, value FROM lg WHERE metabolite IN ('m003', 'm017')),
+l AS (SELECT metabolite, quantile_cont(value, 0.01) AS vmin, quantile_cont(value, 0.99) AS vmax FROM v GROUP BY 1)
+SELECT metabolite, section, x, y, round(value, 6) AS value, round(vmin, 6) AS vmin, round(vmax, 6) AS vmax FROM v JOIN l USING (metabolite)""")
+def figure_ion_images(spark, sf_dir):
+    return figures.ion_images(pixel_cohort(spark, sf_dir), ["m003", "m017"]).select("metabolite", "section", "x", "y", r6("value"), r6("vmin"), r6("vmax"))
+
+
+@query(f"""WITH {PIXELS_SQL}, p AS (SELECT section, (x - 3e0) / 2e0 AS image_x, (y + 1e0) / 4e0 AS image_y, value FROM lg WHERE metabolite = 'm005')
+SELECT section, round(image_x, 6) + 0e0 AS image_x, round(image_y, 6) + 0e0 AS image_y, round(value, 6) AS value, round(min(image_x) OVER s, 6) + 0e0 AS low_x, round(max(image_x) OVER s, 6) + 0e0 AS high_x,
+  round(min(image_y) OVER s, 6) + 0e0 AS low_y, round(max(image_y) OVER s, 6) + 0e0 AS high_y FROM p WINDOW s AS (PARTITION BY section)""")
+def figure_image_overlay(spark, sf_dir):
+    out = figures.image_overlay(pixel_cohort(spark, sf_dir), "m005", scale_x=2.0, scale_y=4.0, offset_x=3.0, offset_y=-1.0)
+    return out.select("section", *[r6(c) for c in out.columns if c != "section"])
+
+
+@query(f"""WITH {_EFFECTS_SQL}, r AS (SELECT metabolite, delta, (key * 31 % 997 + 1) / 1000e0 AS p FROM fx),
+y AS (SELECT *, -log10(greatest(p, 1e-300)) AS y FROM r), s AS (SELECT *, abs(delta) * y AS score, row_number() OVER (ORDER BY abs(delta) * y DESC, metabolite) AS rk FROM y)
+SELECT metabolite, round(delta, 6) + 0e0 AS delta, round(y, 6) + 0e0 AS y, round(score, 6) + 0e0 AS score,
+  CASE WHEN p < 0.05 AND delta >= 0.474 THEN 'up' WHEN p < 0.05 AND delta <= -0.474 THEN 'down' ELSE 'ns' END AS status, CASE WHEN rk <= 10 THEN metabolite END AS label FROM s""")
+def figure_delta_volcano(spark, sf_dir):
+    fx = _effects(spark, sf_dir).select("metabolite", "delta", ((F.col("key") * 31 % 997 + 1) / 1000.0).alias("pval_adj"))
+    return figures.delta_volcano(fx).select("metabolite", r6("delta"), r6("y"), r6("score"), "status", "label")
+
+
 @query(f"WITH {_TWO_SQL} SELECT round(ea, 1) + 0e0 AS x, round(eb, 1) + 0e0 AS y, count(*) AS n FROM b GROUP BY 1, 2")
 def figure_stacked_points(spark, sf_dir):
     two = difference.compare_abundance_and_organization(*_two_results(spark, sf_dir))
@@ -870,3 +951,27 @@ def pathway_sets(spark, sf_dir):
     return pathways.pathway_sets(links, names, compounds=even)
 
 
+
+
+# --- sources ---------------------------------------------------------------------------------
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT section, pixel_id, metabolite, round(value, 6) + 0e0 AS value FROM lg""")
+def saved_cohort(spark, sf_dir):
+    """Written and read again."""
+    path = claim(spark, f"cohort-{uuid.uuid4().hex}")
+    tables.save_cohort(pixel_cohort(spark, sf_dir), path)
+    c = tables.read_cohort(spark, path)
+    return c.named(c.long("section", "pixel_id")).select("section", "pixel_id", "metabolite", r6("value"))
+
+
+@query(f"""WITH {PIXELS_SQL} SELECT round(x + 10e0 * CAST(section AS INTEGER), 6) AS x, y, metabolite, round(value, 4) + 0e0 AS value FROM lg WHERE feature_idx < 3""")
+def delimited_text(spark, sf_dir):
+    """A table with semicolons and decimal commas, whose coordinates have other names."""
+    path = claim(spark, f"cohort-{uuid.uuid4().hex}.csv")
+    e = pixel_cohort(spark, sf_dir)
+    text = lambda c: F.translate(F.format_string("%.4f", c), ".", ",")
+    wide = e.pixels.select((F.col("x") + 10 * F.col("section").cast("int")).cast("int").alias("X_pos"), F.col("y").cast("int").alias("Row"), *[text(F.get("values", F.lit(i))).alias(e.names[i]) for i in range(3)])
+    wide.write.option("sep", ";").option("header", True).csv(path)
+    c = tables.read_cohort(spark, path)
+    return c.named(c.long("x", "y")).select(r6("x"), "y", "metabolite", (F.round("value", 4) + 0.0).alias("value"))
