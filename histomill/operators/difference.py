@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from histomill.errors import InsufficientSamplesError, InvalidParameterError, PseudoreplicationWarning, listing, require_column
 from histomill.functions import special
-from histomill.functions.ranks import mid_rank, with_bh
+from histomill.functions.ranks import counted_rank, mid_rank, with_bh
 from histomill.model import Cohort
 from histomill.operators.samples import Samples
 
@@ -27,16 +27,15 @@ def magnitude(delta: Column) -> Column:
     return out
 
 
-def rank_table(long: DataFrame, feature: str = "metabolite", group: str = "grp") -> DataFrame:
+def rank_table(long: DataFrame, feature: str = "metabolite", group: str = "grp", spread: bool = False) -> DataFrame:
     """Per feature of two groups (``grp`` 1 and 2): sizes, ``u1``, the tie term ``sum(t^3-t)``,
     Cliff's delta (positive: group 1 larger), ``z`` and whether the feature is constant.
 
     Values are counted before they are ranked, so equal values (zeros, above all) meet in one
-    row, and a rank is a running sum over distinct values."""
+    row, and a rank is a running sum over distinct values (by ranges if ``spread``)."""
     counted = long.groupBy(feature, "value").agg(F.count_if(F.col(group) == 1).alias("c1"), F.count_if(F.col(group) == 2).alias("c2"))
-    t = F.col("c1") + F.col("c2")
-    below = F.sum(t).over(Window.partitionBy(feature).orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counted.withColumn("rank", F.coalesce(below, F.lit(0)) + (t + 1) / F.lit(2.0))
+    t = F.col("t")
+    ranked = counted_rank(counted.withColumn("t", F.col("c1") + F.col("c2")), feature, "value", "t", spread)
     n1, n2, u1 = F.col("n1"), F.col("n2"), F.col("u1")
     n = n1 + n2
     return (
@@ -211,7 +210,7 @@ def compare_groups(cohort: Cohort, groupby: str, group1, group2, method: str = "
         "cohens_d", F.when(pooled > 0, (F.col("m2") - F.col("m1")) / pooled).otherwise(0.0)
     )
     if method == "mannwhitney":
-        tested = with_rank_p(rank_table(long, "feature_idx")).select("feature_idx", "pval", F.col("u1").alias("statistic"))
+        tested = with_rank_p(rank_table(long, "feature_idx", spread=True)).select("feature_idx", "pval", F.col("u1").alias("statistic"))
     else:
         a, b = F.col("s1") / n1, F.col("s2") / n2
         t = (F.col("m1") - F.col("m2")) / F.sqrt(a + b)
@@ -244,8 +243,7 @@ def multi_group_test(cohort: Cohort, groupby: str, method: str = "kruskal", ackn
     if method == "kruskal":
         counted = long.groupBy("feature_idx", "value", "g").agg(F.count(F.lit(1)).alias("c"))
         ties = counted.groupBy("feature_idx", "value").agg(F.sum("c").alias("t"))
-        below = F.sum("t").over(Window.partitionBy("feature_idx").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-        ranks = ties.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("t") + 1) / F.lit(2.0))
+        ranks = counted_rank(ties, "feature_idx", "value", "t", spread=True)
         sums = counted.join(ranks.select("feature_idx", "value", "rank"), ["feature_idx", "value"]).groupBy("feature_idx", "g").agg(
             F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum("c").alias("n")
         )
@@ -277,8 +275,7 @@ def find_markers(cohort: Cohort, cluster_key: str = "cluster", method: str = "wi
     if method == "wilcoxon":
         counted = long.groupBy("feature_idx", "value", "g").agg(F.count(F.lit(1)).alias("c"))
         ties = counted.groupBy("feature_idx", "value").agg(F.sum("c").alias("t"))
-        below = F.sum("t").over(Window.partitionBy("feature_idx").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-        ranks = ties.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("t") + 1) / F.lit(2.0))
+        ranks = counted_rank(ties, "feature_idx", "value", "t", spread=True)
         sums = counted.join(ranks.select("feature_idx", "value", "rank"), ["feature_idx", "value"]).groupBy("feature_idx", "g").agg(F.sum(F.col("rank") * F.col("c")).alias("r"))
         table = table.join(sums, ["feature_idx", "g"])
         n = n1 + n2

@@ -56,6 +56,8 @@ def _extent(pts: DataFrame, k: int) -> DataFrame:
         cell = [_cell("x", "x0", F.col("side")), _cell("y", "y0", F.col("side"))]
         fullest = pts.join(extent, "section").groupBy("section", *[c.alias(n) for c, n in zip(cell, ("cx", "cy"), strict=True)]).count().groupBy("section").agg(F.max("count").alias("now"))
         crowded = (F.col("now") > CROWDED * (k + 1)) & (F.col("now") != F.col("most")) & (F.col("side") > F.col("span") * 1e-9)
+        if fullest.where(F.col("now") > CROWDED * (k + 1)).isEmpty():
+            break
         told = stored(extent.join(fullest, "section").select("section", "x0", "y0", "span", F.when(crowded, F.col("side") / STEP).otherwise(F.col("side")).alias("side"), F.when(crowded, F.col("now")).alias("most"), crowded.alias("crowded")), "extent")
         if told.where("crowded").isEmpty():
             return told.select("section", "x0", "y0", "span", "side")
@@ -97,10 +99,11 @@ def knn(pts: DataFrame, k: int, targets: DataFrame | None = None) -> DataFrame:
         found = good if found is None else found.unionByName(good)
         settled = ranked.where("settled").select("section", F.col("i").alias("id")).distinct()
         spans_all = extent.where(F.col("side") * F.lit(factor) >= F.col("span")).select("section")
-        pending = stored(pending.join(settled, ["section", "id"], "left_anti").join(spans_all, "section", "left_anti"), "pending")
-        left = pending.limit(FEW + 1).count()
-        if not left:
+        unsettled = pending.join(settled, ["section", "id"], "left_anti").join(spans_all, "section", "left_anti")
+        if unsettled.isEmpty():
             return found
+        pending = stored(unsettled, "pending")
+        left = pending.limit(FEW + 1).count()
         if left <= FEW:
             last = F.broadcast(pending).alias("q").join(targets.alias("p"), F.col("q.section") == F.col("p.section"))  # FEW rows at most
             last = (last.where(F.col("q.id") != F.col("p.id")) if own else last).select("q.section", F.col("q.id").alias("i"), F.col("p.id").alias("j"), _distance2().alias("d2"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from histomill.errors import InsufficientSamplesError, InvalidParameterError, PseudoreplicationWarning
 from histomill.functions import special
-from histomill.functions.ranks import with_bh
+from histomill.functions.ranks import counted_rank, with_bh
 from histomill.model import Cohort
 from histomill.operators import annotate, difference, neighbours, reduce, samples, spatial
 
@@ -312,3 +312,19 @@ def test_batches_must_be_known(spark):
     c = cohort_of(spark, ["s"] * 4, range(4), range(4), np.ones((4, 2)), batch=["a", None, "b", "b"])
     with pytest.raises(InvalidParameterError, match="batch"):
         reduce.correct_batches(c, "batch")
+
+
+def test_ranks_by_ranges(spark):
+    """One feature has nearly all rows; it is ranked in several ranges, none of which holds most."""
+    r = np.random.default_rng(7)
+    rows = [("hot", float(v)) for v in np.unique(r.integers(0, 5000, 4000))] + [("cold", float(v)) for v in range(20)]
+    rows = [(f, v, int(r.integers(1, 4))) for f, v in rows]
+    table = spark.createDataFrame(rows, "f string, value double, t long")
+    once = sorted(map(tuple, counted_rank(table, "f", "value", "t").collect()))
+    assert sorted(map(tuple, counted_rank(table, "f", "value", "t", spread=True).collect())) == once
+    held = {}
+    for f, v, t, rank in once:
+        assert rank == held.get(f, 0) + (t + 1) / 2
+        held[f] = held.get(f, 0) + t
+    ranges = table.repartitionByRange(4, "f", "value").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(ranges) > 1 and max(x["count"] for x in ranges) < 0.6 * len(rows)
