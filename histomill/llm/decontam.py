@@ -36,6 +36,8 @@ INTERSECTED = 2
 #: Most distinct benchmark terms or windows that are broadcast; beyond it, or beyond the bytes that
 #: ``small_side`` allows, joins shuffle, split at hot terms.
 BROADCAST_ROWS = 500_000
+#: Most documents whose keys are broadcast.
+DOCUMENT_ROWS = 100_000
 #: Share of a window's distinct words that a proximity match holds.
 SHARE = 0.8
 #: Words on either side of a window's place in which proximity matches are sought, if they are.
@@ -169,7 +171,7 @@ def _words_at(documents: DataFrame, places: DataFrame, lowered: bool = False) ->
     texts = clashless(documents, "doc_id", "text").select(
         "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), "text"
     )
-    wanted = small_side(places.select("doc_id", "digest"), BROADCAST_ROWS).alias("k")
+    wanted = small_side(places.select("doc_id", "digest"), min(BROADCAST_ROWS, DOCUMENT_ROWS)).alias("k")
     texts = texts.alias("t").join(wanted, _same("t", "k"), "left_semi")
     text = ascii_lower(F.col("t.text")) if lowered else F.col("t.text")
     return texts.join(places.alias("p"), _same("t", "p")).select("t.doc_id", "t.digest", fenced_words(text).alias("w"), "p.places")

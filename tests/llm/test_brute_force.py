@@ -46,8 +46,8 @@ def tokenizer():
     return Tokenizer.from_file(TOKENS)
 
 
-@settings(max_examples=200, deadline=None)
-@given(text=TEXT | st.text("ab'st <|endoftext|>\n²½\x1c ſ", max_size=80))
+@settings(max_examples=800, deadline=None)
+@given(text=TEXT | st.text("ab'st <|endoftext|>\n²½\x1c ſ", max_size=80) | st.text("aB'LlVe019_-.,!?\t\r\n \xa0éßñÅ中の½Ⅷ٣", max_size=120))
 def test_encoder_gives_the_tokenizers_ids(tokenizer, text):
     ids = np.frombuffer(packing.encoder(RANKS, TOKENS).encode(text), "<u4").tolist()
     assert ids == tokenizer.encode(text, add_special_tokens=False).ids
