@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import warnings
 from collections.abc import Iterator, Mapping, Sequence
@@ -17,6 +18,7 @@ from histomill.functions import special
 from histomill.functions.ranks import with_bh
 from histomill.model import Cohort
 from histomill.operators.difference import rank_table, with_rank_p
+from histomill.storage import stored
 
 # The classes, in reporting order.
 CHEMICAL_CLASSES = (
@@ -300,30 +302,66 @@ def enrichment_scores(result: DataFrame, sets: DataFrame, score_col: str = "delt
     )
 
 
+def _null_walks(scores: np.ndarray, k: int, first: int, count: int, seed: int) -> list[float]:
+    """Enrichment scores of permutations ``first`` to ``first + count`` of sets of ``k`` among
+    ``scores``, which are in order. Draws are numbered through, so a permutation is the same whoever
+    makes it; only one is held at a time, and its walk is followed from hit to hit."""
+    size, out = len(scores), []
+    weights, misses = np.abs(scores), max(len(scores) - k, 1)
+    rng = np.random.default_rng([seed, k])
+    rng.bit_generator.advance(first * size)
+    few = (k + 6 * math.sqrt(k) + 6) / size  # nearly always, k draws are below it
+    for _ in range(count):
+        u = rng.random(size)
+        near = np.flatnonzero(u < few)
+        near = near if len(near) >= k else np.arange(size)
+        drawn = u[near]
+        hits = near[drawn <= np.partition(drawn, k - 1)[k - 1]][:k]
+        up = np.concatenate([[0.0], weights[hits].cumsum()])
+        up /= up[-1] + 1e-12
+        down = (hits - np.arange(k)) / misses
+        high, low = (up[1:] - down).max(), min((up[:-1] - down).min(), up[-1] - (size - k) / misses)
+        out.append(float(high if high >= -low else low))
+    return out
+
+
+#: Draws of a task's step in the permutations of set enrichment.
+STEP_DRAWS = 4_000_000
+
+
 def metabolite_set_enrichment(result: DataFrame, sets: DataFrame, score_col: str = "delta", min_set_size: int = 3, n_permutations: int = 1000, random_state: int = 0) -> DataFrame:
-    """Enrichment scores with permuted nulls: sets are dealt to tasks, the panel's scores are
-    shipped once, and a set's seed comes from its size, so tasks do not matter."""
-    observed = enrichment_scores(result, sets, score_col, min_set_size)
-    scores = np.array([r.s for r in result.select(F.col(score_col).cast("double").alias("s"), "metabolite").orderBy(F.desc("s"), "metabolite").collect()])  # a panel
+    """Enrichment scores with permuted nulls: the panel's scores are shipped once, permutations of
+    every size of set are dealt to tasks in steps, and draws come from the size and the permutation's
+    number, so tasks do not matter. Null scores stand last and weigh nothing."""
+    observed = stored(enrichment_scores(result, sets, score_col, min_set_size), "enrichment")
+    column = result.select(F.col(score_col).cast("double").alias("s")).toArrow()["s"]  # 8 bytes a compound
+    known = np.sort(column.drop_null().to_numpy())[::-1]
+    scores = np.concatenate([known, np.zeros(column.null_count)])
+    step = max(1, min(n_permutations, STEP_DRAWS // max(1, len(scores))))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, first in zip(b["n_found"], b["first"], strict=True):
+                yield pd.DataFrame({"n_found": [k], "first": [first], "drawn": [_null_walks(scores, int(k), int(first), min(step, n_permutations - int(first)), random_state)]})
 
-    def null(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(scores)
+    def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             nes, p = [], []
-            for es, k in zip(b["es"], b["n_found"], strict=True):
-                rng = np.random.default_rng([random_state, int(k)])
-                picks = rng.random((n_permutations, size)).argpartition(int(k) - 1, axis=1)[:, : int(k)]
-                step = np.full((n_permutations, size), -1.0 / max(size - int(k), 1))
-                weight = np.abs(scores)[picks]
-                np.put_along_axis(step, picks, weight / (weight.sum(1, keepdims=True) + 1e-12), 1)
-                path = step.cumsum(1)
-                drawn = np.take_along_axis(path, np.abs(path).argmax(1)[:, None], 1)[:, 0]
+            for es, drawn in zip(b["es"], b["drawn"], strict=True):
+                drawn = np.asarray(drawn, float)
                 same = drawn[drawn >= 0] if es >= 0 else -drawn[drawn < 0]
                 nes.append(es / ((same.mean() if len(same) else 0) + 1e-12))
                 p.append(((same >= abs(es)).sum() + 1) / (len(same) + 1))
-            yield b.assign(nes=nes, pval=p)
-
-    scored = observed.mapInPandas(null, "pathway string, n_metabolites long, n_found long, es double, leading_edge string, nes double, pval double")
+            yield b.drop(columns="drawn").assign(nes=nes, pval=p)
+
+    steps = F.sequence(F.lit(0), F.lit(n_permutations - 1), F.lit(step)) if n_permutations > 0 else F.array().cast("array<int>")
+    tasks = 4 * result.sparkSession.sparkContext.defaultParallelism
+    jobs = observed.select("n_found").distinct().withColumn("first", F.explode(steps)).repartition(tasks, "n_found", "first")
+    parts = jobs.mapInPandas(draw, "n_found long, first int, drawn array<double>")
+    # n_permutations numbers for every size of set
+    nulls = parts.groupBy("n_found").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "drawn"))), lambda r: r["drawn"])).alias("drawn"))
+    both = observed.join(nulls, "n_found", "left").select(*observed.columns, F.coalesce("drawn", F.array().cast("array<double>")).alias("drawn"))
+    scored = both.mapInPandas(against, "pathway string, n_metabolites long, n_found long, es double, leading_edge string, nes double, pval double")
     return with_bh(scored).select("pathway", "n_metabolites", "n_found", "es", "nes", "pval", "pval_adj", "leading_edge").orderBy(F.desc("nes"), "pathway")
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -227,6 +228,28 @@ def test_sets(spark):
     assert gsea["down"].es < -0.7 and gsea["down"].nes < -1.2 and gsea["down"].pval < 0.2 and gsea["flat"].n_found == 10
 
 
+def test_permutations_of_sets_are_made_one_at_a_time(spark, monkeypatch):
+    scores, k, n = np.sort(np.random.default_rng(3).normal(size=20_000).round(3))[::-1], 300, 100
+    tracemalloc.start()
+    got = annotate._null_walks(scores, k, 0, n, 5)
+    assert tracemalloc.get_traced_memory()[1] < n * len(scores) * 8 / 4
+    tracemalloc.stop()
+    draws = np.random.default_rng([5, k]).random((n, len(scores)))
+    for row, es in zip(draws, got, strict=True):
+        inside = np.isin(np.arange(len(scores)), row.argsort()[:k])
+        path = np.where(inside, np.abs(scores) / np.abs(scores[inside]).sum(), -1 / (len(scores) - k)).cumsum()
+        assert es == pytest.approx(path[np.abs(path).argmax()])
+    assert annotate._null_walks(scores, k, 37, 20, 5) == got[37:57]
+    assert annotate._null_walks(np.array([2.0, 1.0, -1.0]), 3, 0, 2, 5) == pytest.approx([1.0, 1.0])
+    assert annotate._null_walks(np.zeros(40), 10, 0, 3, 5) == [-1.0] * 3
+
+    result = spark.createDataFrame([(f"c{i:03d}", float(v)) for i, v in enumerate(scores[::100])], "metabolite string, delta double")
+    sets = annotate.set_rows(spark, {"a": [f"c{i:03d}" for i in range(0, 60, 2)], "b": [f"c{i:03d}" for i in range(90, 120)], "c": [f"c{i:03d}" for i in range(150, 161)]})
+    whole = annotate.metabolite_set_enrichment(result, sets, n_permutations=50).collect()
+    monkeypatch.setattr(annotate, "STEP_DRAWS", 7 * 200)
+    assert annotate.metabolite_set_enrichment(result, sets, n_permutations=50).collect() == whole and len(whole) == 3
+
+
 def test_classes(spark):
     want = {
         "PC(34:1)": "Glycerophospholipid", "SM(d18:1/16:0)": "Sphingolipid", "TG(16:0_18:1_18:2)": "Glycerolipid", "Taurine": "Amino acid", "L-Alanine": "Amino acid",
