@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,23 +90,63 @@ def _two_groups(samples: Samples, group_key: str, group1, group2, min_samples: i
     return samples.values.join(chosen, "sample").select("sample", "metabolite", "value", "grp")
 
 
+def _xxhash64(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of ints (as unsigned numbers) after what ``seed`` hashes."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (seed + p5 + np.uint64(4)) ^ (values.astype(np.uint32).astype(np.uint64) * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def _drawn(size: int, replicate: int, group: int, seed: int) -> np.ndarray:
+    """How often each of ``size`` samples of a group is drawn: draw ``j`` is the hash of (seed,
+    replicate, group, j), modulo the size."""
+    with np.errstate(over="ignore"):
+        h = np.array([42], np.uint64)
+        for part in (seed, replicate, group):
+            h = _xxhash64(np.array([part]), h)
+        h = _xxhash64(np.arange(1, size + 1), h)
+    return np.bincount(h.view(np.int64) % size, minlength=size)
+
+
+def _drawn_deltas(a: pa.Array, b: pa.Array, replicates: int, seed: int) -> list[float]:
+    """Cliff's delta of every replicate. Values are ranked once; a replicate adds up its draws along
+    the ranks, so no pairs are made. NaN is the largest value, as in Spark; nulls are drawn, and win
+    and lose against nothing."""
+    known = [v.is_valid().to_numpy(zero_copy_only=False) for v in (a, b)]
+    values = [v.drop_null().to_numpy() for v in (a, b)]
+    levels, place = np.unique(np.concatenate(values), return_inverse=True)
+    out = []
+    for rep in range(1, replicates + 1):
+        ca, cb = (
+            np.bincount(at, _drawn(len(k), rep, g, seed)[k], len(levels))
+            for g, k, at in zip((1, 2), known, np.split(place, [len(values[0])]), strict=True)
+        )
+        wins = (ca * (2 * cb.cumsum() - cb - cb.sum())).sum()  # draws of b below, less those above
+        out.append(float(wins) / (float(len(a)) * len(b)))
+    return out
+
+
 def bootstrap_delta(long: DataFrame, replicates: int, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """``metabolite, delta_ci_low, delta_ci_high``: percentile interval over samples drawn with
-    replacement within their group. Draws are hashes of (seed, replicate, draw), so they do not
-    depend on partitions; a draw is of samples and the same for all features."""
-    order = Window.partitionBy("metabolite", "grp").orderBy("sample")
-    numbered = long.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("metabolite", "grp")))
-    by_feature = numbered.groupBy("metabolite", "grp").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda r: r["value"]).alias("v")  # a row a sample
+    replacement within their group, in order of their names. Draws are hashes of (seed, replicate,
+    group, draw), so they do not depend on partitions; a draw is of samples and the same for all
+    features."""
+    values = lambda g: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("grp") == g, F.struct("sample", F.col("value").cast("double").alias("value"))))), lambda r: r["value"]
     )
-    pairs = by_feature.where("grp = 1").select("metabolite", F.col("v").alias("a")).join(by_feature.where("grp = 2").select("metabolite", F.col("v").alias("b")), "metabolite")
-    draws = pairs.select("metabolite", "a", "b", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    pick = lambda v, g: F.transform(
-        F.sequence(F.lit(1), F.size(v)), lambda j: F.get(v, F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.lit(g), j), F.size(v)).cast("int"))
-    )
-    sign = lambda x, y: F.when(x > y, 1.0).when(x < y, -1.0).otherwise(0.0)
-    wins = F.aggregate(pick(F.col("a"), 1), F.lit(0.0), lambda s, x: s + F.aggregate(F.col("_b"), F.lit(0.0), lambda u, y: u + sign(x, y)))
-    deltas = draws.withColumn("_b", pick(F.col("b"), 2)).select("metabolite", (wins / (F.size("a") * F.size("b"))).alias("d"))
+    pairs = long.groupBy("metabolite").agg(values(1).alias("a"), values(2).alias("b")).where("size(a) > 0 AND size(b) > 0")  # a row a sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                deltas = _drawn_deltas(batch["a"][r].values, batch["b"][r].values, replicates, seed)
+                yield pa.RecordBatch.from_pydict({"metabolite": batch["metabolite"].slice(r, 1), "d": pa.array([deltas], pa.list_(pa.float64()))})
+
+    tasks = 4 * long.sparkSession.sparkContext.defaultParallelism
+    deltas = pairs.repartition(tasks, "metabolite").mapInArrow(run, "metabolite string, d array<double>").select("metabolite", F.explode("d").alias("d"))
     ends = deltas.groupBy("metabolite").agg(F.percentile("d", [alpha / 2, 1 - alpha / 2]).alias("q"))
     return ends.select("metabolite", F.col("q")[0].alias("delta_ci_low"), F.col("q")[1].alias("delta_ci_high"))
 

@@ -111,6 +111,29 @@ def test_bootstrap_is_reproducible_and_covers(spark):
     assert a["m000"].ci_excludes_zero
 
 
+def test_bootstrap_draws_are_hashes_and_make_no_pairs(spark):
+    r = np.random.default_rng(6)
+    sizes, seed, replicates = {1: 9, 2: 7}, 11, 20
+    rows = [(f"s{g}{i}", m, None if m == "holes" and i == 2 else math.nan if m == "holes" and i == 5 else float(r.integers(0, 6)), g) for g, n in sizes.items() for i in range(n) for m in ("whole", "holes")]
+    long = spark.createDataFrame(rows, "sample string, metabolite string, value double, grp int")
+    draws = spark.range(1, replicates + 1).select(F.col("id").cast("int").alias("rep"), F.explode(F.array(F.lit(1), F.lit(2))).alias("g"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("j"))
+    table = {(q.rep, q.g, q.j): q.h for q in draws.withColumn("h", F.xxhash64(F.lit(seed), "rep", "g", "j")).collect()}
+    got = {q.metabolite: (q.delta_ci_low, q.delta_ci_high) for q in difference.bootstrap_delta(long, replicates, 0.1, seed).collect()}
+    order = lambda v: math.inf if math.isnan(v) else v
+    for m in ("whole", "holes"):
+        values = {g: [v for s, n, v, k in sorted(rows, key=lambda q: q[0]) if n == m and k == g] for g in sizes}
+        deltas = []
+        for rep in range(1, replicates + 1):
+            a, b = ([values[g][table[rep, g, j] % n] for j in range(1, n + 1)] for g, n in sizes.items())
+            deltas.append(sum((order(x) > order(y)) - (order(x) < order(y)) for x in a for y in b if x is not None and y is not None) / 63)
+        assert got[m] == pytest.approx(tuple(np.quantile(deltas, [0.05, 0.95])))
+    # as many pairs as 60,000 x 60,000 a replicate
+    n = 60_000
+    many = spark.range(2 * n).select(F.col("id").cast("string").alias("sample"), F.lit("m").alias("metabolite"), (F.col("id") * 7919 % 10007).cast("double").alias("value"), (F.col("id") % 2 + 1).cast("int").alias("grp"))
+    low, high = difference.bootstrap_delta(many, 5).select("delta_ci_low", "delta_ci_high").first()
+    assert -0.02 < low <= high < 0.02
+
+
 def test_partitions_do_not_matter(spark):
     c = nested(spark, n=3)
     seen = []
